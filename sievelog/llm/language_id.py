@@ -154,6 +154,21 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, dims: int =
     return docs.select(*columns).mapInArrow(_predictor(prototypes, dims, seed), schema)
 
 
+def identified(docs: DataFrame, prototypes: dict[str, np.ndarray], *, least: float = 0.0, dims: int = 512, seed: int = 7, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text has a language with a score above ``least``; all columns are kept."""
+    predict = _predictor(prototypes, dims, seed)
+    text = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = next(predict(iter([pa.RecordBatch.from_arrays([batch.column(text)], names=[text_col])])))
+            good = np.array(found.column(1)) > least
+            good &= np.array([lang != "und" for lang in found.column(0).to_pylist()], dtype=bool)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(id_column: Column, parts: int, rest: int) -> Column:
     """True where crc32 of the id as text leaves ``rest`` modulo ``parts``."""
     return F.crc32(F.encode(F.coalesce(id_column.cast("string"), F.lit("")), "UTF-8")) % parts == rest

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
 from . import language_id as lid
+from . import line_dedup as lines
+from . import near_dedup as near
 from . import packing, quality, sharding, warc
+from . import substring_dedup as substrings
+from .decontaminate import find_leaks
 from .sql import SQL
 
 #: Name of the tokenizer file in the folder of public tokenizers.
@@ -53,19 +57,43 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = F.max(F.struct("score", "word_from", "word_to", "seeds"))
+    return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("passages"), best.alias("best")).select("doc_id", "item_id", "passages", "best.*")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc.write_warc(table(spark, sf_dir, "pages"))
     read = warc.read_warc(folder, index)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_dedup(table(spark, sf_dir, "documents"), words=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_warc": op8_warc,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 
