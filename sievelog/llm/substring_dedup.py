@@ -11,7 +11,8 @@ of a document, joined, are its maximal exact repeats.
 Probes travel packed: a row per bucket and piece of input holds the 32-bit
 hashes of many documents, and only one entry of those that repeat within the
 piece, so a window that a third of all documents share costs an entry per
-piece.  Texts are exchanged once, by document bucket, for both later passes.
+piece.  Texts are exchanged once, compressed, by document bucket, for both
+later passes.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+``; null and empty texts have none;
 texts shorter than a window lose nothing; rows that repeat a doc_id count as
@@ -25,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,6 +160,11 @@ def _pair_keys(ids: np.ndarray, values: np.ndarray) -> np.ndarray:
     return mix(mix(ids.view(U64) + U64(0x77)) + values)
 
 
+def _unpacked(texts: pa.Table) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(t) for t in texts.column("packed").to_pylist()]
+
+
 def _extender(block: int, window: int, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Windows that contain a hit, packed to the bucket of their smallest rolling hash, which neighbours mostly share."""
 
@@ -167,7 +174,7 @@ def _extender(block: int, window: int, bits: int) -> Callable[[pa.Table, pa.Tabl
             return _PACKED.empty_table()
         hits = np.unique(_pair_keys(*_answers_of(answers)))
         ids = ids_of(texts.column("doc_id").combine_chunks())
-        data, offsets = text_arrays(texts.column("text"))
+        data, offsets = text_arrays(pa.array(_unpacked(texts), pa.large_binary()))
         found = []
         for at, to, some, some_offsets in pieces(data, offsets):
             words = Words(some, some_offsets)
@@ -253,8 +260,8 @@ def _remover(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         owner, starts = owner[order], starts[order].astype(np.int64)
         low, high = np.searchsorted(owner, ids), np.searchsorted(owner, ids, side="right")
         n_words, n_removed, removed, kept = [], [], [], []
-        for i, text in enumerate(texts.column("text").to_pylist()):
-            words = (text or "").encode().split()
+        for i, text in enumerate(_unpacked(texts)):
+            words = text.split()
             n_words.append(len(words))
             if low[i] == high[i]:
                 n_removed.append(0)
@@ -289,7 +296,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, block: int = 10, bits
         bits = max(10, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # the bucket of a document, as home() has it
-    homes = base.mapInArrow(_homes(bits), "bucket int, doc_id long, text string")
+    homes = base.mapInArrow(_homes(bits), "bucket int, doc_id long, packed binary")
     hits = base.mapInArrow(_prober(block, window, bits), PACKED).groupBy("bucket").applyInArrow(_matcher(bits), ANSWERS)
     windows = homes.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_extender(block, window, bits), PACKED)
     later = windows.groupBy("bucket").applyInArrow(_judge(bits), ANSWERS)
@@ -300,6 +307,8 @@ def _homes(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bucket = pa.array(home(ids_of(batch.column(0)), 1 << bits), pa.int32())
-            yield pa.RecordBatch.from_arrays([bucket, batch.column(0), batch.column(1)], names=["bucket", "doc_id", "text"])
+            pack = zstandard.ZstdCompressor(level=3).compress
+            packed = pa.array([pack((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([bucket, batch.column(0), packed], names=["bucket", "doc_id", "packed"])
 
     return run
