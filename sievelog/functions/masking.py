@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT_RULES, MaskRule, SettingError
 
@@ -136,7 +137,7 @@ def mask(message: Column, rules: Sequence[MaskRule] = DEFAULT_RULES) -> Column:
         return mask_default(message)
     Masker(rules)  # refuse bad rules on the driver
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         masker = Masker(rules)
         for batch in batches:

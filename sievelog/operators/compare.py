@@ -11,6 +11,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import LEVELS, DiffConfig
 from ..functions.levels import most_severe
@@ -41,7 +42,7 @@ def g_statistic(a: Column, b: Column, records_a: Column, records_b: Column) -> C
     return F.greatest(out * 2, zero)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_of_g(g: pd.Series) -> pd.Series:
     """p value of a G statistic with one degree of freedom, to 6 significant digits."""
     return g.map(lambda x: None if x is None or x != x else float(f"{math.erfc(math.sqrt(max(x, 0.0) / 2)):.6g}"))

@@ -21,7 +21,7 @@ EPSILON = 1e-9
 OVERLAP_WORDS = 3
 MAX_RULES_BYTES = 16 << 20
 #: White space of word sets: Unicode's, and U+001C to U+001F.
-SPACE = r"[\s\x1c-\x1f\x85   -     　]+"
+SPACE = r"[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]+"
 
 
 def numbered(templates: DataFrame) -> DataFrame:

@@ -106,12 +106,14 @@ class Miner:
                 self._evict(run)
                 full = False
             late = self.last_birth is not None and ord_ > self.last_birth
+            before = len(self.tree.clusters)
             c = self.tree.learn(tokens, ord_, may_create=not (late or full))
             if c is None:
                 return -1 - len(tokens)
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            self.memo[masked] = (self.tree.version, c)
+            if c < before or WILDCARD not in tokens:  # a literal wildcard need not match its own cluster
+                self.memo[masked] = (self.tree.version, c)
         if self.config.on_full == "evict":
             if c == len(self.last_used):
                 self.last_used.append(self.tick)

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT_RULES, MaskRule
 from ..functions.masking import Masker
@@ -37,7 +38,7 @@ def parameters(assigned: DataFrame, masks: Sequence[MaskRule] = DEFAULT_RULES, d
     return assigned.select("run", "ord", "text", "message").mapInPandas(run, schema)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _cut(values: pd.Series) -> pd.Series:
     return values.map(lambda v: cut_bytes(v, VALUE_BYTES))
 

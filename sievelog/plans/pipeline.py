@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import EXAMPLE_BYTES, WILDCARD, CheckConfig, DiffConfig, MiningConfig, SettingError
 from ..functions.tokens import cut_bytes
@@ -24,9 +26,9 @@ from .results import Analysis, Check, Diff, Finding, RunSummary
 STATS = ["count", "first", "last", *stats.LEVEL_COLUMNS]
 
 
-@F.udf("string")
-def _example(text: str | None) -> str | None:
-    return cut_bytes(text, EXAMPLE_BYTES)
+@F.pandas_udf(T.StringType())
+def _example(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: cut_bytes(t, EXAMPLE_BYTES))
 
 
 def _examples(templates: DataFrame, mode: str) -> DataFrame:
@@ -100,6 +102,9 @@ def _model(clusters: DataFrame, tree: Tree, config: MiningConfig, start: Model |
         for c, h in enumerate(start.history):
             if (new := births.get(c - len(start.history))) is not None:
                 history[new] = h
+            else:  # evicted since
+                n = len(start.tree.clusters[c])
+                overflow[n] = absorb(overflow.get(n, empty_history()), *h)
     for r in clusters.toLocalIterator():
         run = (r["count"], r["first"], r["last"], [r[c] for c in stats.LEVEL_COLUMNS])
         if r.pooled:

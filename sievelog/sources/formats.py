@@ -102,7 +102,7 @@ _BUILT_IN = (
     ),
     RegexFormat(
         "github-actions",
-        r"^﻿?(?P<ts>\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z) (?:##\[(?P<lvl>error|warning|notice|debug)\])?(?P<msg>.*)$",
+        r"^\ufeff?(?P<ts>\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z) (?:##\[(?P<lvl>error|warning|notice|debug)\])?(?P<msg>.*)$",
         "msg", "ts", "lvl", None, True,
     ),
 )

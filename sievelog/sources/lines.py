@@ -2,13 +2,14 @@
 
 Columns: run, file, ord, line.  ``ord`` packs the run, the number of the file,
 the split and the row there into one long, so that it sorts like the input
-whatever the partitions: 1 bit of run, 17 of file, 18 of split (4 MiB each), 27
-of row.
+whatever the partitions.  How many bits a part has follows from the sizes of
+splits and partitions that the session allows; a file has at most 1 TiB.
 """
 
 from __future__ import annotations
 
 import gzip
+import re
 import shutil
 import sys
 import tempfile
@@ -20,7 +21,10 @@ from pyspark.sql import functions as F
 
 MAX_LINE_CHARS = 16 << 20
 GZIP, ZSTD = b"\x1f\x8b", b"\x28\xb5\x2f\xfd"
-FILE_BITS, SPLIT_BITS, ROW_BITS = 17, 18, 27
+FILE_SIZE_BITS, RUN_BIT = 40, 62
+#: Bits of a line's place in a text, see ``lines_of``.
+ROW_BITS = 27
+_UNITS = {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}
 
 
 def sniffed(path: str) -> str:
@@ -47,26 +51,34 @@ def sniffed(path: str) -> str:
     return path
 
 
+def _bytes(spark: SparkSession, name: str) -> int:
+    m = re.fullmatch(r"(\d+)([kmgt]?)i?b?", spark.conf.get(name).lower())
+    return int(m[1]) << _UNITS[m[2]]
+
+
+def _shares(spark: SparkSession) -> tuple[int, int]:
+    """(bits below which splits do not start, bits for the rows of a partition): a row has a byte at least."""
+    largest, opening = _bytes(spark, "spark.sql.files.maxPartitionBytes"), _bytes(spark, "spark.sql.files.openCostInBytes")
+    least = max(1, min(largest, opening))
+    return least.bit_length() - 1, (largest + opening).bit_length()
+
+
 def read_lines(spark: SparkSession, paths: Sequence[str] | str, run: int = 0) -> DataFrame:
-    """Lines of the files in the given order; split at line feeds only, a carriage return at the end dropped."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    frames = []
-    for k, path in enumerate(paths):
-        raw = spark.read.option("lineSep", "\n").text(sniffed(path))
-        split = F.col("_metadata.file_block_start").bitwiseAND(0x7FFFFFFFFFFFFFFF)
-        row = F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1)
-        order = (
-            F.lit(run).cast("long") * (1 << (FILE_BITS + SPLIT_BITS + ROW_BITS))
-            + F.lit(k).cast("long") * (1 << (SPLIT_BITS + ROW_BITS))
-            + F.shiftright(split, 22) * (1 << ROW_BITS)
-            + row
-        )
-        line = F.substring(F.regexp_replace("value", "\\r\\z", ""), 1, MAX_LINE_CHARS)
-        frames.append(raw.select(F.lit(run).alias("run"), F.lit(k).alias("file"), order.alias("ord"), line.alias("line")))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    """Lines of the files in the given order (files of a folder by name); split at line feeds only, a carriage return at the end dropped."""
+    read = [sniffed(p) for p in ([paths] if isinstance(paths, str) else paths)]
+    files = [f for p in read for f in sorted(spark.read.text(p).inputFiles())]
+    split_bits, row_bits = _shares(spark)
+    room = FILE_SIZE_BITS - split_bits + row_bits
+    if len(files) >> (RUN_BIT - room):
+        raise ValueError(f"at most {1 << (RUN_BIT - room)} files can be ordered")
+    numbers = spark.createDataFrame([(re.sub("^file:/+", "file:/", f), k) for k, f in enumerate(files)], "_path string, file int") if len(files) > 1 else None
+    raw = spark.read.option("lineSep", "\n").text(list(dict.fromkeys(read)))
+    row = F.monotonically_increasing_id().bitwiseAND((1 << row_bits) - 1)
+    rows = raw.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), row.alias("_row"), "value")
+    named = rows.withColumn("file", F.lit(0)) if numbers is None else rows.join(numbers, "_path")
+    order = F.lit(run).cast("long") * (1 << RUN_BIT) + F.col("file").cast("long") * (1 << room) + F.shiftright("_start", split_bits) * (1 << row_bits) + F.col("_row")
+    line = F.substring(F.regexp_replace("value", "\\r\\z", ""), 1, MAX_LINE_CHARS)
+    return named.select(F.lit(run).alias("run"), "file", order.alias("ord"), line.alias("line"))
 
 
 def lines_of(df: DataFrame, text: str, order: Sequence[str], run: int = 0) -> DataFrame:
