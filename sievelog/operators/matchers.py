@@ -49,20 +49,27 @@ def ranked_words(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def _probe(sets: DataFrame, side: str, keep: Column) -> DataFrame:
-    """A row per word of the prefix."""
-    return sets.withColumn("keep", keep).select(
-        F.col("i").alias(side), F.col("ranks").alias(f"{side}_ranks"), F.col("weights").alias(f"{side}_weights"), F.explode(F.slice("ranks", 1, F.greatest(F.col("keep"), F.lit(1)))).alias("word")
-    )
+    """A row per word of the prefix: the set's number, its size and the word."""
+    size = F.size("ranks").alias(f"{side}_n")
+    return sets.withColumn("keep", keep).select(F.col("i").alias(side), size, F.explode(F.slice("ranks", 1, F.greatest(F.col("keep"), F.lit(1)))).alias("word"))
+
 
+def _pairs(before: DataFrame, after: DataFrame, keep: Column | None, keep_after: Column | None = None, sizes: float = 0.0) -> DataFrame:
+    """Candidate pairs (b, a and their sets); ``keep`` None takes every pair of the one-sided templates.
 
-def _pairs(before: DataFrame, after: DataFrame, keep: Column | None, keep_after: Column | None = None) -> DataFrame:
-    """Candidate pairs (b, a and their sets); ``keep`` None takes every pair of the one-sided templates."""
+    The join sees numbers and sizes only; the sets are joined to the pairs that
+    it leaves.  ``sizes`` is the least share of the smaller set in the larger.
+    """
     if keep is None:
         left = before.select(F.col("i").alias("b"), F.col("ranks").alias("b_ranks"), F.col("weights").alias("b_weights"))
         right = after.select(F.col("i").alias("a"), F.col("ranks").alias("a_ranks"), F.col("weights").alias("a_weights"))
         return left.crossJoin(right)  # a threshold of 0 asks for every pair
     met = _probe(before, "b", keep).join(_probe(after, "a", keep if keep_after is None else keep_after), "word")
-    return met.dropDuplicates(["b", "a"]).drop("word")
+    near = F.least("b_n", "a_n") >= F.greatest("b_n", "a_n") * (sizes - EPSILON)
+    pairs = met.where(near).select("b", "a").distinct()
+    left = before.select(F.col("i").alias("b"), F.col("ranks").alias("b_ranks"), F.col("weights").alias("b_weights"))
+    right = after.select(F.col("i").alias("a"), F.col("ranks").alias("a_ranks"), F.col("weights").alias("a_weights"))
+    return pairs.join(left, "b").join(right, "a")
 
 
 def _shared() -> Column:
@@ -74,7 +81,7 @@ def jaccard_scores(before: DataFrame, after: DataFrame, least: float = 0.6) -> D
     left, right = ranked_words(before, after)
     n = F.size("ranks")
     keep = None if least <= 0 else n - F.ceil(n * least - EPSILON) + 1
-    pairs = _pairs(left, right, keep).withColumn("shared", _shared())
+    pairs = _pairs(left, right, keep, sizes=max(least, 0.0)).withColumn("shared", _shared())
     union = F.size("b_ranks") + F.size("a_ranks") - F.col("shared")
     return pairs.select("b", "a", F.when(union > 0, F.col("shared") / union).otherwise(0.0).alias("score")).where(F.col("score") >= least)
 

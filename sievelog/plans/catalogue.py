@@ -150,15 +150,15 @@ def _scores(spark: SparkSession, sf_dir: str, score: Callable[..., DataFrame], l
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, matchers.jaccard_scores, 0.3)
+    return _scores(spark, sf_dir, matchers.jaccard_scores, 0.6)
 
 
 def idf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, matchers.idf_scores, 0.3).withColumn("score", F.round("score", 9))
+    return _scores(spark, sf_dir, matchers.idf_scores, 0.5).withColumn("score", F.round("score", 9))
 
 
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, matchers.overlap_scores, 0.6)
+    return _scores(spark, sf_dir, matchers.overlap_scores, 0.8)
 
 
 def subset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,9 +79,9 @@ SQL = {
     "diff_split_at": f"WITH {_EVENTS}, {_SHAPED}, {_BUSY}, {_RUNS}, {_SIDES} SELECT {_ID} AS id, text, CASE WHEN a > 0 AND b > 0 THEN CASE WHEN greatest(a, b) >= 5 AND greatest(ratio, 1 / ratio) >= 1.05 THEN 'changed' ELSE 'unchanged' END WHEN a > 0 THEN 'new' ELSE 'disappeared' END AS category, b AS before_count, a AS after_count, ratio, coalesce(greatest(ratio, 1 / ratio), 1.0) AS factor, CASE WHEN ne > 0 THEN 'ERROR' WHEN nw > 0 THEN 'WARN' ELSE 'INFO' END AS level FROM q",
     "diff_gtest": f"WITH {_EVENTS}, {_SHAPED}, {_BUSY}, {_RUNS}, {_SIDES}, g AS (SELECT text, greatest({_G}, 0) AS g FROM q WHERE a > 0 AND b > 0) SELECT text, CASE WHEN g >= 6.634896601021213 THEN 'changed' ELSE 'unchanged' END AS category, round(g, 4) AS score FROM g",
     "baseline_pooling": f"WITH {_EVENTS}, {_SHAPED}, {_BUSY}, w AS (SELECT text, us // {WEEK_MICROS} AS run FROM t), x AS (SELECT text, count(*) AS n, count(DISTINCT run) AS seen FROM w GROUP BY text) SELECT text, CASE WHEN seen = (SELECT count(DISTINCT run) FROM w) THEN n END AS count, seen = (SELECT count(DISTINCT run) FROM w) AS stable FROM x",
-    "jaccard_pairs": f"WITH {_SIDED}, {_PAIRS} SELECT before_text, after_text, c / (nb + na - c) AS score FROM p WHERE c / (nb + na - c) >= 0.3",
-    "overlap_pairs": f"WITH {_SIDED}, {_PAIRS} SELECT before_text, after_text, c / least(nb, na) AS score FROM p WHERE least(nb, na) >= 3 AND c / least(nb, na) >= 0.6",
-    "idf_pairs": f"WITH {_SIDED}, {_PAIRS}, n AS (SELECT x, 1.0::DOUBLE / count(*) AS v FROM (SELECT * FROM be UNION ALL SELECT * FROM ae) GROUP BY x), i AS (SELECT be.text AS before_text, ae.text AS after_text, sum(v) AS s FROM be JOIN ae USING (x) JOIN n USING (x) GROUP BY 1, 2), bt AS (SELECT text, sum(v) AS v FROM be JOIN n USING (x) GROUP BY 1), av AS (SELECT text, sum(v) AS v FROM ae JOIN n USING (x) GROUP BY 1) SELECT before_text, after_text, round(s / (bt.v + av.v - s), 9) AS score FROM i JOIN bt ON bt.text = before_text JOIN av ON av.text = after_text WHERE s / (bt.v + av.v - s) >= 0.3",
+    "jaccard_pairs": f"WITH {_SIDED}, {_PAIRS} SELECT before_text, after_text, c / (nb + na - c) AS score FROM p WHERE c / (nb + na - c) >= 0.6",
+    "overlap_pairs": f"WITH {_SIDED}, {_PAIRS} SELECT before_text, after_text, c / least(nb, na) AS score FROM p WHERE least(nb, na) >= 3 AND c / least(nb, na) >= 0.8",
+    "idf_pairs": f"WITH {_SIDED}, {_PAIRS}, n AS (SELECT x, 1.0::DOUBLE / count(*) AS v FROM (SELECT * FROM be UNION ALL SELECT * FROM ae) GROUP BY x), i AS (SELECT be.text AS before_text, ae.text AS after_text, sum(v) AS s FROM be JOIN ae USING (x) JOIN n USING (x) GROUP BY 1, 2), bt AS (SELECT text, sum(v) AS v FROM be JOIN n USING (x) GROUP BY 1), av AS (SELECT text, sum(v) AS v FROM ae JOIN n USING (x) GROUP BY 1) SELECT before_text, after_text, round(s / (bt.v + av.v - s), 9) AS score FROM i JOIN bt ON bt.text = before_text JOIN av ON av.text = after_text WHERE s / (bt.v + av.v - s) >= 0.5",
     "subset_pairs": f"WITH {_EVENTS}, {_TEMPLATES}, c AS (SELECT text, count(*) AS n FROM t GROUP BY text), b AS (SELECT t AS text, row_number() OVER (ORDER BY n DESC, t) - 1 AS b FROM (SELECT regexp_replace(text, '^(click|view) ', '<*> ') AS t, n FROM c)), a AS (SELECT t AS text, row_number() OVER (ORDER BY n DESC, t) - 1 AS a FROM (SELECT replace(text, ' value <NUM>', ' value <*>') AS t, n FROM c)), z AS (SELECT b, a, string_split(b.text, ' ') AS x, string_split(a.text, ' ') AS y FROM b, a WHERE len(string_split(b.text, ' ')) = len(string_split(a.text, ' '))) SELECT b, a, abs(len(list_filter(x, lambda t: t = '<*>')) - len(list_filter(y, lambda t: t = '<*>'))) AS gap FROM z WHERE len(list_filter(list_zip(x, y), lambda p: p[1] <> '<*>' AND p[1] <> p[2])) = 0 OR len(list_filter(list_zip(x, y), lambda p: p[2] <> '<*>' AND p[1] <> p[2])) = 0",
     "value_distribution": f"WITH {_EVENTS}, {_TEMPLATES}, {_VALUES}, c AS (SELECT text, position, name, value, count(*) AS n FROM w GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY text, position ORDER BY n DESC, value) AS r FROM c) SELECT text, position, name, string_agg(value || '=' || n, ';' ORDER BY r) FILTER (r <= 10) AS top, count(*) AS n_distinct, 0 AS other FROM k GROUP BY text, position, name HAVING count(*) <= 1000",
     "numeric_summary": f"WITH {_EVENTS}, {_TEMPLATES}, {_VALUES}, {_NUMBERS} SELECT text, position, name, count(*) AS count, min(x) AS min, max(x) AS max, round(avg(x), 6) AS mean FROM z GROUP BY text, position, name",

@@ -12,7 +12,7 @@ from sievelog.functions.masking import Masker, iban, luhn, mask, mask_default, m
 from sievelog.functions.parameters import extract_parameters
 
 PIECES = ["1", "22", "0x1F", "/a/b.c", "10.0.0.1:80", "2024-01-02T03:04:05.6Z", "2024-01-02 03:04:05+02:00", "a", "_", "-", ".", " ", "/", ":", "é", "1.5", "12ab", "<*>", "\t",
-          "01234567-89ab-cdef-0123-456789abcdef", "abcdefab-abcd-abcd-abcd-abcdefabcdef", "1.2.3", "x/y/z", "0X", "192.168.1.1", "\n"]
+          "01234567-89ab-cdef-0123-456789abcdef", "abcdefab-abcd-abcd-abcd-abcdefabcdef", "1.2.3", "x/y/z", "0X", "192.168.1.1", "\n", "\x01", "\x02"]
 
 
 def column(spark, values, kind="string"):
