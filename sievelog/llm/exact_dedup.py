@@ -45,15 +45,12 @@ def exact_dedup(
     )
     rows = checkpoint(keyed) if digest else keyed
 
+    # keys are counted before they are dealt out, so a length or prefix that most rows share is a row per task
     lengths = rows.groupBy("n_norm").agg(F.count("*").alias("n")).where("n > 1").select("n_norm")
-    heads = (
-        rows.select("n_norm", "head")
-        .join(lengths, "n_norm", "left_semi")
-        .groupBy("n_norm", "head")
-        .agg(F.count("*").alias("n"))
-        .where("n > 1")
-        .select("n_norm", "head")
-    )
+    prefixes = rows.groupBy("n_norm", "head").agg(F.count("*").alias("n"))
+    heads = prefixes.join(lengths, "n_norm", "left_semi").where("n > 1").select("n_norm", "head")
+    # the small sides are checkpoints, so that each join deals both sides itself and Spark can split a hot key
+    heads = checkpoint(heads)
     alive = rows.join(heads, ["n_norm", "head"], "left_semi")
     if not digest:
         alive = alive.select("doc_id", "n_chars", "n_norm", F.sha2(norm, 256).alias("full"))
@@ -63,6 +60,7 @@ def exact_dedup(
         .where("n > 1")
         .select("n_norm", "full", F.col("n").alias("group_size"), F.col("best.doc_id").alias("keep_id"), F.lit(True).alias("grouped"))
     )
+    groups = checkpoint(groups)
     if digest:
         found = rows.join(groups, ["n_norm", "full"], "left")
     else:
