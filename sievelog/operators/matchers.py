@@ -49,16 +49,28 @@ def ranked_words(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def _probe(sets: DataFrame, side: str, keep: Column) -> DataFrame:
-    """A row per word of the prefix: the set's number, its size and the word."""
+    """A row per word of the prefix: the set's number, its size, the words after this one and the word.
+
+    Rows are dealt by word to as many tasks as a shuffle has: the join multiplies
+    them, so their size before it says little about its work.
+    """
     size = F.size("ranks").alias(f"{side}_n")
-    return sets.withColumn("keep", keep).select(F.col("i").alias(side), size, F.explode(F.slice("ranks", 1, F.greatest(F.col("keep"), F.lit(1)))).alias("word"))
+    prefix = F.slice("ranks", 1, F.greatest(F.col("keep"), F.lit(1)))
+    each = sets.withColumn("keep", keep).select(F.col("i").alias(side), size, F.posexplode(prefix).alias("place", "word"))
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return each.withColumn(f"{side}_rest", F.col(f"{side}_n") - F.col("place") - 1).drop("place").repartition(tasks, "word")
 
 
-def _pairs(before: DataFrame, after: DataFrame, keep: Column | None, keep_after: Column | None = None, sizes: float = 0.0) -> DataFrame:
+def _pairs(
+    before: DataFrame, after: DataFrame, keep: Column | None, keep_after: Column | None = None, sizes: float = 0.0, needed: Column | None = None
+) -> DataFrame:
     """Candidate pairs (b, a and their sets); ``keep`` None takes every pair of the one-sided templates.
 
     The join sees numbers and sizes only; the sets are joined to the pairs that
     it leaves.  ``sizes`` is the least share of the smaller set in the larger.
+    ``needed`` is the number of words that a pair of sizes b_n and a_n has to
+    share.  A pair meets first at its rarest common word, and all others come
+    after it in both sets, so a row with fewer words after it is not needed.
     """
     if keep is None:
         left = before.select(F.col("i").alias("b"), F.col("ranks").alias("b_ranks"), F.col("weights").alias("b_weights"))
@@ -66,6 +78,8 @@ def _pairs(before: DataFrame, after: DataFrame, keep: Column | None, keep_after:
         return left.crossJoin(right)  # a threshold of 0 asks for every pair
     met = _probe(before, "b", keep).join(_probe(after, "a", keep if keep_after is None else keep_after), "word")
     near = F.least("b_n", "a_n") >= F.greatest("b_n", "a_n") * (sizes - EPSILON)
+    if needed is not None:
+        near &= 1 + F.least("b_rest", "a_rest") >= needed
     pairs = met.where(near).select("b", "a").distinct()
     left = before.select(F.col("i").alias("b"), F.col("ranks").alias("b_ranks"), F.col("weights").alias("b_weights"))
     right = after.select(F.col("i").alias("a"), F.col("ranks").alias("a_ranks"), F.col("weights").alias("a_weights"))
@@ -81,7 +95,8 @@ def jaccard_scores(before: DataFrame, after: DataFrame, least: float = 0.6) -> D
     left, right = ranked_words(before, after)
     n = F.size("ranks")
     keep = None if least <= 0 else n - F.ceil(n * least - EPSILON) + 1
-    pairs = _pairs(left, right, keep, sizes=max(least, 0.0)).withColumn("shared", _shared())
+    needed = F.ceil((F.col("b_n") + F.col("a_n")) * (least / (1 + least)) - EPSILON)
+    pairs = _pairs(left, right, keep, sizes=max(least, 0.0), needed=needed).withColumn("shared", _shared())
     union = F.size("b_ranks") + F.size("a_ranks") - F.col("shared")
     return pairs.select("b", "a", F.when(union > 0, F.col("shared") / union).otherwise(0.0).alias("score")).where(F.col("score") >= least)
 
@@ -116,8 +131,9 @@ def overlap_scores(before: DataFrame, after: DataFrame, least: float = 0.8) -> D
     else:
         n = F.size("ranks")
         prefix = n - F.ceil(n * least - EPSILON) + 1
+        needed = F.ceil(F.least("b_n", "a_n") * least - EPSILON)
         # the smaller set's prefix meets any word of the other
-        pairs = _pairs(left, right, prefix, n).unionByName(_pairs(left, right, n, prefix)).dropDuplicates(["b", "a"])
+        pairs = _pairs(left, right, prefix, n, needed=needed).unionByName(_pairs(left, right, n, prefix, needed=needed)).dropDuplicates(["b", "a"])
     score = _shared() / F.least(F.size("b_ranks"), F.size("a_ranks"))
     return pairs.select("b", "a", score.alias("score")).where(F.col("score") >= least)
 
