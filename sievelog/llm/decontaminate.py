@@ -5,7 +5,10 @@ frequencies of the whole corpus, at most ``chance`` places would hold it by
 accident, however often it has been copied.  Each place of a seed in a document proposes the passage
 around it, which is aligned with the item word by word (match 2, mismatch -1,
 gap -1).  The score is the best local alignment over the best possible one, so
-edited and paraphrased copies score below 1 but above ``least``.
+edited and paraphrased copies score below 1 but above ``least``.  An excerpt
+scores low if the item is long, so a passage is also reported, whatever its
+score, if it aligns by the strict rule (match 2, mismatch -4, gap -4) as well as
+``excerpt`` equal words in a row do.
 
 Benchmark items are worked on in blocks of at most ``block_bytes`` of text, each
 broadcast and held against all documents, so the broadcast is bounded.
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 
 from .textscan import U64, Words, id_array, ids_of, mix, pieces, text_arrays
 
+#: Price of a mismatch or gap in an excerpt: chance matches of common words don't add up.
+STRICT = 4
 HITS = "doc_id long, item_id long, score double, word_from long, word_to long, seeds long"
 
 
@@ -109,14 +114,14 @@ def _rare_seeds(
     return every[order], where[order], sorted(sizes)
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment score, and the part of the passage that has it (from, to)."""
-    gap, width = 1, len(passage)
+def align(item: np.ndarray, passage: np.ndarray, gap: int = 1) -> tuple[int, int, int]:
+    """Best local alignment score, and the part of the passage that has it (from, to).  A mismatch costs as much as a gap."""
+    width = len(passage)
     above, begin_above = np.zeros(width + 1, dtype=np.int64), np.arange(width + 1)
     best, span = 0, (0, 0)
     steps = np.arange(width + 1) * gap
     for word in item:
-        diagonal = above[:-1] + np.where(passage == word, 2, -1)
+        diagonal = above[:-1] + np.where(passage == word, 2, -gap)
         up = above[1:] - gap
         cell, begin = np.zeros(width + 1, dtype=np.int64), np.arange(width + 1)
         cell[1:] = np.maximum(np.maximum(diagonal, up), 0)
@@ -133,7 +138,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, *span
 
 
-def _finder(items: Items, least: float, margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _finder(items: Items, least: float, excerpt: int, margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def hits_of(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word position, seed number) of every seed in the texts."""
         positions, seeds = [], []
@@ -173,7 +178,11 @@ def _finder(items: Items, least: float, margin: float) -> Callable[[Iterator[pa.
                     high = min(words.first[d + 1], (position[j - 1] - place[j - 1]) + len(items.words[k]) + slack)
                     score, begin, end = align(items.words[k], hashes[low:high])
                     share = score / (2 * len(items.words[k]))
-                    if share >= least:
+                    found = share >= least
+                    if not found and score >= 2 * excerpt:  # the strict rule scores no higher
+                        strict, begin, end = align(items.words[k], hashes[low:high], STRICT)
+                        found = strict >= 2 * excerpt
+                    if found:
                         rows.append((ids[at + d], items.ids[k], round(share, 6), int(low - words.first[d] + begin), int(low - words.first[d] + end), j - i))
                     i = j
                 if rows:
@@ -187,7 +196,7 @@ def _finder(items: Items, least: float, margin: float) -> Callable[[Iterator[pa.
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, *, seed: tuple[int, int] = (3, 8), chance: float = 1.0, least: float = 0.5, margin: float = 0.3, block_bytes: int = 8 << 20,
+    docs: DataFrame, benchmark: DataFrame, *, seed: tuple[int, int] = (3, 8), chance: float = 1.0, least: float = 0.5, excerpt: int = 13, margin: float = 0.3, block_bytes: int = 8 << 20,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """A row per leaked passage: doc_id, item_id, score, word_from, word_to, seeds."""
@@ -210,7 +219,7 @@ def find_leaks(
                     counts[r.word] = r.n
         seeds, places, sizes = _rare_seeds(words, counts, vocabulary, total, seed, chance)
         ids = np.array([-(1 << 63) if r.item_id is None else r.item_id for r in own], dtype=np.int64)
-        hits = base.mapInArrow(_finder(Items(ids, words, seeds, places, sizes), least, margin), HITS)
+        hits = base.mapInArrow(_finder(Items(ids, words, seeds, places, sizes), least, excerpt, margin), HITS)
         found = hits if found is None else found.unionByName(hits)
     return found if found is not None else spark.createDataFrame([], HITS)
 

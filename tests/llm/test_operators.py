@@ -203,3 +203,36 @@ def test_decontamination(spark):
     assert many == got.keys()
     assert {r.doc_id for r in leaks.decontaminate(frame(spark, rows), bench).collect()} == {4, 5, 6, 7}
     assert leaks.find_leaks(frame(spark, rows), bench.limit(0)).count() == leaks.find_leaks(frame(spark, []), bench).count() == 0
+
+
+def test_excerpts_of_long_items_are_leaks(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    item = [word() for _ in range(200)]
+    filler = lambda n=40: " ".join(word() for _ in range(n))
+    edited = [w if i % 9 else "edited" for i, w in enumerate(item[20:90])]
+    sparse = [w if i % 3 else "edited" for i, w in enumerate(item[20:90])]  # two words of three: no excerpt
+    texts = [
+        f"{filler()} {' '.join(item[50:140])} {filler()}", f"{filler()} {' '.join(item[:80])}", f"{' '.join(item[150:])} {filler()}", f"{filler()} {' '.join(item[70:83])} {filler()}",
+        f"{filler()} {' '.join(edited)} {filler()}", f"{' '.join(item[:30])} {filler(30)} {' '.join(item[60:75])}", f"{filler()} {' '.join(item[70:82])} {filler()}", f"{filler()} {' '.join(sparse)} {filler()}", filler(300),
+    ]
+    docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    bench = spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r for r in leaks.find_leaks(docs, bench).collect()}
+    assert got.keys() == {0, 1, 2, 3, 4, 5}
+    assert (got[0].word_from, got[0].word_to, got[0].score) == (40, 130, 0.45)
+    assert {r.doc_id for r in leaks.decontaminate(docs, bench).collect()} == {6, 7, 8}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_strict_alignment_equals_the_plain_table(seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 3, 20).astype(np.uint64), rng.integers(0, 3, 30).astype(np.uint64)
+    rows, best = [[0] * 31], 0
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(0, rows[-1][j] + (2 if x == y else -4), rows[-1][j + 1] - 4, row[j] - 4))
+        best = max(best, *row)
+        rows.append(row)
+    assert leaks.align(a, b, leaks.STRICT)[0] == best
