@@ -28,9 +28,14 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
+#: (letters, score): texts of fewer than 20 letters are too short to tell from chance and stay; longer ones score
+#: above the chance matches of 1024 dimensions, and from 80 letters on above random letters too.
+LEAST = ((0, -1.0), (20, 0.1), (80, 0.18))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or unlike every learned language, go."""
-    return identified(docs, learn_prototypes(docs), least=0.02)
+    return identified(docs, learn_prototypes(docs, dims=1024), least=LEAST, dims=1024)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -154,16 +155,31 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, dims: int =
     return docs.select(*columns).mapInArrow(_predictor(prototypes, dims, seed), schema)
 
 
-def identified(docs: DataFrame, prototypes: dict[str, np.ndarray], *, least: float = 0.0, dims: int = 512, seed: int = 7, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text has a language with a score above ``least``; all columns are kept."""
+def identified(
+    docs: DataFrame, prototypes: dict[str, np.ndarray], *, least: Sequence[tuple[int, float]] = ((0, 0.0),), dims: int = 512, seed: int = 7, text_col: str = "text"
+) -> DataFrame:
+    """Rows of ``docs`` whose text has a language with a score above ``least``; all columns are kept.
+
+    ``least`` has rising (letters, score) steps; the last one that a text has the letters for holds.
+    Repeated words count once for that, and a text that fails is tried again without its repeats.
+    """
     predict = _predictor(prototypes, dims, seed)
     text = docs.columns.index(text_col)
+    steps, scores = [n for n, _ in least], np.array([score for _, score in least])
+
+    def above(texts: pa.Array, bounds: np.ndarray) -> np.ndarray:
+        found = next(predict(iter([pa.RecordBatch.from_arrays([texts], names=[text_col])])))
+        return (np.array(found.column(1)) > bounds) & np.array([lang != "und" for lang in found.column(0).to_pylist()], dtype=bool)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = next(predict(iter([pa.RecordBatch.from_arrays([batch.column(text)], names=[text_col])])))
-            good = np.array(found.column(1)) > least
-            good &= np.array([lang != "und" for lang in found.column(0).to_pylist()], dtype=bool)
+            once = [" ".join(dict.fromkeys((t or "").lower().split())) for t in batch.column(text).to_pylist()]
+            letters = [sum(1 for _ in islice(filter(str.isalpha, t), steps[-1])) for t in once]
+            bounds = scores[np.searchsorted(steps, letters, side="right") - 1]
+            good = above(batch.column(text), bounds)
+            failed = np.flatnonzero(~good)
+            if len(failed):
+                good[failed] = above(pa.array([once[i] for i in failed], pa.string()), bounds[failed])
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(keep, docs.schema)

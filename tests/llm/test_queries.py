@@ -40,3 +40,16 @@ def test_pipeline_against_brute_force(spark, sf):
     assert left < kept or left == kept
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in rows} == left and sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+
+
+def test_language_stage_removes_noise_only(spark, sf):
+    import random
+
+    pick = random.Random(4)
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "".join(map(chr, range(0x4E00, 0x5200)))]
+    text = lambda letters: " ".join("".join(pick.choice(letters) for _ in range(pick.randint(2, 9))) for _ in range(40))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clean = {r.doc_id for r in docs.collect()}
+    noise = [(-1 - i, text(scripts[i % 5]), None, "noise", 0) for i in range(200)]
+    got = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(noise, docs.schema)), sf).collect()}
+    assert clean <= got and len(got - clean) <= 4
