@@ -176,6 +176,7 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps, each a grouped minimum; the
     edges stay as many as the nodes and links, and each round is checkpointed.
+    If the last of ``rounds`` still changed something, an error is raised.
     """
     edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
@@ -191,6 +192,8 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
         edges = new
         if tuple(same) == tuple(old):
             break
+    else:
+        raise RuntimeError(f"the connected parts are not final after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -135,3 +135,9 @@ def test_words_and_hashes():
     assert ngrams(h, 2)[0] != ngrams(h, 2)[1] and len(ngrams(h, 9)) == 0
     grams, begins = shingle_sets(np.frombuffer(b"A a A a", dtype=np.uint8), np.array([0, 7]), 2)
     assert len(grams) == 1 and begins.tolist() == [0, 1]
+
+
+def test_connected_raises_when_not_final(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected(links, rounds=1)
