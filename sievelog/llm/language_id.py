@@ -162,12 +162,15 @@ def identified(
 
     ``least`` has rising (letters, score) steps; the last one that a text has the letters for holds.
     Repeated words count once for that, and a text that fails is tried again without its repeats.
+    If nothing could be learned, every text with a letter stays.
     """
     predict = _predictor(prototypes, dims, seed)
     text = docs.columns.index(text_col)
     steps, scores = [n for n, _ in least], np.array([score for _, score in least])
 
     def above(texts: pa.Array, bounds: np.ndarray) -> np.ndarray:
+        if not prototypes:  # nothing to compare with
+            return np.array([any(map(str.isalpha, t or "")) for t in texts.to_pylist()], dtype=bool)
         found = next(predict(iter([pa.RecordBatch.from_arrays([texts], names=[text_col])])))
         return (np.array(found.column(1)) > bounds) & np.array([lang != "und" for lang in found.column(0).to_pylist()], dtype=bool)
 

@@ -236,3 +236,8 @@ def test_strict_alignment_equals_the_plain_table(seed):
         best = max(best, *row)
         rows.append(row)
     assert leaks.align(a, b, leaks.STRICT)[0] == best
+
+
+def test_texts_stay_when_no_language_was_learned(spark):
+    rows = [(1, "that cat", None, None, None), (2, None, None, None, None), (3, " 12 !", None, None, None)]
+    assert [r.doc_id for r in lid.identified(frame(spark, rows), {}).collect()] == [1]
