@@ -24,17 +24,25 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import checkpoint, salted_rank, salts_for
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
-#: Words whose ids a worker keeps in each of two generations (about 80 MB each).
-CACHED_WORDS = 400_000
-#: Latin letters that need no composition (U+00D7 and U+00F7 are no letters).
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
-LETTERS_THEN_MARKS = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{}~]+)").fullmatch
+#: Bytes of known words and their ids that a worker keeps in each of two generations.
+CACHED_BYTES = 64 << 20
+#: Longer words are encoded wherever they occur and never kept.
+CACHED_WORD = 64
+#: What a kept word takes besides its own bytes and ids.
+ENTRY_BYTES = 180
+#: Bytes of text encoded at once (or one longer text).
+CHUNK = 8 << 20
+#: Latin letters that need no composition (U+00D7 and U+00F7 are no letters), and ASCII marks that follow them as a token run of their own.
+LATIN = "".join(map(chr, [*range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{}~"
+LETTERS = re.compile(f"[{LATIN}A-Z]+").fullmatch
 
 
 def _byte_level() -> dict[int, str]:
@@ -48,11 +56,12 @@ BYTE_LEVEL = _byte_level()
 
 
 class WordEncoder:
-    """Ids of a text as little-endian bytes, word by word with a table of known words.
+    """Ids of texts, word by word: Arrow splits and numbers the words, only distinct new ones are encoded.
 
     White space always separates tokens of this tokenizer, so encoding the
     words one by one is exact.  ASCII case is folded first, as the tokenizer
-    itself does, except in texts that may hold its special tokens.
+    itself does, except in texts that may hold its special tokens.  Known words
+    are kept in two generations of at most ``CACHED_BYTES`` each.
     """
 
     def __init__(self, path: str):
@@ -60,63 +69,107 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.table: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _encode(self, words: Iterable[bytes]) -> None:
-        """Add words to the table; a run of Latin letters needs no normaliser or splitting."""
-        table, odd = self.table, []
+        self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
+
+    def _keep(self, found: dict[str, bytes]) -> None:
+        for word, ids in found.items():
+            if len(word) <= CACHED_WORD:
+                self.table[word] = ids
+                self.size += len(word) + len(ids) + ENTRY_BYTES
+        if self.size > CACHED_BYTES:
+            self.older, self.table, self.size = self.table, {}, 0
+
+    def _new(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of words; a run of Latin letters needs no normaliser or splitting."""
+        out, odd, tokenize = {}, [], self.model.tokenize
         for word in words:
-            if LETTERS(text := word.decode()):
-                ids = [x.id for x in self.model.tokenize(text.lower().encode().decode("latin-1").translate(BYTE_LEVEL))]
-                table[word] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
+            if LETTERS(word):
+                ids = [x.id for x in tokenize(word.lower().encode().decode("latin-1").translate(BYTE_LEVEL))]
+                out[word] = struct.pack(f"<{len(ids)}I", *ids)
+            elif word:
                 odd.append(word)
-        found = self.tokenizer.encode_batch([w.decode() for w in odd], add_special_tokens=False)
-        table.update((w, struct.pack(f"<{len(x.ids)}I", *x.ids)) for w, x in zip(odd, found, strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.table) > CACHED_WORDS:
-            self.older, self.table = self.table, {}
-        table, older = self.table, self.older
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        missing = set().union(*split).difference(table)
-        known = missing & older.keys()
-        table.update((w, older[w]) for w in known)
-        missing -= known
-        # ASCII punctuation after letters is a token run of its own
-        cut = {w: m.groups() for w in missing if (m := LETTERS_THEN_MARKS(w))}
-        parts = set().union(*cut.values()).difference(table)
-        known = parts & older.keys()
-        table.update((w, older[w]) for w in known)
-        self._encode((parts - known) | missing.difference(cut))
-        table.update((w, table[a] + table[b]) for w, (a, b) in cut.items())
-        get = table.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            else:
+                out[word] = b""
+        found = self.tokenizer.encode_batch(odd, add_special_tokens=False)
+        return out | {w: struct.pack(f"<{len(x.ids)}I", *x.ids) for w, x in zip(odd, found, strict=True)}
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        found = list(map(self.table.get, words))
+        places = [i for i, ids in enumerate(found) if ids is None]
+        again, new = {}, []
+        for i in places:
+            if (ids := self.older.get(words[i])) is None:
+                new.append(words[i])
+            else:
+                again[words[i]] = ids
+        learned = again | self._new(new)
+        for i in places:
+            found[i] = learned[words[i]]
+        self._keep(learned)
+        return found
+
+    def ids_of(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and how many each has.  Letters and the marks after them are looked up apart."""
+        stems = pc.ascii_rtrim(words, MARKS)
+        own = pc.match_substring_regex(stems, f"^[{LATIN}]+$")
+        stems = pc.if_else(own, stems, words).dictionary_encode()
+        marks = pc.if_else(own, pc.utf8_ltrim(words, LATIN), "").dictionary_encode()
+        known = [*self._ids(stems.dictionary.to_pylist()), *self._ids(marks.dictionary.to_pylist())]
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        parts = np.empty(2 * len(words), dtype=np.int64)
+        parts[::2] = stems.indices.to_numpy(zero_copy_only=False)
+        parts[1::2] = marks.indices.to_numpy(zero_copy_only=False)
+        parts[1::2] += len(stems.dictionary)
+        return _joined(np.frombuffer(b"".join(known), dtype="<u4"), sizes, parts), sizes[parts[::2]] + sizes[parts[1::2]]
+
+    def encode(self, texts: pa.LargeStringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (little-endian unsigned 32 bit) of the texts, the end id after each, and where each text begins."""
+        special = pc.match_substring(texts, "<|")
+        lowered = pc.if_else(special, texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(lowered)
+        coded = split.flatten().dictionary_encode()
+        known, sizes = self.ids_of(coded.dictionary)
+        known, sizes = np.append(known, np.uint32(end_id)), np.append(sizes, 1)
+        offsets = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets -= offsets[0]
+        words = np.insert(coded.indices.to_numpy(zero_copy_only=False), offsets[1:], len(sizes) - 1)
+        ends = offsets + np.arange(len(offsets))  # each text before has an end id
+        return _joined(known, sizes, words), np.concatenate([[0], np.cumsum(sizes[words])])[ends]
+
+
+def _joined(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Runs of ``flat``, which has one of each size after the other, in the given order."""
+    count, begins = sizes[order], (np.cumsum(sizes) - sizes)[order]
+    return flat[np.repeat(begins - (np.cumsum(count) - count), count) + np.arange(count.sum())]
 
 
 def _cutter(path: str, end_id: int, capacity: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(path), struct.pack("<I", end_id)
+        encoder = WordEncoder(path)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1)
+            texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+            bytes_to = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
             at = 0
-            while at < len(docs):
-                to, size, some = at, 0, []
-                while to < len(docs) and (size < 1 << 20 or to == at):
-                    some.append((texts[to].as_py() or "").encode())
-                    size += len(some[-1])
-                    to += 1
-                rows = []
-                for doc, ids in zip(docs[at:to], encoder.encode(some), strict=True):
-                    ids += end
-                    tokens = len(ids) // 4
-                    for start in range(0, tokens, capacity):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), tokens, *([piece] if with_ids else [])))
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            while at < len(texts):
+                base = bytes_to[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(bytes_to, base + CHUNK, side="right")))
+                ids, first = encoder.encode(texts.slice(at, to - at), end_id)
+                tokens = np.diff(first)
+                pieces = -(-tokens // capacity)
+                doc = np.repeat(np.arange(to - at), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                length = np.minimum(tokens[doc] - start, capacity)
+                low, raw = 4 * (first[doc] + start), memoryview(ids).cast("B")
+                spans = [raw[a:b] for a, b in zip(low.tolist(), (low + 4 * length).tolist(), strict=True)]
+                crc = np.fromiter(map(zlib.crc32, spans), dtype=np.int64, count=len(spans))
+                columns = [batch.column(0).slice(at, to - at).take(pa.array(doc)), start, length, crc, tokens[doc], *([[bytes(x) for x in spans]] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
                 at = to
 
     return cut
@@ -203,7 +256,7 @@ def pack(
     docs: DataFrame, tokenizer: str, *, end_id: int = 2, capacity: int = 4096, with_ids: bool = False,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, padded_to.
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``with_ids`` adds the piece's ids (binary, little-endian unsigned 32 bit);
     ``sequences`` joins them to whole sequences.  A sequence is padded to

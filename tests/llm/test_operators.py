@@ -36,6 +36,40 @@ def test_packing_round_trip(spark):
     assert packing.pack(frame(spark, []), tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_word_encoder_equals_the_tokenizer(seed, monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHED_BYTES", [0, 2000, 64 << 20][seed])  # no word, few words and all words are kept
+    pick, tokenizer = random.Random(seed), Tokenizer.from_file(tokenizer_path())
+    letters = ["abcdefgh", "ABCXYZ", "àÉßÿ×÷", "0123456789", "!.,'\"<|>-_&", "日本語", " \t\n\x0b\x0c\r", "\x1c\u2003ﬁΣς", "e\u0301\x00"]
+    text = lambda: "".join(pick.choice(pick.choice(letters[: pick.choice([1, 3, 5, 9])] + letters[6:7])) for _ in range(pick.randint(0, 60)))
+    texts = [text() for _ in range(1500)] + ["<|startoftext|> A<|endoftext|>b", "", " "]
+    encoder = packing.WordEncoder(tokenizer_path())
+    for part in (texts[:700], texts[700:], texts[:50]):
+        ids, first = encoder.encode(pa.array(part, pa.large_string()), 2)
+        for t, a, b in zip(part, first[:-1], first[1:], strict=True):
+            assert ids[a:b].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2], t
+        assert encoder.size <= packing.CACHED_BYTES + 1_000_000
+
+
+def test_one_long_word_and_text_without_spaces(spark):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(tokenizer_path()), packing.WordEncoder(tokenizer_path())
+    texts = ["abcde" * 1_000_000, "".join(chr(0x4E00 + (i * i) % 5000) for i in range(200_000)), "x,y;" * 100_000]
+    for t in texts:
+        ids, first = encoder.encode(pa.array([t], pa.large_string()), 2)
+        assert ids[:-1].tolist() == tokenizer.encode(t, add_special_tokens=False).ids and first.tolist() == [0, len(ids)]
+    assert encoder.size < 1000  # none of them is kept
+    got = packing.pack(frame(spark, [(i, t[:300_000], None, None, None) for i, t in enumerate(texts)]), tokenizer_path()).toPandas()
+    assert set(got.doc_id) == {0, 1, 2} and got.length.max() <= 4096
+
+
 def test_repeated_rows_are_packed_each(spark):
     rows = [(1, "a b", None, None, None)] * 3 + [(None, None, None, None, None)]
     got = packing.pack(frame(spark, rows), tokenizer_path()).collect()
