@@ -8,32 +8,34 @@ and sketching stops after the first round that leaves none empty.  Bands of
 ``rows`` coordinates are grouped; a pair of similarity 0.85 shares none of the
 24 bands with chance 1e-5.
 
-Texts with equal shingle sets are one class from the start.  Each band's
-bucket proposes a star to its smallest class, not all pairs.  The connected
-parts of the proposals are verified apart from each other, in memory, on full
-shingle sets: a text joins a cluster when it is similar enough to any member,
-and members are tested against the texts that have no cluster yet.  A part of
-more than ``block`` classes is dealt in blocks, every two of which meet in one
+Texts with equal shingle sets (one 128-bit BLAKE2 digest of all their shingles)
+are one class from the start.  Each band's bucket proposes a star to its
+smallest class, not all pairs.  The connected parts of the proposals are
+verified apart from each other, in memory, on full shingle sets: a text joins a
+cluster when it is similar enough to any member, and members are tested against
+the texts that have no cluster yet.  A part of more than ``block`` classes or
+``block_shingles`` shingles is dealt in blocks, every two of which meet in one
 task, so no group has to fit a task; the links found are then connected.
 
 Defined cases: null, empty and wordless texts have no shingles and link with
 nothing; texts of fewer than ``words`` words are one shingle; rows that repeat
-a doc_id are one node of the graph; a row with a null doc_id is linked by an
-equal set only; an empty table gives an empty result; other columns are
-ignored.
+a doc_id are rows of their own, of which one is kept if they are linked; a null
+doc_id sorts last, so a group is named by it only if no other is in it; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint
-from .textscan import U64, Words, id_array, ids_of, mix, pieces, text_arrays
+from .shared import ORD, checkpoint, with_order
+from .textscan import U64, Words, mix, pieces, text_arrays
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -94,16 +96,10 @@ def _sketcher(words: int, bands: int, rows: int) -> Callable[[Iterator[pa.Record
                 count = np.diff(begins)
                 sketch = sketches(grams, begins, bands * rows)
                 band = np.stack([_fold(sketch[:, i * rows : (i + 1) * rows], i + 1) for i in range(bands)], axis=1)
-                digests = []
-                for seed in (U64(3), U64(5)):
-                    total = np.zeros(len(grams) + 1, dtype=U64)
-                    np.cumsum(mix(grams * seed + seed), out=total[1:])
-                    digests.append((total[begins[1:]] - total[begins[:-1]]).view(np.int64))
+                raw, cuts = memoryview(grams).cast("B"), (begins * 8).tolist()
+                digests = pa.array([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(to - at + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array(count), pa.array(digests[0]), pa.array(digests[1]), lists],
-                    names=["doc_id", "n_shingles", "d1", "d2", "bands"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(count), digests, lists], names=[ORD, "n_shingles", "digest", "bands"])
 
     return run
 
@@ -117,7 +113,7 @@ def _setter(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             for at, to, some, some_offsets in pieces(data, offsets, 2 << 20):
                 grams, begins = shingle_sets(some, some_offsets, words)
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(begins.astype(np.int64) * 8), pa.py_buffer(grams)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), raw.cast(pa.binary())], names=["doc_id", "part", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), raw.cast(pa.binary())], names=[ORD, "part", "shingles"])
 
     return run
 
@@ -160,82 +156,109 @@ def clusters(sets: list[np.ndarray], above: int, below: int) -> list[int]:
 
 def _verifier(above: int, below: int) -> Callable[[pa.Table], pa.Table]:
     def verify(table: pa.Table) -> pa.Table:
-        ids = ids_of(table.column("doc_id").combine_chunks())
+        ids = table.column(ORD).to_numpy()
         order = np.argsort(ids, kind="stable")
-        raw = table.column("shingles").to_pylist()
-        sets = [np.frombuffer(raw[i], dtype=U64) for i in order]
-        label = clusters(sets, above, below)
+        raw = table.column("shingles").combine_chunks()
+        sets = [np.frombuffer(raw[int(i)].as_buffer(), dtype=U64) for i in order]
         ids = ids[order]
-        return pa.table({"doc_id": id_array(ids), "to": id_array(ids[label])})
+        return pa.table({"a": ids, "b": ids[clusters(sets, above, below)]})
 
     return verify
 
 
-def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for the nodes of (a, b) links: root is the smallest node reachable.
-
-    Alternating large-star and small-star steps, each a grouped minimum; the
-    edges stay as many as the nodes and links, and each round is checkpointed.
-    If the last of ``rounds`` still changed something, an error is raised.
+def _star(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step, each a grouped minimum."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    large = checkpoint(large)
+    low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
+    small = large.join(low, "u").select(F.col("v").alias("x"), "u", "m")
+    return small.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Roots of the nodes of all links of a task."""
+    links = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1) for b in batches]
+    if not links:
+        return
+    nodes, ends = np.unique(np.concatenate(links), return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    label, old = np.arange(len(nodes)), None
+    while old is None or (label != old).any():
+        old = label.copy()
+        low = np.minimum(label[ends[:, 0]], label[ends[:, 1]])
+        for side in (0, 1):  # the labels of both ends fall to the smaller, and so do the nodes they point to
+            np.minimum.at(label, old[ends[:, side]], low)
+            np.minimum.at(label, ends[:, side], low)
+        while (label[label] != label).any():
+            label = label[label]
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], names=["node", "root"])
+
+
+def connected(links: DataFrame, fits: int = 400_000) -> DataFrame:
+    """(node, root) for the nodes of (a, b) links but the roots: root is the smallest node reachable.
+
+    Alternating large-star and small-star steps over checkpoints until nothing
+    changes; the edges stay as many as the nodes and links.  Once at most
+    ``fits`` edges of 16 bytes are left, one task ends the work in memory.
     """
     edges = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("x"), "u", "m")
-        new = small.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        new = checkpoint(new)
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        old = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = new
-        if tuple(same) == tuple(old):
-            break
-    else:
-        raise RuntimeError(f"the connected parts are not final after {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    total = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    old = edges.agg(*total).first()
+    while old[0] > fits:
+        edges = checkpoint(_star(edges))
+        new = edges.agg(*total).first()
+        if tuple(new) == tuple(old):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        old = new
+    return checkpoint(edges.repartition(1).mapInArrow(_union, "node long, root long"))
 
 
 def near_dedup(
-    docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (85, 100), bands: int = 24, rows: int = 6, block: int = 4000,
+    docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (85, 100), bands: int = 24, rows: int = 6, block: int = 4000, block_shingles: int = 2_000_000,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     above, below = similarity
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = checkpoint(base.mapInArrow(_sketcher(words, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
-    same = ["d1", "d2", "n_shingles"]
+    base, same_id = with_order(docs, id_col, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sketched = checkpoint(base.select(ORD, "text").mapInArrow(_sketcher(words, bands, rows), f"{ORD} long, n_shingles long, digest binary, bands array<long>"))
 
-    # classes of equal sets
+    # classes of equal sets; small sides are checkpoints, so that each join deals both sides itself and Spark can split a hot key
     full = sketched.where("n_shingles > 0")
-    classes = full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    repeated = classes.where("size > 1").select(*same, "rep")
-    alone = F.col("rep").isNull() | F.col("rep").eqNullSafe(F.col("doc_id"))
-    heads = full.join(repeated, same, "left").where(alone).select("doc_id", "bands")
+    classes = full.groupBy("digest").agg(F.min(ORD).alias("rep"), F.count("*").alias("size"))
+    repeated = checkpoint(classes.where("size > 1").select("digest", "rep"))
+    heads = full.join(repeated, "digest", "left").where(F.col("rep").isNull() | (F.col("rep") == F.col(ORD)))
+    heads = checkpoint(heads.select(ORD, "n_shingles", "bands"))
 
     # stars of the band buckets
-    buckets = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    proposed = buckets.join(hubs, "bucket").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    buckets = heads.select(ORD, F.explode("bands").alias("bucket"))
+    hubs = checkpoint(buckets.groupBy("bucket").agg(F.min(ORD).alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"))
+    proposed = buckets.join(hubs, "bucket").where(F.col(ORD) != F.col("hub")).select(F.col(ORD).alias("a"), F.col("hub").alias("b"))
     parts = connected(proposed)
-    members = checkpoint(parts.unionByName(parts.select(F.col("root").alias("node"), "root")).distinct())
+    members = parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct())
+    members = checkpoint(members.join(heads.select(F.col(ORD).alias("node"), "n_shingles"), "node"))
 
     # blocks of large parts: every two blocks meet once
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = members.join(sizes, "root").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("s") / block_shingles)).cast("int")
+    sizes = checkpoint(sizes.select("root", blocks.alias("blocks")))
+    dealt = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meets = F.expr("CASE WHEN blocks <= 2 THEN array(0) ELSE transform(filter(sequence(0, blocks - 1), j -> j <> own), j -> least(own, j) * blocks + greatest(own, j)) END")
-    dealt = dealt.select(F.col("node").alias("doc_id"), F.struct("root", "blocks", meets.alias("meets")).alias("part"))
+    dealt = dealt.select(F.col("node").alias(ORD), F.struct("root", meets.alias("meets")).alias("part"))
 
-    sets = base.join(dealt, "doc_id").select("doc_id", "part", "text").mapInArrow(_setter(words), "doc_id long, part struct<root: long, blocks: int, meets: array<int>>, shingles binary")
-    spread = sets.select("doc_id", F.col("part.root").alias("root"), F.explode("part.meets").alias("meet"), "shingles")
-    verified = checkpoint(spread.groupBy("root", "meet").applyInArrow(_verifier(above, below), "doc_id long, to long").where("doc_id <> to").distinct())
+    sets = base.select(ORD, "text").join(dealt, ORD).select(ORD, "part", "text").mapInArrow(_setter(words), f"{ORD} long, part struct<root: long, meets: array<int>>, shingles binary")
+    spread = sets.select(ORD, F.col("part.root").alias("root"), F.explode("part.meets").alias("meet"), "shingles")
+    links = spread.groupBy("root", "meet").applyInArrow(_verifier(above, below), "a long, b long").where("a <> b")
 
     # links between representatives, plus membership
-    links = verified.select(F.col("doc_id").alias("a"), F.col("to").alias("b"))
     roots = connected(links)
-    component = F.coalesce("root", "rep", "doc_id")
-    joined = sketched.join(repeated, same, "left").withColumn("head", F.coalesce("rep", "doc_id"))
-    found = joined.join(roots.withColumnRenamed("node", "head"), "head", "left")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    joined = sketched.select(ORD, "n_shingles", "digest").join(repeated, "digest", "left").withColumn("head", F.coalesce("rep", ORD))
+    found = joined.join(roots.withColumnRenamed("node", "head"), "head", "left").select(ORD, "n_shingles", F.coalesce("root", "head").alias("to"))
+    kept = (F.col("to") == F.col(ORD)).alias("kept")
+    if same_id:
+        return found.select(F.col(ORD).alias("doc_id"), "n_shingles", F.col("to").alias("component_id"), kept)
+    names = checkpoint(base.select(ORD, "doc_id"))
+    named = found.join(names, ORD).join(names.select(F.col(ORD).alias("to"), F.col("doc_id").alias("component_id")), "to")
+    return named.select("doc_id", "n_shingles", "component_id", kept)
