@@ -39,12 +39,16 @@ kept AS (
 SELECT doc_id, len(w) AS n_words, n AS n_removed, sha256(array_to_string(kw, ' ')) AS kept_sha256 FROM kept
 """
 
-OP9 = """
+OP9 = r"""
 WITH d AS (SELECT doc_id, CASE WHEN text IS NOT NULL THEN string_split(text, chr(10)) END AS w FROM documents),
-s AS (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4),
-k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 3], chr(10))) AS h FROM s),
-r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM k),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 4)) AS p FROM r WHERE n > 1),
+s AS (
+  SELECT doc_id, i, 2 AS n, w[i] || chr(10) || w[i + 1] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)
+  UNION ALL
+  SELECT doc_id, i, 1, w[i] FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE len(regexp_extract_all(w[i], '[^\x20\x09-\x0D]+')) >= 8
+),
+k AS (SELECT doc_id, i, n, md5(t) AS h FROM s WHERE regexp_matches(t, '[^\x20\x09-\x0D]')),
+r AS (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, h ORDER BY doc_id, i) AS nth FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM r WHERE nth > 1),
 gone AS (SELECT doc_id, list(p) AS ps FROM g GROUP BY doc_id),
 kept AS (
   SELECT d.doc_id, w, coalesce(len(ps), 0) AS n,

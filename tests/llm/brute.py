@@ -64,6 +64,23 @@ def repeated_windows(rows, split, size):
     return gone
 
 
+def repeated_lines(rows, run, passage):
+    """The same for lines: runs of ``run`` lines that are not all blank, and single lines of ``passage`` words; by the place of a row."""
+    first, gone = set(), {}
+    for at, (_, text, *_rest) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0)):
+        lines = [] if text is None else text.split("\n")
+        spans = [(i, run) for i in range(len(lines) - run + 1)]
+        spans += [(i, 1) for i, line in enumerate(lines) if run > 1 and passage and len(words(line)) >= passage]
+        for i, n in spans:
+            key = tuple(lines[i : i + n])
+            if not any(words(x) for x in key):
+                continue
+            if key in first:
+                gone.setdefault(at, set()).update(range(i, i + n))
+            first.add(key)
+    return gone
+
+
 def shingles(text, n):
     w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()

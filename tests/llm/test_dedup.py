@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from brute import components, documents, frame, repeated_windows, sha, words
+from brute import components, documents, frame, repeated_lines, repeated_windows, sha, words
 
 from sievelog.llm import near_dedup as nd
 from sievelog.llm.exact_dedup import exact_dedup
@@ -31,27 +31,39 @@ def test_exact_dedup(spark, digest):
 
 def test_exact_dedup_of_repeated_rows_null_ids_and_nothing(spark):
     rows = [(1, "a", None, None, None)] * 3 + [(None, "b", None, None, None), (2, "b ", None, None, None)]
-    got = sorted(map(str, exact_dedup(frame(spark, rows), digest=True).select("doc_id", "keep_id", "group_size", "kept").collect()))
-    assert got == sorted(["Row(doc_id=1, keep_id=1, group_size=3, kept=True)"] * 3 + ["Row(doc_id=None, keep_id=2, group_size=2, kept=False)", "Row(doc_id=2, keep_id=2, group_size=2, kept=True)"])
+    for digest in (True, False):
+        got = sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in exact_dedup(frame(spark, rows), digest=digest).collect())
+        assert got == [("1", 1, 3, False), ("1", 1, 3, False), ("1", 1, 3, True), ("2", 2, 2, True), ("None", 2, 2, False)]
+    other = [(1, "a", None, None, None), (0, "a", None, None, None), (1, "alone", None, None, None), (None, "z", None, None, None), (None, "z", None, None, None)]
+    got = sorted((str(r.doc_id), str(r.keep_id), r.kept) for r in exact_dedup(frame(spark, other)).collect())
+    assert got == [("0", "0", True), ("1", "0", False), ("1", "1", True), ("None", "None", False), ("None", "None", True)]
     assert exact_dedup(frame(spark, []), digest=True).count() == exact_dedup(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize(("gram", "window"), [(2, 3), (1, 1), (3, 2)])
-def test_line_dedup(spark, gram, window):
-    gone = repeated_windows(ROWS, lambda t: [] if t is None else t.split("\n"), gram + window - 1)
+@pytest.mark.parametrize(("gram", "window", "passage"), [(1, 2, 8), (2, 3, None), (1, 1, None), (3, 2, 4), (1, 4, 1)])
+def test_line_dedup(spark, gram, window, passage):
+    gone = repeated_lines(ROWS, gram + window - 1, passage)
     want = {}
-    for doc, text, *_ in ROWS:
+    for at, (doc, text, *_) in enumerate(ROWS):
         lines = [] if text is None else text.split("\n")
-        left = [x for i, x in enumerate(lines) if i not in gone.get(doc, ())]
-        want[doc] = (len(lines), len(gone.get(doc, ())), None if text is None else "\n".join(left))
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in dedup_lines(frame(spark, ROWS), gram=gram, window=window).collect()}
+        left = [x for i, x in enumerate(lines) if i not in gone.get(at, ())]
+        want[doc] = (len(lines), len(gone.get(at, ())), None if text is None else "\n".join(left))
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in dedup_lines(frame(spark, ROWS), gram=gram, window=window, passage=passage).collect()}
     assert got == want and any(gone.values())
 
 
 def test_line_dedup_of_repeated_rows_and_nothing(spark):
     rows = [(1, "a\nb\nc\nd\ne", None, None, None)] * 2 + [(2, "a\nb\nc\nd\nz", None, None, None), (None, "q", None, None, None)]
     got = sorted((str(r.doc_id), r.n_removed, r.text) for r in dedup_lines(frame(spark, rows)).collect())
-    assert got == [("1", 0, "a\nb\nc\nd\ne")] * 2 + [("2", 4, "z"), ("None", 0, "q")]
+    assert got == [("1", 0, "a\nb\nc\nd\ne"), ("1", 5, ""), ("2", 4, "z"), ("None", 0, "q")]
+    # rows of one id have lines of their own
+    rows = [(1, "a\nb\nc\nd\nUNIQUE", None, None, None), (1, "q\na\nb\nc\nd", None, None, None)]
+    got = sorted((r.n_removed, r.text) for r in dedup_lines(frame(spark, rows).coalesce(1)).collect())
+    assert sum(n for n, _ in got) == 4 and sorted("\n".join(t for _, t in got).split("\n")) == ["UNIQUE", "a", "b", "c", "d", "q"]
+    # blank runs stay, null ids come last
+    rows = [(None, "x y\n\n\nz", None, None, None), (3, "\n\n\nx y\n", None, None, None), (4, "x y\n\n", None, None, None), (None, "x y\n\n\nz", None, None, None)]
+    got = sorted((str(r.doc_id), r.n_removed, r.text) for r in dedup_lines(frame(spark, rows)).collect())
+    assert got == [("3", 0, "\n\n\nx y\n"), ("4", 2, ""), ("None", 2, "\nz"), ("None", 4, "")]
     assert dedup_lines(frame(spark, [])).count() == 0
 
 
@@ -96,7 +108,11 @@ def test_near_dedup_in_blocks(spark):
 def test_near_dedup_of_repeated_rows_and_nothing(spark):
     rows = [(4, "a b c d", None, None, None)] * 2 + [(None, "a b c d", None, None, None), (7, "A b c d", None, None, None), (8, None, None, None, None), (9, "", None, None, None)]
     got = sorted((str(r.doc_id), r.component_id, r.kept, r.n_shingles) for r in near_dedup(frame(spark, rows), words=3).collect())
-    assert got == [("4", 4, True, 2), ("4", 4, True, 2), ("7", 4, False, 2), ("8", 8, True, 0), ("9", 9, True, 0), ("None", 4, False, 2)]
+    assert got == [("4", 4, False, 2), ("4", 4, True, 2), ("7", 4, False, 2), ("8", 8, True, 0), ("9", 9, True, 0), ("None", 4, False, 2)]
+    near = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, near + " x", None, None, None), (5, near, None, None, None), (5, near + " y z", None, None, None), (None, "other words here", None, None, None), (None, "other words here", None, None, None)]
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_dedup(frame(spark, rows), words=3).collect())
+    assert got == [("5", "5", False), ("5", "5", True), ("None", "5", False), ("None", "None", False), ("None", "None", True)]
     assert near_dedup(frame(spark, []), words=3).count() == 0
 
 
@@ -106,10 +122,33 @@ def test_clusters_find_chains():
     assert clusters(sets, 100, 100) == list(range(31))
 
 
-def test_connected(spark):
+@pytest.mark.parametrize("fits", [0, 20, 400_000])
+def test_connected(spark, fits):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (103, 101), (7, 7)], "a long, b long")
-    got = {r.node: r.root for r in connected(links).collect()}
+    got = {r.node: r.root for r in connected(links, fits).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 103: 100}
+    assert connected(links.limit(0), fits).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_union_of_random_links(seed):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    links = rng.integers(0, 300, (170, 2)) * 7 - 500
+    parent = {int(x): int(x) for x in links.ravel()}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links.tolist():
+        p, q = sorted((root(a), root(b)))
+        parent[q] = p
+    batch = pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
+    got = next(nd._union(iter([batch])))
+    assert dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)) == {x: root(x) for x in parent if root(x) != x}
 
 
 def test_sketches_fill_and_agree_with_similarity():
@@ -135,9 +174,3 @@ def test_words_and_hashes():
     assert ngrams(h, 2)[0] != ngrams(h, 2)[1] and len(ngrams(h, 9)) == 0
     grams, begins = shingle_sets(np.frombuffer(b"A a A a", dtype=np.uint8), np.array([0, 7]), 2)
     assert len(grams) == 1 and begins.tolist() == [0, 1]
-
-
-def test_connected_raises_when_not_final(spark):
-    links = spark.createDataFrame([(i + 1, i) for i in range(40)], "a long, b long")
-    with pytest.raises(RuntimeError):
-        connected(links, rounds=1)
