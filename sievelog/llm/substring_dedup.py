@@ -1,23 +1,29 @@
 """Substring dedup by fixed-block anchors.
 
 Reference blocks of ``block`` words that do not overlap (they start at
-multiples of ``block``) are indexed, and every rolling window of ``block``
-words probes them.  A window of ``window >= 2 * block - 1`` words contains a
-whole reference block wherever it starts, so a repeated window has a hit.
-Hits are extended: all windows that contain a hit are hashed (64 bits and the
-bucket) and compared with their earliest occurrence, and the repeated windows
-of a document, joined, are its maximal exact repeats.
-
-Probes travel packed: a row per bucket and piece of input holds the 32-bit
-hashes of many documents, and only one entry of those that repeat within the
-piece, so a window that a third of all documents share costs an entry per
-piece.  Texts are exchanged once, compressed, by document bucket, for both
-later passes.
+multiples of ``block``) are indexed, and rolling windows of ``block`` words
+probe them.  A window of ``window >= 2 * block - 1`` words contains a whole
+reference block wherever it starts, so a repeated window has a hit.  Of two
+equal windows either can hold the block and the other the probe: with their
+starts d places apart, the one probes at d modulo ``block``, the other at -d, so
+probes at offsets up to ``block // 2`` from a block's start miss no pair and the
+others are not sent.  Hits are extended: all windows that contain a hit are
+compared with their earliest occurrence by 96 bits of hash (and the bucket), and
+the repeated windows of a document, joined, are its maximal exact repeats.
+
+Probes travel packed: a row per bucket and piece of input holds 32 bits of hash
+for each probe of many documents, and only one entry of those that repeat within
+the piece, so a window that a third of all documents share costs an entry per
+piece.  Buckets follow the bytes of text (``bucket_bytes`` each), so the share of
+accidental hits in a bucket stays about 1 in 2,000 at any size; such a hit costs an
+extension and changes no result.  From 2 ** 16 buckets on (2 TB of text) buckets
+grow with the input; a bucket has to fit a task.  Texts are exchanged once,
+compressed, by document bucket, for both later passes.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+``; null and empty texts have none;
-texts shorter than a window lose nothing; rows that repeat a doc_id count as
-one document and never remove from each other; a null doc_id sorts first; an
-empty table gives an empty result; other columns are ignored.
+texts shorter than a window lose nothing; rows sort by doc_id, nulls last; rows
+that repeat a doc_id are rows of their own, in the order in which they are
+stored; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +36,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import U64, Words, id_array, ids_of, mix, ngrams, pieces, text_arrays
+from .shared import ORD, with_order
+from .textscan import CHUNK, U64, Words, ids_of, mix, ngrams, pieces, text_arrays
 
 #: kind 0: entries to compare, 1: answers that pass through; the blobs are numpy arrays.
-PACKED = "bucket int, kind int, docs binary, counts binary, hashes binary, extra binary"
-_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in ("docs", "counts", "hashes", "extra"))])
+PACKED = "bucket int, kind int, docs binary, counts binary, hashes binary, extra binary, more binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in ("docs", "counts", "hashes", "extra", "more"))])
 ANSWERS = "bucket int, docs binary, hashes binary"
 _ANSWERS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary())])
 RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, text string"
@@ -53,6 +60,14 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(keys)))
 
 
+def _runs2(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for pairs of keys."""
+    if not len(keys):
+        return _runs(keys)
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])]))
+    return first, np.diff(np.append(first, len(keys)))
+
+
 def _slices(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
     for at, n in zip(*_runs(buckets), strict=True):
         yield int(buckets[at]), int(at), int(at + n)
@@ -66,7 +81,7 @@ def _answer_rows(ids: np.ndarray, values: np.ndarray, buckets: int, kind: bool)
     out = []
     for bucket, a, b in _slices(where):
         blobs = (ids[a:b].tobytes(), values[a:b].astype(U64).tobytes())
-        out.append((bucket, 1, blobs[0], b"", blobs[1], b"") if kind else (bucket, *blobs))
+        out.append((bucket, 1, blobs[0], b"", blobs[1], b"", b"") if kind else (bucket, *blobs))
     return out
 
 
@@ -88,14 +103,15 @@ def _prober(block: int, window: int, bits: int) -> Callable[[Iterator[pa.RecordB
         for batch in batches:
             ids = ids_of(batch.column(0))
             data, offsets = text_arrays(batch.column(1))
-            for at, to, some, some_offsets in pieces(data, offsets):
+            for at, to, some, some_offsets in pieces(data, offsets, CHUNK << max(0, min(2, bits - 10))):
                 words = Words(some, some_offsets)
                 own = ids[at:to]
                 grams, docs, starts = _rolling(words, words.hashes(), block, window)
                 if not len(grams):
                     continue
-                keys = grams >> U64(32 - bits)
-                anchored = (starts - words.first[docs]) % block == 0
+                place = (starts - words.first[docs]) % block
+                sent = place <= block // 2
+                keys, docs, anchored = grams[sent] >> U64(32 - bits), docs[sent], place[sent] == 0
                 order = np.argsort(keys, kind="stable")
                 keys, docs, anchored = keys[order], docs[order], anchored[order]
                 first, many = _runs(keys)
@@ -111,7 +127,7 @@ def _prober(block: int, window: int, bits: int) -> Callable[[Iterator[pa.RecordB
                 keys, docs, anchored, bucket = keys[order].astype(np.uint32), docs[order], anchored[order], bucket[order]
                 for b, i, j in _slices(bucket):
                     head, count = _runs(docs[i:j])
-                    rows.append((b, 0, own[docs[i:j][head]].tobytes(), count.astype(np.uint32).tobytes(), keys[i:j].tobytes(), np.packbits(anchored[i:j]).tobytes()))
+                    rows.append((b, 0, own[docs[i:j][head]].tobytes(), count.astype(np.uint32).tobytes(), keys[i:j].tobytes(), np.packbits(anchored[i:j]).tobytes(), b""))
                 yield _batch(rows, _PACKED)
 
     return probe
@@ -173,7 +189,7 @@ def _extender(block: int, window: int, bits: int) -> Callable[[pa.Table, pa.Tabl
         if not texts.num_rows or not answers.num_rows:
             return _PACKED.empty_table()
         hits = np.unique(_pair_keys(*_answers_of(answers)))
-        ids = ids_of(texts.column("doc_id").combine_chunks())
+        ids = ids_of(texts.column(ORD).combine_chunks())
         data, offsets = text_arrays(pa.array(_unpacked(texts), pa.large_binary()))
         found = []
         for at, to, some, some_offsets in pieces(data, offsets):
@@ -196,26 +212,24 @@ def _extender(block: int, window: int, bits: int) -> Callable[[pa.Table, pa.Tabl
             for k in range(1, window - block + 1):
                 np.minimum(low, smallest[wide_starts[candidate] + k], out=low)
             d = wide_docs[candidate]
-            found.append((own[d], (wide_starts[candidate] - words.first[d]).astype(np.int64), wide[candidate], (mix(low) >> U64(64 - bits)).astype(np.int32)))
+            more = (ngrams(hashes, window, 1)[wide_starts[candidate]] >> U64(32)).astype(np.uint32)
+            found.append((own[d], (wide_starts[candidate] - words.first[d]).astype(np.int64), wide[candidate], more, (mix(low) >> U64(64 - bits)).astype(np.int32)))
         if not found:
             return _PACKED.empty_table()
-        doc, start, value, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((start, doc, value))
-        doc, start, value, bucket = doc[order], start[order], value[order], bucket[order]
-        first, many = _runs(value)
+        doc, start, value, more, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((start, doc, more, value))
+        doc, start, value, more, bucket = doc[order], start[order], value[order], more[order], bucket[order]
+        first, many = _runs2(value, more)
         lead = np.repeat(first, many)
         later = (doc != doc[lead]) | (start != start[lead])  # repeated within this group already
         rows += _answer_rows(doc[later], start[later], 1 << bits, True)
-        keep = np.zeros(len(doc), dtype=bool)
-        keep[first] = True
-        doc, start, value, bucket = doc[keep], start[keep], value[keep], bucket[keep]
-        order = np.lexsort((start, doc, bucket))
-        doc, start, value, bucket = doc[order], start[order], value[order], bucket[order]
+        order = first[np.lexsort((start[first], doc[first], bucket[first]))]
+        doc, start, value, more, bucket = doc[order], start[order], value[order], more[order], bucket[order]
         for b, i, j in _slices(bucket):
             d, s = doc[i:j], start[i:j]
             heads = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)]))
             count = np.diff(np.append(heads, j - i)).astype(np.uint32)
-            rows.append((b, 0, d[heads].tobytes(), count.tobytes(), value[i:j].tobytes(), s[heads].astype(np.uint32).tobytes()))
+            rows.append((b, 0, d[heads].tobytes(), count.tobytes(), value[i:j].tobytes(), s[heads].astype(np.uint32).tobytes(), more[i:j].tobytes()))
         return pa.Table.from_batches([_batch(rows, _PACKED)])
 
     return extend
@@ -235,9 +249,10 @@ def _judge(bits: int) -> Callable[[pa.Table], pa.Table]:
                     first = np.cumsum(count) - count
                     starts.append(np.repeat(np.frombuffer(extra, dtype=np.uint32).astype(np.int64) - first, count) + np.arange(count.sum()))
             start = np.concatenate(starts)
-            order = np.lexsort((start, ids, value))
-            ids, start, value = ids[order], start[order], value[order]
-            first, many = _runs(value)
+            more = np.frombuffer(b"".join(table.column("more").to_pylist()), dtype=np.uint32)
+            order = np.lexsort((start, ids, more, value))
+            ids, start, value, more = ids[order], start[order], value[order], more[order]
+            first, many = _runs2(value, more)
             lead = np.repeat(first, many)
             later = (ids != ids[lead]) | (start != start[lead])
             rows += _answer_rows(ids[later], start[later], 1 << bits, False)
@@ -254,7 +269,7 @@ def _remover(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def remove(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return schema.empty_table()
-        ids = ids_of(texts.column("doc_id").combine_chunks())
+        ids = ids_of(texts.column(ORD).combine_chunks())
         owner, starts = _answers_of(answers)
         order = np.lexsort((starts, owner))
         owner, starts = owner[order], starts[order].astype(np.int64)
@@ -277,27 +292,31 @@ def _remover(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
             removed.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
             kept.append(b" ".join([words[k] for k in np.flatnonzero(~gone)]).decode())
-        return pa.table([id_array(ids), pa.array(n_words), pa.array(n_removed), pa.array(removed, span), pa.array(kept, pa.string())], schema=schema)
+        return pa.table([texts.column("doc_id").cast(pa.int64()), pa.array(n_words), pa.array(n_removed), pa.array(removed, span), pa.array(kept, pa.string())], schema=schema)
 
     return remove
 
 
-def dedup_substrings(docs: DataFrame, *, window: int = 20, block: int = 10, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(
+    docs: DataFrame, *, window: int = 20, block: int = 10, bits: int | None = None, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, removed (word ranges), text (the words that stay, one space between).
 
     A word goes if it lies in a window of ``window`` words whose sequence also
-    starts earlier: in a smaller doc_id, or earlier in the same document.
-    ``2 ** bits`` buckets of hashes and of documents follow the shuffle
-    partitions unless given; a bucket of either has to fit a task.
+    starts earlier: in a row before, or earlier in its own.  There are
+    ``2 ** bits`` buckets of hashes and of documents, of ``bucket_bytes`` of
+    text each unless given.
     """
     if window < 2 * block - 1:
         raise ValueError("a window has to contain a whole reference block: window >= 2 * block - 1")
+    base, _ = with_order(docs, id_col, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if bits is None:
-        bits = max(10, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        bits = max(6, (2 * tasks - 1).bit_length() if tasks <= 512 else 10, min(16, (total // bucket_bytes).bit_length()))
     # the bucket of a document, as home() has it
-    homes = base.mapInArrow(_homes(bits), "bucket int, doc_id long, packed binary")
-    hits = base.mapInArrow(_prober(block, window, bits), PACKED).groupBy("bucket").applyInArrow(_matcher(bits), ANSWERS)
+    homes = base.select(ORD, "doc_id", "text").mapInArrow(_homes(bits), f"bucket int, {ORD} long, doc_id long, packed binary")
+    hits = base.select(ORD, "text").mapInArrow(_prober(block, window, bits), PACKED).groupBy("bucket").applyInArrow(_matcher(bits), ANSWERS)
     windows = homes.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_extender(block, window, bits), PACKED)
     later = windows.groupBy("bucket").applyInArrow(_judge(bits), ANSWERS)
     return homes.groupBy("bucket").cogroup(later.groupBy("bucket")).applyInArrow(_remover(window), RESULT)
@@ -305,10 +324,10 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, block: int = 10, bits
 
 def _homes(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             bucket = pa.array(home(ids_of(batch.column(0)), 1 << bits), pa.int32())
-            pack = zstandard.ZstdCompressor(level=3).compress
-            packed = pa.array([pack((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([bucket, batch.column(0), packed], names=["bucket", "doc_id", "packed"])
+            packed = pa.array([pack((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([bucket, batch.column(0), batch.column(1), packed], names=["bucket", ORD, "doc_id", "packed"])
 
     return run
