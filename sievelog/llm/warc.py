@@ -11,8 +11,9 @@ the index, kept as a checkpoint, names only files of finished tasks.
 Defined cases: null html is an empty payload; a null url is written as empty;
 white space and control characters in a url are percent-encoded; an empty
 table gives no archive and an empty result; other columns are ignored; rows
-that repeat a page_id are records of their own, and a row with a null page_id
-is a response unless an equal payload has an id.
+that repeat a page_id are records of their own, of which one is the response if
+their payloads are equal; a row with a null page_id is a response unless an
+equal payload has an id.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, new_folder
+from .shared import ORD, checkpoint, new_folder, with_order
 
 INDEX = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, file string, offset long, length long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -38,6 +39,8 @@ BASE16, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 ROLL = 512 << 20
 #: Ranges this near are read as one, up to so many bytes.
 GAP, SPAN = 64 << 10, 8 << 20
+#: Compressed bytes that a reading task gets.
+TASK = 16 << 20
 
 
 def sha1_base32(column: Column) -> Column:
@@ -122,17 +125,20 @@ def write_warc(
     """
     folder = folder or new_folder(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html"), F.lit(""))
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    base, _ = with_order(pages, id_col, F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = base.withColumn("digest", sha1_base32(html)).withColumn("size", F.octet_length(html))
     first = (
         rows.where(F.col("size") >= least)
         .groupBy("digest")
-        .agg(F.min("page_id").alias("rep"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("digest", "rep")
+        .agg(F.min(F.struct(ORD, "page_id")).alias("first"), F.count("*").alias("n"))
+        .where("n > 1 AND first.page_id IS NOT NULL")
+        .select("digest", F.col("first.page_id").alias("rep"), F.col(f"first.{ORD}").alias("rep_ord"))
     )
-    found = rows.join(first, "digest", "left").withColumn("rep", F.when((F.col("size") >= least) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("rep"))), F.col("rep")))
-    return folder, checkpoint(found.select("page_id", "url", "html", "digest", "rep").mapInArrow(_writer(folder, date), INDEX))
+    # the small side is a checkpoint, so that the join deals both sides itself and Spark can split a page that many urls return
+    found = rows.join(checkpoint(first), "digest", "left")
+    again = (F.col("size") >= least) & (F.col(ORD) != F.col("rep_ord"))
+    found = found.select("page_id", "url", "html", "digest", F.when(again, F.col("rep")).alias("rep"))
+    return folder, checkpoint(found.mapInArrow(_writer(folder, date), INDEX))
 
 
 def read_ranges(fs: pafs.FileSystem, root: str, wanted: list[tuple[str, int, int]]) -> Iterator[bytes]:
@@ -187,7 +193,12 @@ def _reader(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return read
 
 
-def read_warc(folder: str, index: DataFrame) -> DataFrame:
-    """Records of the selected index rows, digests verified; a revisit has no payload of its own."""
-    ordered = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+def read_warc(folder: str, index: DataFrame, *, task_bytes: int = TASK) -> DataFrame:
+    """Records of the selected index rows, digests verified; a revisit has no payload of its own.
+
+    ``index`` is read twice: its lengths say how many tasks the reading takes.
+    """
+    places = index.select("file", "offset", "length")
+    size = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    ordered = places.repartitionByRange(max(1, -(-size // task_bytes)), "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(_reader(folder), RECORDS)
