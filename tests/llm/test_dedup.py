@@ -84,12 +84,29 @@ def test_substring_dedup_of_repeated_rows_and_nothing(spark):
     text = " ".join(f"w{i}" for i in range(25))
     rows = [(1, text, None, None, None)] * 2 + [(None, text, None, None, None), (3, text + " end", None, None, None)]
     got = sorted((str(r.doc_id), r.n_removed) for r in dedup_substrings(frame(spark, rows)).collect())
-    assert got == [("1", 25), ("1", 25), ("3", 25), ("None", 0)]
+    assert got == [("1", 0), ("1", 25), ("3", 25), ("None", 25)]
+    # rows of one id have words of their own
+    own = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, own + " UNIQUE", None, None, None), (1, "zz " + own, None, None, None)]
+    got = sorted((r.n_removed, r.text) for r in dedup_substrings(frame(spark, rows)).collect())
+    assert sum(n for n, _ in got) == 20 and sorted(" ".join(t for _, t in got).split()) == sorted(["UNIQUE", "zz", *own.split()])
     assert dedup_substrings(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         dedup_substrings(frame(spark, []), window=18)
 
 
+def test_substring_dedup_at_every_shift(spark):
+    """One passage at all offsets from the reference blocks, in pairs that meet nowhere else."""
+    rows = []
+    for shift in range(12):
+        for other in range(12):
+            body = [f"p{shift}x{other}w{i}" for i in range(21)]
+            n = 2 * len(rows)
+            rows += [(n, " ".join([*[f"a{n}b{i}" for i in range(shift)], *body, "end"]), None, None, None), (n + 1, " ".join([*[f"c{n}d{i}" for i in range(other)], *body]), None, None, None)]
+    got = {r.doc_id: r.n_removed for r in dedup_substrings(frame(spark, rows)).collect()}
+    assert got == {r[0]: 21 * (r[0] % 2) for r in rows}
+
+
 @pytest.mark.parametrize(("n", "above"), [(3, 85), (5, 80), (1, 60)])
 def test_near_dedup(spark, n, above):
     want = components(ROWS, n, above)

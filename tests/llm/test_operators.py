@@ -113,21 +113,50 @@ def test_shards(spark):
     assert all(len(s) == 1 for s in by_text.values())
     for _, own in got.groupby("shard"):
         assert sorted(own.slot) == list(range(len(own)))
-    # the same as the rule on whole groups, since no bundle holds two of these groups
+    # the loads are those of a plain heap over whole groups
     sizes = {}
     for _, text, *_ in ROWS:
         sizes[text or ""] = sizes.get(text or "", 0) + len((text or "").encode()) + 8
     loads = [0] * 5
     for size in sorted(sizes.values(), reverse=True):
         loads[loads.index(min(loads))] += size
-    assert max(got.groupby("shard")["size"].sum()) <= max(loads) * 1.02
+    assert got.groupby("shard")["size"].sum().tolist() == loads
     assert sharding.assign_shards(frame(spark, [])).count() == 0
     same = sharding.assign_shards(frame(spark, [(1, "x", None, None, None)] * 4 + [(None, None, None, None, None)])).toPandas()
     assert len(same) == 5 and sorted(same[same.text_crc32 == zlib.crc32(b"x")].slot) == [0, 1, 2, 3]
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_turns_are_those_of_a_heap(seed):
+    import random
+
+    pick = random.Random(seed)
+    loads = [pick.randint(0, 10 ** pick.randint(0, 4)) for _ in range(pick.randint(1, 7))]
+    size, count = pick.randint(1, 50), pick.choice([0, 1, 5, 100, 1000])
+    want, now = [0] * len(loads), list(loads)
+    for _ in range(count):
+        shard = now.index(min(now))
+        want[shard] += 1
+        now[shard] += size
+    assert sharding.turns(loads, size, count) == want
+
+
 def test_longest_first():
-    assert sharding.longest_first([(5, "a"), (4, "b"), (3, "c"), (3, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+    assert sharding.longest_first([(3, 3), (5, 1), (4, 1)], 2) == [(5, [1, 0]), (4, [0, 1]), (3, [1, 2])]
+
+
+def test_registered_sharding_against_a_heap(spark, sf):
+    from sievelog.llm.queries import op4_sharding
+
+    got = op4_sharding(spark, sf).toPandas()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    sizes = docs.text.fillna("").map(lambda t: len(t.encode()) + 8)
+    loads = [0] * 24
+    for size in sorted(sizes.groupby(docs.text.fillna("")).sum(), reverse=True):
+        loads[loads.index(min(loads))] += size
+    assert got.groupby("shard")["size"].sum().reindex(range(24), fill_value=0).tolist() == loads
+    assert got.merge(docs, on="doc_id").groupby("text").shard.nunique().max() == 1 and set(got.doc_id) == set(docs.doc_id)
+    assert all(sorted(own.slot) == list(range(len(own))) for _, own in got.groupby("shard"))
 
 
 def test_warc_round_trip(spark):
@@ -142,6 +171,11 @@ def test_warc_round_trip(spark):
     assert [r.page_id for r in one.collect()] == [5]
     _, all_first = warc.write_warc(pages, least=10_000)
     assert all_first.where("record_type = 'revisit'").count() == 0
+    twice = spark.createDataFrame([(1, "u", "x"), (1, "v", "x"), (None, "w", "y"), (None, "w", "y"), (1, "z", "q")], "page_id long, url string, html string")
+    folder, index = warc.write_warc(twice)
+    found = warc.read_warc(folder, index, task_bytes=100)
+    assert found.rdd.getNumPartitions() > 3
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in found.collect()) == [("1", "response", None), ("1", "response", None), ("1", "revisit", 1), ("None", "response", None), ("None", "response", None)]
     folder, index = warc.write_warc(pages.limit(0))
     assert warc.read_warc(folder, index).count() == 0
 
