@@ -1,13 +1,15 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1.  An n-gram's vector binds (by
-product) the letters' vectors, each permuted (rotated) by its place; a
-document bundles (adds) the vectors of all its n-grams, and a language's
-prototype bundles its training documents.  A document gets the language whose
-prototype has the largest cosine with it.
+Every letter of Unicode has a random vector of +1 and -1, made from its code
+point; all that is no letter shares one.  An n-gram's vector binds (by product)
+the letters' vectors, each permuted (rotated) by its place; a document bundles
+(adds) the vectors of all its n-grams, and a language's prototype bundles its
+training documents.  A document gets the language whose prototype has the
+largest cosine with it.
 
-Prototypes are learned from a sample of at most about ``sample`` documents,
-chosen by a hash of the id; prediction reads every whole text.
+Prototypes are learned from about ``sample`` documents of each language at most,
+chosen by a hash of the id, so a rare language is learned from all it has;
+prediction reads every whole text.
 
 Defined cases: text that is null or has no letter gives ``und`` and score 0,
 and so does every text if nothing could be learned; a null lang teaches
@@ -26,59 +28,79 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import mix
+from .textscan import U64, mix
 
-SYMBOLS, PLACES = 48, 3
-GRAMS = SYMBOLS**PLACES
+PLACES = 3
 #: Characters worked on at once.
-CHARS = 1 << 19
+CHARS = 1 << 21
+#: n-gram vectors held at once.
+VECTORS = 1 << 15
 
 
 @lru_cache(maxsize=1)
-def symbols() -> np.ndarray:
-    """Code point -> symbol: 0 for what is no letter, a to z have one each, other letters share the rest."""
-    points = np.arange(0x110000, dtype=np.uint64)
-    table = (27 + mix(points) % np.uint64(SYMBOLS - 27)).astype(np.uint8)
-    letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
-    table[~letter] = 0
-    table[97:123] = np.arange(1, 27)
-    return table
+def letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
-@lru_cache(maxsize=1)
-def gram_vectors(dims: int, seed: int) -> np.ndarray:
-    """Vector of every n-gram of symbols."""
-    letters = (np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dims), dtype=np.int8) * 2 - 1).astype(np.int8)
-    a, b, c = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
-    pairs = (a[:, None, :] * b[None, :, :]).reshape(-1, dims)
-    return (pairs[:, None, :] * c[None, :, :]).reshape(-1, dims)
+def letter_vectors(points: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """Random vector of each code point (0 stands for all that is no letter)."""
+    lanes = np.arange(-(-dims // 64), dtype=U64)
+    key = mix(points.astype(U64) + U64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    bits = np.unpackbits(mix(key[:, None] + mix(lanes + U64(1))).astype("<u8").view(np.uint8).reshape(len(points), -1), axis=1)
+    return bits[:, :dims].astype(np.int8) * 2 - 1
+
+
+def gram_vectors(alphabet: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Vectors of n-grams, given as numbers to the base of the alphabet's size."""
+    size = len(alphabet)
+    out = alphabet[codes % size]
+    for place in range(1, PLACES):
+        codes = codes // size
+        out = out * np.roll(alphabet, place, axis=1)[codes % size]
+    return out
 
 
 def bundles(texts: list[str], dims: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Bundle of each text (float32), and whether it has a letter."""
-    vectors = gram_vectors(dims, seed)
     lowered = [f"\n{t.lower()}\n" for t in texts]
     sizes = np.fromiter(map(len, lowered), dtype=np.int64, count=len(lowered))
     points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letters = symbols()[points].astype(np.int32)
+    points = np.where(letters()[points], points, 0)
     docs = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     same = docs[1:] == docs[:-1]
-    keep = np.ones(len(letters), dtype=bool)
-    keep[1:] = (letters[1:] != 0) | (letters[:-1] != 0) | ~same  # runs of other characters count once
-    letters, docs = letters[keep], docs[keep]
+    keep = np.ones(len(points), dtype=bool)
+    keep[1:] = (points[1:] != 0) | (points[:-1] != 0) | ~same  # runs of other characters count once
+    points, docs = points[keep], docs[keep]
     out, has = np.zeros((len(texts), dims), dtype=np.float32), np.zeros(len(texts), dtype=bool)
-    has[docs[letters > 0]] = True
-    if len(letters) < PLACES:
+    has[docs[points > 0]] = True
+    if len(points) < PLACES:
         return out, has
-    grams = (letters[:-2] * SYMBOLS + letters[1:-1]) * SYMBOLS + letters[2:]
+    used = np.zeros(0x110000, dtype=np.int32)
+    used[points] = 1
+    alphabet = np.flatnonzero(used)
+    used[alphabet] = np.arange(len(alphabet))
+    vectors, size = letter_vectors(alphabet, dims, seed), len(alphabet)
+    own = used[points].astype(np.int64)
+    grams = (own[:-2] * size + own[1:-1]) * size + own[2:]
     inside = docs[:-2] == docs[2:]
     first = np.searchsorted(docs[:-2][inside], np.arange(len(texts) + 1))
     grams = grams[inside]
-    for d in np.flatnonzero(has):
-        found, counts = np.unique(grams[first[d] : first[d + 1]], return_counts=True)
-        counts = counts.astype(np.float32)
-        for i in range(0, len(found), 4096):
-            out[d] += counts[i : i + 4096] @ vectors[found[i : i + 4096]].astype(np.float32)
+    if size**PLACES <= 1 << 23:
+        present = np.flatnonzero(np.bincount(grams, minlength=size**PLACES))
+        number = np.zeros(size**PLACES, dtype=np.int32)
+        number[present] = np.arange(len(present))
+        numbers = number[grams]
+    else:
+        present, numbers = np.unique(grams, return_inverse=True)
+    counted = [(d, *np.unique(numbers[first[d] : first[d + 1]], return_counts=True)) for d in np.flatnonzero(has)]
+    for low in range(0, len(present), VECTORS):
+        block = gram_vectors(vectors, present[low : low + VECTORS])
+        for d, found, counts in counted:
+            a, b = np.searchsorted(found, (low, low + VECTORS)) if len(present) > VECTORS else (0, len(found))
+            for i in range(a, b, 4096):
+                j = min(b, i + 4096)
+                out[d] += counts[i:j].astype(np.float32) @ block[found[i:j] - low].astype(np.float32)
     return out, has
 
 
@@ -111,14 +133,13 @@ def _learner(dims: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def learn_prototypes(
-    docs: DataFrame, *, sample: int = 20_000, dims: int = 512, seed: int = 7, parts: int = 24,
+    docs: DataFrame, *, sample: int = 5_000, dims: int = 512, seed: int = 7, parts: int = 24,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> dict[str, np.ndarray]:
-    """Unit prototype of each language.  At most about ``sample`` documents are used (share by count, choice by hash)."""
+    """Unit prototype of each language, from about ``sample`` of its documents at most (share by count, choice by hash)."""
     base = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"))
-    total = base.count()
-    if total > sample:
-        base = base.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * sample / total))
+    share = base.groupBy("lang").agg(F.ceil(F.lit(1_000_000.0 * sample) / F.count("*")).alias("share"))  # a row per language
+    base = base.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share")).select("lang", "text", "h")
     partial = base.repartition(parts, "h").select("lang", "text").mapInArrow(_learner(dims, seed), "lang string, bundle binary")
     sums: dict[str, np.ndarray] = {}
     for row in sorted(partial.collect(), key=lambda r: (r.lang, bytes(r.bundle))):  # ``parts`` rows for each language
