@@ -193,7 +193,7 @@ def test_language_id(spark):
     rows = [(i, (en if i % 2 else de) * (1 + i % 4), "en" if i % 2 else "de", None, None) for i in range(60)]
     prototypes = lid.learn_prototypes(frame(spark, rows))
     ask = [(1, "that cat and the hat", None, None, None), (2, "die katze und der hund", None, None, None), (3, None, None, None, None), (4, " 12 !! ", None, None, None), (5, "x", None, None, None), (6, "", None, None, None), (7, en * 30_000, None, None, None)]
-    got = {r.doc_id: (r.lang_pred, r.score) for r in lid.identify(frame(spark, ask, clash=False), prototypes).collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lid.identify(frame(spark, ask).withColumn("lang_pred", F.lit(1)), prototypes).collect()}
     assert {k: v[0] for k, v in got.items() if k != 5} == {1: "en", 2: "de", 3: "und", 4: "und", 6: "und", 7: "en"}
     assert all(0 <= s <= 1 for _, s in got.values()) and got[3][1] == 0
     assert [r.doc_id for r in lid.identified(frame(spark, ask), prototypes).orderBy("doc_id").collect() if r.doc_id != 5] == [1, 2, 7]
@@ -202,13 +202,66 @@ def test_language_id(spark):
     assert lid.identify(frame(spark, []), prototypes).count() == 0
 
 
-def test_bundle_is_the_sum_of_its_grams():
-    dims = 64
-    vectors = lid.gram_vectors(dims, 3)
-    text = "ab, a"
-    symbol = [0, 1, 2, 0, 1, 0]
-    want = sum(vectors[(symbol[i] * 48 + symbol[i + 1]) * 48 + symbol[i + 2]].astype(int) for i in range(4))
-    assert (lid.bundles([text], dims, 3)[0][0] == want).all()
+def plain_bundle(text, dims, seed):
+    """The method letter by letter, in whole numbers."""
+    vector = {}
+    symbols = []
+    for c in f"\n{text.lower()}\n":
+        point = ord(c) if c.isalpha() else 0
+        if point or not symbols or symbols[-1]:
+            symbols.append(point)
+    for point in set(symbols):
+        vector[point] = lid.letter_vectors(np.array([point]), dims, seed)[0].astype(int).tolist()
+    total = [0] * dims
+    for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
+        for i in range(dims):
+            total[i] += vector[a][i - 2] * vector[b][i - 1] * vector[c][i]
+    return total
+
+
+@pytest.mark.parametrize("limit", [4, 1 << 15])
+def test_bundles_equal_the_plain_method(limit, monkeypatch):
+    monkeypatch.setattr(lid, "VECTORS", limit)
+    texts = ["ab, a", "", "ΑΒΓ  абв 日本語 abc abc", "x", "12", "".join(map(chr, range(0x4E00, 0x4F00)))]
+    found, has = lid.bundles(texts, 64, 3)
+    assert found.astype(int).tolist() == [plain_bundle(t, 64, 3) if h else [0] * 64 for t, h in zip(texts, has, strict=True)]
+    assert has.tolist() == [True, False, True, True, False, True]
+
+
+def test_letters_of_every_script_have_vectors_of_their_own():
+    points = np.array([0, *map(ord, "abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопрстуфхцчшщъыьэюяαβγδεζηθικλμνξοπρστυφχψω日本語")])
+    vectors = lid.letter_vectors(points, 1024, 7).astype(int)
+    cosines = vectors @ vectors.T / 1024
+    assert set(np.unique(vectors)) == {-1, 1} and np.abs(cosines - np.eye(len(points))).max() < 0.2
+
+
+def test_registered_language_id_against_the_plain_method(spark, sf):
+    """Scores and languages of some rows of the registered query, from prototypes made by the plain method."""
+    from zlib import crc32
+
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r.text or "") < 1500]
+    small = spark.createDataFrame(docs).select("doc_id", "text", "lang")
+    learned = lid.learn_prototypes(small.where(~lid.held_out(F.col("doc_id"), 3, 1)), dims=64)
+    sums = {}
+    for r in docs:
+        if crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and any(map(str.isalpha, r.text)):
+            v = np.array(plain_bundle(r.text, 64, 7), dtype=float)
+            sums[r.lang] = sums.get(r.lang, 0) + v / np.linalg.norm(v)
+    assert learned.keys() == sums.keys()
+    want = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    assert all(np.allclose(learned[k], want[k], atol=1e-5) for k in want)
+    got = {r.doc_id: r for r in lid.identify(small, learned, dims=64).collect()}
+    for r in docs[:60]:
+        if any(map(str.isalpha, r.text)):
+            v = np.array(plain_bundle(r.text, 64, 7), dtype=float)
+            cosines = {k: float(v @ p / np.linalg.norm(v)) for k, p in want.items()}
+            best = max(cosines, key=cosines.get)
+            assert abs(got[r.doc_id].score - max(0, cosines[best])) < 1e-4 and cosines[got[r.doc_id].lang_pred] > cosines[best] - 1e-4
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, "der hund und die katze", "de", None, None) for i in range(400)] + [(1000, "the cat sat on the mat", "en", None, None)]
+    assert lid.learn_prototypes(frame(spark, rows), sample=10).keys() == {"de", "en"}
 
 
 def test_quality(spark, sf):
@@ -233,6 +286,98 @@ def test_additive_model_finds_an_interaction():
     assert ((model.score(x) > 0.5) == y).mean() > 0.9 and {(0, 1)} <= {p[:2] for p in model.pairs}
 
 
+def plain_fit(x, y, rounds, pairs, pair_rounds, grid, bins):
+    """The boosting of the additive model with loops over rows and cuts."""
+    import math
+
+    n, width = len(y), len(x[0])
+    edges = [sorted({float(q) for q in np.quantile([r[i] for r in x], [k / bins for k in range(1, bins)])}) for i in range(width)]
+    at = [[sum(r[i] >= e for e in edges[i]) for i in range(width)] for r in x]
+    share = sum(y) / n
+    total, tables = [math.log(share / (1 - share))] * n, [[0.0] * (len(e) + 1) for e in edges]
+    chance = lambda: [1 / (1 + math.exp(-t)) for t in total]
+    sums = lambda cell, cells: ({c: sum(y[k] - p[k] for k in range(n) if cell(k) == c) for c in cells}, {c: sum(p[k] * (1 - p[k]) for k in range(n) if cell(k) == c) for c in cells})
+
+    def tree(g, h, cells, depth):
+        gains = []
+        part = lambda own: sum(g[c] for c in own) ** 2 / (sum(h[c] for c in own) + 1)
+        for k in range(1, len(cells)) if depth else ():
+            gains.append((part(cells[:k]) + part(cells[k:]) - part(cells), -k))
+        if not gains or max(gains)[0] <= 1e-6:
+            return {c: sum(g[d] for d in cells) / (sum(h[d] for d in cells) + 1) for c in cells}
+        k = -max(gains, key=lambda q: (round(q[0], 9), q[1]))[1]
+        return tree(g, h, cells[:k], depth - 1) | tree(g, h, cells[k:], depth - 1)
+
+    for _ in range(rounds):
+        for i in range(width):
+            p, cells = chance(), list(range(len(tables[i])))
+            step = tree(*sums(lambda k, i=i: at[k][i], cells), cells, 2)
+            for k in range(n):
+                total[k] += 0.15 * step[at[k][i]]
+            tables[i] = [t + 0.15 * step[c] for c, t in enumerate(tables[i])]
+    return edges, tables, total
+
+
+def test_fitted_tables_equal_the_plain_boosting():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (80, 3)).astype(float)
+    y = ((x[:, 0] + x[:, 1] * 0.7 + rng.normal(0, 1, 80)) > 7).astype(float)
+    model = quality.fit(x, y, bins=6, rounds=5, pairs=0)
+    edges, tables, total = plain_fit(x.tolist(), y.tolist(), 5, 0, 0, 0, 6)
+    assert [e.tolist() for e in model.edges] == edges
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(model.tables, tables, strict=True))
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-np.array(total))))
+    # a score is a sum of table entries
+    model = quality.fit(x, y, bins=6)
+    for row, score in zip(x[:20], model.score(x[:20]), strict=True):
+        own = [int(sum(v >= e for e in edge)) for v, edge in zip(row, model.edges, strict=True)]
+        logit = model.base + sum(t[b] for t, b in zip(model.tables, own, strict=True)) + sum(t[ci[own[i]], cj[own[j]]] for i, j, ci, cj, t in model.pairs)
+        assert abs(score - 1 / (1 + np.exp(-logit))) < 1e-12
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_pair_trees_cut_where_all_cuts_are_tried(seed):
+    rng = np.random.default_rng(seed)
+    g, h = rng.normal(0, 1, (4, 5)), rng.random((4, 5))
+    part = lambda a, b: g[a, b].sum() ** 2 / (h[a, b].sum() + 1)
+    cuts = [(i, j) for i in range(4) for j in range(5)]
+    gain = {(i, j): sum(part(a, b) for a in (slice(0, i), slice(i, None)) for b in (slice(0, j), slice(j, None))) for i, j in cuts}
+    i, j = max(gain, key=gain.get)
+    found = quality._quadrants(g, h)
+    for a in (slice(0, i), slice(i, None)):
+        for b in (slice(0, j), slice(j, None)):
+            assert np.allclose(found[a, b], g[a, b].sum() / (h[a, b].sum() + 1))
+
+
+def test_features_equal_plain_counts():
+    texts = ["Ab, cd!! cd cd 12 é|x\nLongerThanFifteenLetters #", "", "a", "   "]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    found = quality.features(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
+    for row, text, data in zip(found, texts, raw, strict=True):
+        words = text.split()
+        got = dict(zip(quality.FEATURES, row, strict=True))
+        share = lambda ok: sum(ok(chr(b)) for b in data) / max(1, len(data))  # noqa: E731,B023
+        assert np.isclose(got["log_words"], np.log1p(len(words)))
+        assert np.isclose(got["mean_word"], sum(len(w.encode()) for w in words) / max(1, len(words)))
+        assert np.isclose(got["upper"], share(lambda c: "A" <= c <= "Z")) and np.isclose(got["digits"], share(lambda c: c in "0123456789"))
+        assert np.isclose(got["high_bytes"], sum(b > 127 for b in data) / max(1, len(data))) and np.isclose(got["shouts"], share(lambda c: c == "!"))
+        assert np.isclose(got["distinct_words"], len(set(words)) / max(1, len(words))) and np.isclose(got["same_as_last"], sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words)))
+        assert np.isclose(got["long_words"], sum(len(w.encode()) > 15 for w in words) / max(1, len(words)))
+
+
+def test_contradictory_labels_and_repeated_ids(spark):
+    text = lambda i: "good clean words here " * 5 if i % 2 else "## !! %% @@ " * 5
+    docs = frame(spark, [(i, text(i), None, None, None) for i in range(40)] + [(1, "good clean again", None, None, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.learn(docs, labels)
+    both = labels.unionByName(spark.createDataFrame([(1000, 0), (1000, 1), (2000, None), (None, 1), (3000, 7)], labels.schema))
+    again = quality.learn(docs, both)
+    assert again.base == model.base and all((a == b).all() for a, b in zip(model.tables, again.tables, strict=True))
+    flipped = labels.unionByName(labels.select("doc_id", (1 - F.col("quality")).alias("quality")))
+    assert quality.learn(docs, flipped).edges == []
+
+
 def plain_alignment(a, b):
     best, rows = 0, [[0] * (len(b) + 1)]
     for x in a:
