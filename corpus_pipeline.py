@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``.  All but the last
-return the columns of ``documents``; a doc_id is taken to name one document.
+return the columns of ``documents``.
+
+Defined cases, of every stage: decisions are taken row by row, so rows that
+repeat a doc_id or have none are documents of their own, of which one stays if
+their texts are equal or near; a null text counts as empty, has no language and
+goes with the first stage; nulls in other columns are kept; an empty table gives
+an empty one; further columns are kept.
 """
 
 from __future__ import annotations
@@ -18,14 +24,16 @@ from sievelog.llm.language_id import identified, learn_prototypes
 from sievelog.llm.near_dedup import near_dedup
 from sievelog.llm.packing import pack
 from sievelog.llm.queries import tokenizer_path
-from sievelog.llm.shared import new_folder
+from sievelog.llm.shared import ORD, new_folder, remove_folder, with_order
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    gone = dropped.select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of ``docs`` that ``judge`` keeps; it gets them with a number of their own as the id."""
+    rows, _ = with_order(docs, "doc_id", *[docs[c] for c in docs.columns if c != ORD])
+    gone = judge(rows).where("not kept").select(F.col("doc_id").alias("_gone"))
+    return rows.join(gone, rows[ORD] == gone["_gone"], "left_anti").select(*docs.columns)
 
 
 #: (letters, score): texts of fewer than 20 letters are too short to tell from chance and stay; longer ones score
@@ -39,13 +47,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts stays."""
-    return _without(docs, exact_dedup(docs, digest=True).where("not kept"))
+    """One document of each set of equal texts stays; only texts that share length and prefix are hashed in full."""
+    return _kept(docs, lambda rows: exact_dedup(rows, id_col=ORD))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity 0.8 or more."""
-    return _without(docs, near_dedup(docs, words=5, similarity=(80, 100), bands=32, rows=5).where("not kept"))
+    return _kept(docs, lambda rows: near_dedup(rows, id_col=ORD, words=5, similarity=(80, 100), bands=32, rows=5))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,12 +79,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; a stage's files are deleted once the next one's are written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         folder = new_folder(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if last is not None:
+            remove_folder(spark, last)
+        last = folder
     return docs
 
 
