@@ -1,16 +1,17 @@
 """The template tree: fixed depth, one root per message length, leaves with clusters.
 
 A plain Python object.  Messages of different lengths never meet in it, which
-is what lets Spark build it length by length.  Clusters of a leaf are found by
-an inverted index (place, token) -> clusters: a message that needs ``k`` equal
-tokens of ``n`` shares one with any match in every choice of ``n - k + 1``
-places, so only the clusters of the shortest lists are scored.
+is what lets Spark build it length by length.  A leaf keeps its clusters column
+by column as numbers of tokens, so a message is scored against all of them by one
+comparison per place; places whose token no cluster of the leaf has had are
+skipped, and too few of the others mean that nothing matches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+
+import numpy as np
 
 from ..config import WILDCARD, MiningConfig
 
@@ -23,13 +24,63 @@ def key_of(token: str) -> str:
     return WILDCARD if has_digit(token) else token
 
 
-@dataclass(eq=False)
 class Node:
-    """Inner node (children) or leaf (clusters)."""
+    """Inner node (children) or leaf (clusters, oldest first)."""
+
+    def __init__(self) -> None:
+        self.children: dict[str, Node] = {}
+        self.clusters: list[int] = []
+        self.columns: list[np.ndarray] = []  # numbers of the tokens at each place, 0 for a wildcard
+        self.wild = np.zeros(4, dtype=np.int32)
+        self.present: list[set[int]] = []  # numbers that a place has ever had
+        self.version = 0
 
-    children: dict[str, Node] = field(default_factory=dict)
-    clusters: list[int] = field(default_factory=list)
-    index: dict[tuple[int, str], set[int]] = field(default_factory=dict)
+    def add(self, c: int, codes: Sequence[int]) -> None:
+        k = len(self.clusters)
+        if not k:
+            self.columns = [np.zeros(4, dtype=np.int32) for _ in codes]
+            self.present = [set() for _ in codes]
+        if k == len(self.wild):
+            self.wild = np.resize(self.wild, 2 * k)
+            self.columns = [np.resize(column, 2 * k) for column in self.columns]
+        self.wild[k] = 0
+        for column, seen, code in zip(self.columns, self.present, codes, strict=True):
+            column[k] = code
+            if code:
+                seen.add(code)
+            else:
+                self.wild[k] += 1
+        self.clusters.append(c)
+        self.version += 1
+
+    def blank(self, row: int, place: int) -> None:
+        """A place of a cluster becomes a wildcard."""
+        self.columns[place][row] = 0
+        self.wild[row] += 1
+        self.version += 1
+
+    def best(self, codes: Sequence[int], need: int) -> int | None:
+        """Row with the most equal tokens, then the most wildcards, then the earliest; None below ``need`` equal ones."""
+        k = len(self.clusters)
+        if not codes or not k:
+            return 0 if k else None
+        places = [i for i, code in enumerate(codes) if code in self.present[i]]
+        if len(places) < need:
+            return None
+        equal = np.zeros(k, dtype=np.int32)
+        for i in places:
+            equal += self.columns[i][:k] == codes[i]
+        row = int((equal * (len(codes) + 1) + self.wild[:k]).argmax())
+        return row if equal[row] >= need else None
+
+    def covering(self, codes: Sequence[int]) -> int | None:
+        """Row whose constants are all equal: fewest wildcards, then the earliest."""
+        k = len(self.clusters)
+        fits = np.ones(k, dtype=bool)
+        for column, code in zip(self.columns, codes, strict=True):
+            fits &= (column[:k] == code) | (column[:k] == 0)
+        rows = np.flatnonzero(fits)
+        return int(rows[self.wild[rows].argmin()]) if len(rows) else None
 
 
 class Tree:
@@ -39,15 +90,26 @@ class Tree:
         self.config, self.threshold = config, config.threshold
         self.roots: dict[int, Node] = {}
         self.clusters: list[list[str]] = []
-        self.wild: list[int] = []
         self.leaf_of: list[Node] = []
+        self.row_of: list[int] = []
         self.births: list[int] = []
-        self.of_length: dict[int, Node] = {}
-        self.version = 0
+        self.numbers: dict[str, int] = {}
+        self.lengths: dict[int, tuple[Node, dict[int, int]]] = {}  # all clusters of a length, made when first asked for
+        self.shape = 0  # nodes made so far: paths may have changed when it has
 
     # search
 
-    def _leaf(self, tokens: Sequence[str]) -> Node | None:
+    def codes(self, tokens: Sequence[str]) -> list[int]:
+        """Numbers of a message's tokens; -1 equals nothing."""
+        get = self.numbers.get
+        return [-1 if t == WILDCARD else get(t, -1) for t in tokens]
+
+    def _own(self, tokens: Sequence[str]) -> list[int]:
+        """Numbers of a template's tokens."""
+        numbers = self.numbers
+        return [0 if t == WILDCARD else numbers.setdefault(t, len(numbers) + 1) for t in tokens]
+
+    def leaf(self, tokens: Sequence[str]) -> Node | None:
         node = self.roots.get(len(tokens))
         for token in tokens[: self.config.layers(len(tokens))]:
             if node is None:
@@ -55,92 +117,95 @@ class Tree:
             node = node.children.get(key_of(token)) or node.children.get(WILDCARD)
         return node
 
-    def _best(self, node: Node, tokens: Sequence[str]) -> int | None:
-        """Most equal tokens, then most wildcards, then the earliest; None below the threshold."""
-        n = len(tokens)
-        if n == 0:
-            return node.clusters[0] if node.clusters else None
-        need = -(-self.threshold * n // 1_000_000)
-        if need == 0 or len(node.clusters) < 16:
-            near: Iterable[int] = node.clusters
-        else:
-            lists = sorted((node.index.get((i, t), ()) for i, t in enumerate(tokens) if t != WILDCARD), key=len)
-            missing = n - len(lists)
-            near = set().union(*lists[: max(0, n - need + 1 - missing)])
-        best, rank = None, (-1, -1, 0)
-        for c in near:
-            template = self.clusters[c]
-            exact = sum(1 for a, b in zip(template, tokens, strict=True) if a == b and a != WILDCARD)
-            mine = (exact, self.wild[c], -c)
-            if mine > rank:
-                best, rank = c, mine
-        return best if best is not None and rank[0] * 1_000_000 >= self.threshold * n else None
+    def _need(self, n: int) -> int:
+        return -(-self.threshold * n // 1_000_000)
 
     def find(self, tokens: Sequence[str]) -> int | None:
         """The cluster that training would choose."""
-        leaf = self._leaf(tokens)
-        return None if leaf is None else self._best(leaf, tokens)
+        leaf = self.leaf(tokens)
+        row = None if leaf is None else leaf.best(self.codes(tokens), self._need(len(tokens)))
+        return None if row is None else leaf.clusters[row]
+
+    def _of_length(self, n: int) -> Node:
+        if n not in self.lengths:
+            node, rows = Node(), {}
+            for c, tokens in enumerate(self.clusters):
+                if len(tokens) == n:
+                    rows[c] = len(node.clusters)
+                    node.add(c, self._own(tokens))
+            self.lengths[n] = node, rows
+        return self.lengths[n][0]
 
     def assign(self, tokens: Sequence[str]) -> int | None:
         """``find``, and failing that the best cluster of the same length."""
         found = self.find(tokens)
-        if found is None and len(tokens) in self.of_length:
-            found = self._best(self.of_length[len(tokens)], tokens)
+        if found is None:
+            node = self._of_length(len(tokens))
+            row = node.best(self.codes(tokens), self._need(len(tokens)))
+            found = None if row is None else node.clusters[row]
         return found
 
     def fits(self, tokens: Sequence[str]) -> int | None:
         """Exact rule: every constant is equal; fewest wildcards, then the earliest."""
-        node, best = self.of_length.get(len(tokens)), None
-        for c in node.clusters if node else ():
-            if all(a in (WILDCARD, b) for a, b in zip(self.clusters[c], tokens, strict=True)) and (best is None or self.wild[c] < self.wild[best]):
-                best = c
-        return best
+        node = self._of_length(len(tokens))
+        row = node.covering(self.codes(tokens)) if node.clusters else None
+        return None if row is None else node.clusters[row]
 
     # change
 
     def _note(self, node: Node, c: int) -> None:
-        node.clusters.append(c)
-        for i, t in enumerate(self.clusters[c]):
-            if t != WILDCARD:
-                node.index.setdefault((i, t), set()).add(c)
-
-    def _generalise(self, c: int, tokens: Sequence[str]) -> None:
+        """Put a cluster into its leaf."""
+        codes = self._own(self.clusters[c])
+        self.leaf_of[c], self.row_of[c] = node, len(node.clusters)
+        node.add(c, codes)
+        if len(codes) in self.lengths:
+            every, rows = self.lengths[len(codes)]
+            rows[c] = len(every.clusters)
+            every.add(c, codes)
+
+    def generalise(self, c: int, tokens: Sequence[str]) -> None:
+        """Places of a cluster that differ from a message become wildcards."""
         template = self.clusters[c]
+        if template == tokens:
+            return
         for i, (a, b) in enumerate(zip(template, tokens, strict=True)):
             if a != b and a != WILDCARD:
-                for node in (self.leaf_of[c], self.of_length[len(template)]):
-                    node.index[i, a].discard(c)
                 template[i] = WILDCARD
-                self.wild[c] += 1
-                self.version += 1
+                self.leaf_of[c].blank(self.row_of[c], i)
+                if len(template) in self.lengths:
+                    every, rows = self.lengths[len(template)]
+                    every.blank(rows[c], i)
 
     def _path(self, tokens: Sequence[str]) -> Node:
-        node = self.roots.setdefault(len(tokens), Node())
+        node = self.roots.get(len(tokens))
+        if node is None:
+            node = self.roots[len(tokens)] = Node()
+            self.shape += 1
         for token in tokens[: self.config.layers(len(tokens))]:
             key, kids = key_of(token), node.children
             if key not in kids and key != WILDCARD:
                 room = len(kids) + (WILDCARD not in kids) < self.config.max_children
                 key = key if room else WILDCARD
-            node = kids.setdefault(key, Node())
+            if key not in kids:
+                kids[key] = Node()
+                self.shape += 1
+            node = kids[key]
         return node
 
     def create(self, tokens: Sequence[str], birth: int) -> int:
         c = len(self.clusters)
         self.clusters.append(list(tokens))
-        self.wild.append(sum(t == WILDCARD for t in tokens))
         self.births.append(birth)
-        leaf = self._path(tokens)
-        self.leaf_of.append(leaf)
-        self._note(leaf, c)
-        self._note(self.of_length.setdefault(len(tokens), Node()), c)
-        self.version += 1
+        self.leaf_of.append(None)  # type: ignore[arg-type]
+        self.row_of.append(0)
+        self._note(self._path(tokens), c)
         return c
 
     def learn(self, tokens: Sequence[str], birth: int, may_create: bool = True) -> int | None:
         """Add a message; its cluster, or None if it needs a new one that may not be made."""
         c = self.find(tokens)
         if c is not None:
-            self._generalise(c, tokens)
+            self.generalise(c, tokens)
             return c
         return self.create(tokens, birth) if may_create else None
 
@@ -148,14 +213,18 @@ class Tree:
         """Remove clusters; the others keep their order.  Gives old -> new numbers."""
         kept = [c for c in range(len(self.clusters)) if c not in gone]
         number = {old: new for new, old in enumerate(kept)}
-        nodes = {id(n): n for n in [*self.leaf_of, *self.of_length.values()]}
-        for node in nodes.values():
-            node.clusters = [number[c] for c in node.clusters if c in number]
-            node.index = {k: s for k, v in node.index.items() if (s := {number[c] for c in v if c in number})}
-        for name in ("clusters", "wild", "births", "leaf_of"):
+        for leaf in {id(n): n for n in self.leaf_of}.values():
+            rows = [row for row, c in enumerate(leaf.clusters) if c in number]
+            leaf.clusters = [number[leaf.clusters[row]] for row in rows]
+            room = max(4, len(rows))
+            leaf.columns, leaf.wild = [np.resize(x[rows], room) for x in leaf.columns], np.resize(leaf.wild[rows], room)
+            leaf.version += 1
+            for row, c in enumerate(leaf.clusters):
+                self.row_of[kept[c]] = row
+        for name in ("clusters", "births", "leaf_of", "row_of"):
             values = getattr(self, name)
             setattr(self, name, [values[c] for c in kept])
-        self.version += 1
+        self.lengths = {}
         return number
 
     # plain data
@@ -207,8 +276,8 @@ class Tree:
         tree = cls(config)
         tree.clusters = [list(c) for c in data["clusters"]]
         tree.births = list(data.get("births") or range(len(tree.clusters)))
-        tree.wild = [sum(t == WILDCARD for t in c) for c in tree.clusters]
         tree.leaf_of = [None] * len(tree.clusters)  # type: ignore[list-item]
+        tree.row_of = [0] * len(tree.clusters)
         if len(tree.clusters) > config.max_templates or any("" in c for c in tree.clusters):
             raise ValueError("the state has too many clusters or an empty token")
         nodes, seen = data["nodes"], set()
@@ -230,7 +299,6 @@ class Tree:
                     raise ValueError("a cluster of the state is in a wrong leaf")
                 if any(p not in (WILDCARD, t) and t != WILDCARD for p, t in zip(path, tree.clusters[c], strict=False)):
                     raise ValueError("a cluster of the state cannot follow its path")
-                tree.leaf_of[c] = node
                 tree._note(node, c)
             return node
 
@@ -241,6 +309,4 @@ class Tree:
             tree.roots[length] = build(at, length, 0, [])
         if len(seen) != len(nodes) or any(leaf is None for leaf in tree.leaf_of):
             raise ValueError("the state has parts that nothing leads to")
-        for c, tokens in enumerate(tree.clusters):
-            tree._note(tree.of_length.setdefault(len(tokens), Node()), c)
         return tree

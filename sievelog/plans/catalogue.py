@@ -271,7 +271,7 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drain_train_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frozen, _, _ = pipeline.trained(prepare(events(spark, sf_dir), MiningConfig()), MiningConfig())
+    frozen, _, _ = pipeline.trained(prepare(events(spark, sf_dir), MiningConfig()), MiningConfig(), keep_tree=False)
     return frozen.select("id", "text", "count", "first", "last", "level", "example")
 
 
@@ -282,7 +282,7 @@ def drain_recount_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mining of diverse text: every line of every document, default settings."""
-    frozen, _, _ = pipeline.trained(prepare(document_records(spark, sf_dir), MiningConfig()), MiningConfig())
+    frozen, _, _ = pipeline.trained(prepare(document_records(spark, sf_dir), MiningConfig()), MiningConfig(), keep_tree=False)
     return frozen.select("id", "text", "count")
 
 

@@ -54,12 +54,13 @@ def _texts(tree: Tree, prepared: DataFrame) -> DataFrame:
     return prepared.sparkSession.createDataFrame(rows, "cluster int, text string")
 
 
-def trained(prepared: DataFrame, config: MiningConfig, start: Tree | None = None, examples: str = "raw") -> tuple[DataFrame, DataFrame, Tree]:
+def trained(
+    prepared: DataFrame, config: MiningConfig, start: Tree | None = None, examples: str = "raw", *, chunks: int | None = None, keep_tree: bool = True
+) -> tuple[DataFrame, DataFrame, Tree | None]:
     """(frozen templates, raw cluster statistics, tree) of training alone."""
-    clusters, tree = train(prepared, config, start)
-    heads = _shown(prepared, examples).select("run", F.col("ord").alias("first_ord"), F.col("message").alias("example"))
-    with_examples = clusters.withColumn("text", _text(F.col("tokens"))).join(heads, ["run", "first_ord"], "left")
-    return _examples(stats.freeze(with_examples.select("text", "run", *STATS, "example", "first_ord")), examples), clusters, tree
+    clusters, tree = train(prepared, config, start, examples=examples, chunks=chunks, keep_tree=keep_tree)
+    named = clusters.withColumn("text", _text(F.col("tokens")))
+    return stats.freeze(named.select("text", "run", *STATS, "example", "first_ord")), clusters, tree
 
 
 def counted(prepared: DataFrame, tree: Tree, *, exact: bool = False, pool_unmatched: bool = True, examples: str = "raw") -> tuple[DataFrame, DataFrame]:
@@ -117,16 +118,16 @@ def _model(clusters: DataFrame, tree: Tree, config: MiningConfig, start: Model |
 
 def analyze(
     records: DataFrame, config: MiningConfig | None = None, *, run: RunSummary | None = None, format: str = "plain", examples: str = "raw",
-    start: Model | None = None, keep_model: bool = False, with_values: bool = False, value_templates: int = values.TRACKED,
+    start: Model | None = None, keep_model: bool = False, with_values: bool = False, value_templates: int = values.TRACKED, chunks: int | None = None,
 ) -> Analysis:
-    """Templates of one run."""
+    """Templates of one run; ``chunks`` trains so many stretches apart and merges their trees."""
     if examples not in ("raw", "masked", "none"):
         raise SettingError("examples are 'raw', 'masked' or 'none'")
     config = config or MiningConfig()
     if start and start.config.fingerprint() != config.fingerprint():
         raise SettingError("the state was mined with other masks or parameters")
     prepared = prepare(records, config)
-    templates, clusters, tree = trained(prepared, config, start.tree if start else None, examples)
+    templates, clusters, tree = trained(prepared, config, start.tree if start else None, examples, chunks=chunks, keep_tree=keep_model or with_values)
     summary = _summaries(clusters, {0: run} if run else {}).get(0, run or RunSummary())
     model = _model(clusters, tree, config, start, format) if keep_model else None
     result = Analysis(templates.drop("run", "first_ord"), summary, format, model=model)
@@ -140,12 +141,12 @@ def analyze(
 
 def diff(
     records: DataFrame, config: MiningConfig | None = None, options: DiffConfig | None = None, *, summaries: dict[int, RunSummary] | None = None,
-    recount: bool = True, matcher: object = None, threshold: float | None = None, examples: str = "raw", new_values: bool = False, value_templates: int = values.TRACKED,
+    recount: bool = True, matcher: object = None, threshold: float | None = None, examples: str = "raw", new_values: bool = False, value_templates: int = values.TRACKED, chunks: int | None = None,
 ) -> Diff:
     """Compare the last run of ``records`` with the runs before it (several are pooled as baselines)."""
     config, options = config or MiningConfig(), options or DiffConfig()
     prepared = prepare(records, config)
-    templates, clusters, tree = trained(prepared, config, examples=examples)
+    templates, clusters, tree = trained(prepared, config, examples=examples, chunks=chunks, keep_tree=recount or new_values)
     runs = _summaries(clusters, summaries or {})
     last = max(runs, default=1)
     named = None
@@ -216,7 +217,7 @@ def check(
     prepared = prepare(records, model.config)
     matched, named = counted(prepared, model.tree, pool_unmatched=False, examples=examples)
     strange = named.where(F.col("cluster") == UNMATCHED).select(*prepared.columns)
-    fresh, _, _ = trained(strange, model.config, examples=examples)
+    fresh, _, _ = trained(strange, model.config, examples=examples, keep_tree=False)
     total = prepared.count() if run is None else run.records
     summary = replace(run or RunSummary(), records=total, unmatched=_unmatched(named).get(0, ()))
     known = RunSummary("model", records=sum(h[0] for h in model.history) + sum(h[0] for h in model.overflow.values()))
