@@ -31,6 +31,18 @@ _OPEN, _CLOSE = "\x01", "\x02"
 _ANY = "|".join(f"(?:{_java(r.pattern)})" for r in DEFAULT_RULES)
 
 
+#: Any default rule, for Java.
+ANY_RULE = _ANY
+
+
+def rule_number(hit: Column) -> Column:
+    """Number of the default rule that a hit is of, tried in rule order."""
+    chain = F.when(hit.rlike(rf"^(?:{_java(DEFAULT_RULES[0].pattern)})\z"), F.lit(0))
+    for k, rule in enumerate(DEFAULT_RULES[1:-1], 1):
+        chain = chain.when(hit.rlike(rf"^(?:{_java(rule.pattern)})\z"), F.lit(k))
+    return chain.otherwise(F.lit(len(DEFAULT_RULES) - 1))
+
+
 def mask_default(message: Column) -> Column:
     """The default rules: pieces between matches are joined with the tokens of the matches.
 

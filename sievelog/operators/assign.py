@@ -1,34 +1,49 @@
 """Assignment of records to a finished tree, which it never changes.
 
-The answer depends on the masked message alone, so only distinct messages are
-assigned, by the tree broadcast to the workers (bounded by ``max_templates``),
-and joined back.
+The answer depends on the masked message alone.  Records stay where they are:
+only the masked messages go to the workers, which number them batch by batch
+and remember the answers, so neither a shuffle nor a common message matters.
+The tree is broadcast; ``max_templates`` bounds it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import delimiter_class
 from .tree import Tree
 
 UNMATCHED = -1
+#: Answers that a task remembers.
+REMEMBERED = 500_000
 
 
 def assign(prepared: DataFrame, tree: Tree, *, exact: bool = False) -> DataFrame:
     """Add ``cluster``: the number of each record's cluster, or -1 if none matches."""
     shared = prepared.sparkSession.sparkContext.broadcast(tree)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        choose = shared.value.fits if exact else shared.value.assign
+    @F.arrow_udf("int")
+    def cluster(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = shared.value
+        choose = own.fits if exact else own.assign
+        tokens_of = re.compile(f"[^{delimiter_class(own.config.delimiters)[1:-2]}]+").findall
+        known: dict[str, int] = {}
         for batch in batches:
-            tokens = batch.column("tokens").to_pylist()
-            found = [UNMATCHED if (c := choose(t)) is None else c for t in tokens]
-            yield pa.RecordBatch.from_arrays([batch.column("masked"), pa.array(found, pa.int32())], names=["masked", "cluster"])
-
-    distinct = prepared.groupBy("masked").agg(F.first("tokens").alias("tokens"))
-    answers = distinct.mapInArrow(run, "masked string, cluster int")
-    return prepared.join(answers, "masked")
+            coded = batch.dictionary_encode()
+            texts = coded.dictionary.to_pylist()
+            for text in texts:
+                if text not in known:
+                    found = choose(tokens_of(text))
+                    known[text] = UNMATCHED if found is None else found
+            answers = np.fromiter(map(known.__getitem__, texts), dtype=np.int32, count=len(texts))
+            yield pa.array(answers[coded.indices.to_numpy(zero_copy_only=False)])
+            if len(known) > REMEMBERED:
+                known.clear()
+
+    return prepared.withColumn("cluster", cluster("masked"))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ..config import EXAMPLE_BYTES, LEVELS, WILDCARD, MiningConfig
 from ..functions.masking import mask
 from ..functions.tokens import cut_bytes, delimiter_class, tokenise
+from .spread import spread
 from .stats import LEVEL_COLUMNS
 from .tree import Node, Tree
 
@@ -49,7 +50,7 @@ CALM = 64
 
 def prepare(records: DataFrame, config: MiningConfig) -> DataFrame:
     """Add the masked message, its tokens and their number."""
-    masked = records.withColumn("masked", mask(F.col("message"), config.masks))
+    masked = spread(records).withColumn("masked", mask(F.col("message"), config.masks))
     tokens = masked.withColumn("tokens", tokenise(F.col("masked"), config.delimiters))
     return tokens.withColumn("n_tokens", F.size("tokens"))
 

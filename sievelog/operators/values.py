@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_RULES, MaskRule
-from ..functions.masking import Masker
+from ..functions.masking import ANY_RULE, Masker, rule_number
 from ..functions.parameters import extract
-from ..functions.tokens import cut_bytes
+from ..functions.tokens import DELIMITERS, cut_bytes
 
 TRACKED, DISTINCT, VALUE_BYTES, TOP, GROWTH = 200, 1000, 64, 10, 1.05
 PRESENCE_LIMIT = 1_000_000
@@ -22,8 +22,50 @@ NAMES = frozenset({"*", *(r.name for r in DEFAULT_RULES)})
 KEYS = ["text", "position", "name"]
 
 
-def parameters(assigned: DataFrame, masks: Sequence[MaskRule] = DEFAULT_RULES, delimiters: str = " \t\n\r") -> DataFrame:
+#: Marks around hits, and what stands for a space inside one; messages that have them get the noncharacters instead.
+_OPEN, _CLOSE, _BLANK = "\x01", "\x02", "\x03"
+_MARKS, _SPARE = "\x01\x02\x03", "\ufdd0\ufdd1\ufdd2"
+
+
+def _default_parameters(assigned: DataFrame) -> DataFrame:
+    """``parameters`` for the default rules and delimiters, without Python.
+
+    No hit of a default rule has a delimiter but the space of a time, so both
+    the masked tokens, with the number of a rule for each hit, and the original
+    tokens follow from splitting.
+    """
+    has = F.col("message").rlike(f"[{_MARKS}]")
+    message = F.when(has, F.translate("message", _MARKS, _SPARE)).otherwise(F.col("message"))
+    cut = F.split(F.regexp_replace(message, f"({ANY_RULE})", f"{_OPEN}$1{_CLOSE}"), _OPEN, -1)
+    marked = assigned.withColumn("_cut", cut).withColumn("_has", has)
+    hit, gap = lambda p: F.substring_index(p, _CLOSE, 1), lambda p: F.substring_index(p, _CLOSE, -1)
+    pieces = F.slice("_cut", 2, F.greatest(F.size("_cut") - 1, F.lit(0)))
+    rebuilt = lambda f: F.concat(F.element_at("_cut", 1), F.array_join(F.transform(pieces, lambda p: F.concat(f(p), gap(p))), ""))
+    tokens = lambda text: F.filter(F.split(text, "[ \t\n\r]+"), lambda t: t != "")
+    split = marked.select(
+        "run", "ord", "text", "_has",
+        F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", " ", -1)).alias("_template"),
+        F.transform(pieces, hit).alias("_hits"),
+        tokens(rebuilt(lambda p: F.concat(F.lit(_OPEN), rule_number(hit(p)).cast("string")))).alias("_coded"),
+        tokens(rebuilt(lambda p: F.translate(hit(p), " ", _BLANK))).alias("_whole"),
+    ).where(F.size("_template") == F.size("_coded"))
+    places = F.flatten(F.transform("_coded", lambda t, i: F.array_repeat(i, F.size(F.split(t, _OPEN, -1)) - 1)))
+    codes = F.flatten(F.transform("_coded", lambda t: F.transform(F.slice(F.split(t, _OPEN, -1), 2, F.greatest(F.size(F.split(t, _OPEN, -1)) - 1, F.lit(0))), lambda s: F.substring(s, 1, 1))))
+    names = F.array(*[F.lit(r.name) for r in DEFAULT_RULES])
+    of_hits = F.zip_with(F.arrays_zip(places.alias("p"), codes.alias("c")), "_hits", lambda x, h: F.struct(x["p"].alias("position"), F.element_at(names, x["c"].cast("int") + 1).alias("name"), h.alias("value")))
+    of_hits = F.filter(of_hits, lambda x: F.element_at("_template", x["position"] + 1) != "<*>")
+    of_wild = F.filter(
+        F.transform("_template", lambda t, i: F.when(t == "<*>", F.struct(i.alias("position"), F.lit("*").alias("name"), F.translate(F.element_at("_whole", i + 1), _BLANK, " ").alias("value")))), lambda x: x.isNotNull()
+    )
+    rows = split.select("run", "ord", "text", "_has", F.explode(F.concat(of_hits, of_wild)).alias("x"))
+    value = F.when(F.col("_has"), F.translate("x.value", _SPARE, _MARKS)).otherwise(F.col("x.value"))
+    return rows.select("run", "ord", "text", "x.position", "x.name", value.alias("value"))
+
+
+def parameters(assigned: DataFrame, masks: Sequence[MaskRule] = DEFAULT_RULES, delimiters: str = DELIMITERS) -> DataFrame:
     """A row per value: run, ord, text, position, name, value.  ``assigned`` has run, ord, message and the template's text."""
+    if tuple(masks) == DEFAULT_RULES and delimiters == DELIMITERS:
+        return _default_parameters(assigned.select("run", "ord", "text", "message"))
     schema = "run int, ord long, text string, position int, name string, value string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,9 +172,7 @@ def value_changes(values: DataFrame, top: int = TOP, limit: int = PRESENCE_LIMIT
 
     A position with more than ``limit`` values in a run is ``capped`` and has no lists.
     """
-    runs = values.groupBy("text").agg(F.countDistinct("run").alias("runs")).where("runs = 2").select("text")
-    own = values.join(runs, "text")
-    counts = own.groupBy(*KEYS, "value").agg(F.count(F.when(F.col("run") == 0, 1)).alias("b"), F.count(F.when(F.col("run") == 1, 1)).alias("a"))
+    counts = values.groupBy(*KEYS, "value").agg(F.count(F.when(F.col("run") == 0, 1)).alias("b"), F.count(F.when(F.col("run") == 1, 1)).alias("a"))
     new, gone = (F.col("b") == 0), (F.col("a") == 0)
     kind = F.when(new, "new").when(gone, "gone").otherwise("shared")
     marked = counts.withColumn("kind", kind).withColumn("n", F.col("a") + F.col("b"))
@@ -144,8 +184,12 @@ def value_changes(values: DataFrame, top: int = TOP, limit: int = PRESENCE_LIMIT
 
     number = lambda which: F.count(F.when(F.col("kind") == which, 1))
     out = ranked.groupBy(*KEYS).agg(
-        listed("new").alias("new"), listed("gone").alias("gone"), number("new").alias("n_new"), number("gone").alias("n_gone"), number("shared").alias("n_shared")
+        listed("new").alias("new"), listed("gone").alias("gone"), number("new").alias("n_new"), number("gone").alias("n_gone"), number("shared").alias("n_shared"),
+        F.sum("b").alias("in_b"), F.sum("a").alias("in_a"),
     )
+    template = Window.partitionBy("text")  # of a row per position
+    both = (F.max("in_b").over(template) > 0) & (F.max("in_a").over(template) > 0)
+    out = out.withColumn("both", both).where("both").drop("both", "in_b", "in_a")
     capped = (F.col("n_new") + F.col("n_shared") > limit) | (F.col("n_gone") + F.col("n_shared") > limit)
     none = F.expr("cast(array() as array<struct<value:string,count:bigint>>)")
     return out.where("n_new > 0 or n_gone > 0").withColumn("capped", capped).withColumn("new", F.when(capped, none).otherwise(F.col("new"))).withColumn("gone", F.when(capped, none).otherwise(F.col("gone")))

@@ -18,6 +18,7 @@ from ..functions.masking import mask, mask_default
 from ..functions.tokens import template_id, tokenise
 from ..operators import compare, matchers, stats, values
 from ..operators.assign import assign
+from ..operators.spread import spread
 from ..operators.train import prepare
 from ..operators.tree import Tree
 from ..sources import records as rec
@@ -168,7 +169,7 @@ def subset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _split_events(spark, sf_dir)
+    own = spread(_split_events(spark, sf_dir))
     named = own.withColumn("text", F.array_join(tokenise(mask_default(F.col("message"))), " "))
     return values.parameters(named)
 

@@ -18,7 +18,7 @@ from ..config import EXAMPLE_BYTES, WILDCARD, CheckConfig, DiffConfig, MiningCon
 from ..functions.tokens import cut_bytes
 from ..operators import compare, matchers, stats, values
 from ..operators.assign import UNMATCHED, assign
-from ..operators.train import prepare, train
+from ..operators.train import prepare, settled, train
 from ..operators.tree import Tree
 from .model import Model, absorb, empty_history
 from .results import Analysis, Check, Diff, Finding, RunSummary
@@ -63,26 +63,26 @@ def trained(
     return stats.freeze(named.select("text", "run", *STATS, "example", "first_ord")), clusters, tree
 
 
-def counted(prepared: DataFrame, tree: Tree, *, exact: bool = False, pool_unmatched: bool = True, examples: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """(frozen templates, assigned records) of a pass against a finished tree.
+def counted(
+    prepared: DataFrame, tree: Tree, *, exact: bool = False, pool_unmatched: bool = True, examples: str = "raw"
+) -> tuple[DataFrame, DataFrame, dict[int, tuple[tuple[int, int], ...]]]:
+    """(frozen templates, assigned records, unmatched (tokens, records) by run) of a pass against a finished tree.
 
     A record that matches nothing goes to ``<*>`` repeated to its length, or is
-    left out of the templates.
+    left out of the templates.  Records are summed by cluster in one pass whose
+    result, at most a row per template, run and unmatched length, is kept.
     """
-    assigned = assign(_shown(prepared, examples), tree, exact=exact)
-    named = assigned.join(F.broadcast(_texts(tree, prepared)), "cluster", "left")  # bounded by max_templates
-    wild = F.when(F.col("n_tokens") > 0, F.concat(F.lit(WILDCARD), F.expr(f"repeat(' {WILDCARD}', n_tokens - 1)"))).otherwise(F.lit(""))
-    named = named.withColumn("text", F.coalesce("text", wild) if pool_unmatched else F.col("text"))
-    grouped = stats.per_template(named.where(F.col("text").isNotNull()), ["text", "run"])
-    return _examples(stats.freeze(grouped), examples), named
-
-
-def _unmatched(named: DataFrame) -> dict[int, tuple[tuple[int, int], ...]]:
-    rows = named.where(F.col("cluster") == UNMATCHED).groupBy("run", "n_tokens").count().orderBy("run", "n_tokens").collect()
-    out: dict[int, tuple[tuple[int, int], ...]] = {}
-    for r in rows:
-        out[r.run] = (*out.get(r.run, ()), (r.n_tokens, r["count"]))
-    return out
+    named = assign(_shown(prepared, examples), tree, exact=exact)
+    alone = F.when(F.col("cluster") == UNMATCHED, F.col("n_tokens"))
+    grouped = settled(stats.per_template(named.withColumn("wild", alone), ["cluster", "wild", "run"]))
+    unmatched: dict[int, tuple[tuple[int, int], ...]] = {}
+    for r in grouped.where("wild is not null").orderBy("run", "wild").select("run", "wild", "count").collect():
+        unmatched[r.run] = (*unmatched.get(r.run, ()), (r.wild, r["count"]))
+    texts = _texts(tree, prepared)
+    wild = F.when(F.col("wild") > 0, F.concat(F.lit(WILDCARD), F.expr(f"repeat(' {WILDCARD}', wild - 1)"))).otherwise(F.lit(""))
+    frozen = grouped.join(texts, "cluster", "left")
+    frozen = frozen.withColumn("text", F.coalesce("text", wild)) if pool_unmatched else frozen.where("text is not null")
+    return _examples(stats.freeze(frozen.drop("cluster", "wild")), examples), named.join(F.broadcast(texts), "cluster", "left"), unmatched  # bounded by max_templates
 
 
 def _summaries(clusters: DataFrame, base: dict[int, RunSummary]) -> dict[int, RunSummary]:
@@ -132,7 +132,7 @@ def analyze(
     model = _model(clusters, tree, config, start, format) if keep_model else None
     result = Analysis(templates.drop("run", "first_ord"), summary, format, model=model)
     if with_values:
-        frozen, named = counted(prepared, tree, examples=examples)
+        frozen, named, _ = counted(prepared, tree, examples=examples)
         first = values.tracked(templates, value_templates).select("text")
         found = values.parameters(named.join(F.broadcast(first), "text", "left_semi"), config.masks, config.delimiters)  # at most value_templates rows
         result.templates, result.values, result.numbers = frozen.drop("run", "first_ord"), values.distribution(found), values.numeric_summary(found)
@@ -151,8 +151,8 @@ def diff(
     last = max(runs, default=1)
     named = None
     if recount or new_values:
-        templates, named = counted(prepared, tree, examples=examples)
-        for r, lengths in _unmatched(named).items():
+        templates, named, unmatched = counted(prepared, tree, examples=examples)
+        for r, lengths in unmatched.items():
             runs[r] = replace(runs[r], overflowed=True, unmatched=lengths)
     before, after = templates.where(F.col("run") < max(last, 1)), templates.where(F.col("run") == max(last, 1))
     unstable = None
@@ -193,9 +193,10 @@ def compared(
 def match(records: DataFrame, model: Model, *, exact: bool = False, run: RunSummary | None = None, examples: str = "raw") -> Analysis:
     """Records against a model, which is only read; what matches nothing is counted by its length."""
     prepared = prepare(records, model.config)
-    templates, named = counted(prepared, model.tree, exact=exact, pool_unmatched=False, examples=examples)
-    total = named.count() if run is None else run.records
-    summary = replace(run or RunSummary(), records=total, unmatched=_unmatched(named).get(0, ()))
+    templates, _, unmatched = counted(prepared, model.tree, exact=exact, pool_unmatched=False, examples=examples)
+    lost = sum(n for _, n in unmatched.get(0, ()))
+    total = (templates.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0] + lost) if run is None else run.records
+    summary = replace(run or RunSummary(), records=total, unmatched=unmatched.get(0, ()))
     return Analysis(templates.drop("run", "first_ord"), summary, model.format, model=model)
 
 
@@ -215,11 +216,12 @@ def check(
         raise SettingError("a state that evicts cannot be checked against")
     options, limits = options or CheckConfig(), limits or DiffConfig()
     prepared = prepare(records, model.config)
-    matched, named = counted(prepared, model.tree, pool_unmatched=False, examples=examples)
+    matched, named, unmatched = counted(prepared, model.tree, pool_unmatched=False, examples=examples)
     strange = named.where(F.col("cluster") == UNMATCHED).select(*prepared.columns)
     fresh, _, _ = trained(strange, model.config, examples=examples, keep_tree=False)
-    total = prepared.count() if run is None else run.records
-    summary = replace(run or RunSummary(), records=total, unmatched=_unmatched(named).get(0, ()))
+    lost = sum(n for _, n in unmatched.get(0, ()))
+    total = (matched.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0] + lost) if run is None else run.records
+    summary = replace(run or RunSummary(), records=total, unmatched=unmatched.get(0, ()))
     known = RunSummary("model", records=sum(h[0] for h in model.history) + sum(h[0] for h in model.overflow.values()))
     result = compared(_model_templates(model, prepared), matched.unionByName(fresh), known, summary, limits, matcher="exact")
     result.entries = result.entries.where("category is null or category <> 'disappeared'")
