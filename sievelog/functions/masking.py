@@ -27,40 +27,45 @@ def _java(pattern: str) -> str:
     return (_EDGE[0] if pattern.startswith(r"\b") else "") + body + (_EDGE[1] if pattern.endswith(r"\b") else "")
 
 
-_OPEN, _CLOSE = "\x01", "\x02"
-_ANY = "|".join(f"(?:{_java(r.pattern)})" for r in DEFAULT_RULES)
+def _any() -> str:
+    """Any default rule.  Each starts with a hexadecimal digit or a slash, so other places are passed at once; only ``uuid`` starts with a letter."""
+    uuid, *digits, path, num = (f"(?:{_java(r.pattern)})" for r in DEFAULT_RULES)
+    return f"(?=[0-9a-fA-F/])(?:{uuid}|(?=[0-9])(?:{'|'.join([*digits, num])})|{path})"
 
 
+_OPEN, _CLOSE = "\x01", "\x02"
 #: Any default rule, for Java.
-ANY_RULE = _ANY
+ANY_RULE = _any()
+#: The default rules by their names.
+_NUMBER = {r.name: k for k, r in enumerate(DEFAULT_RULES)}
 
 
-def rule_number(hit: Column) -> Column:
-    """Number of the default rule that a hit is of, tried in rule order."""
-    chain = F.when(hit.rlike(rf"^(?:{_java(DEFAULT_RULES[0].pattern)})\z"), F.lit(0))
-    for k, rule in enumerate(DEFAULT_RULES[1:-1], 1):
-        chain = chain.when(hit.rlike(rf"^(?:{_java(rule.pattern)})\z"), F.lit(k))
-    return chain.otherwise(F.lit(len(DEFAULT_RULES) - 1))
+def _by_rule(hit: Column, value: dict[str, Column]) -> Column:
+    """What belongs to the default rule that a hit is of, told by the places where the rules have their marks."""
+    return (
+        F.when(hit.startswith("/"), value["path"])
+        .when(F.substring(hit, 5, 1) == "-", value["ts"])
+        .when(F.substring(hit, 9, 1) == "-", value["uuid"])
+        .when(F.lower(F.substring(hit, 2, 1)) == "x", value["hex"])
+        .when(F.substring_index(hit, ".", 2) != hit, value["ip"])  # two points
+        .otherwise(value["num"])
+    )
 
 
-def mask_default(message: Column) -> Column:
-    """The default rules: pieces between matches are joined with the tokens of the matches.
-
-    Which rule matched follows from the matched text, tried in rule order.
-    """
+def rule_number(hit: Column) -> Column:
+    """Number of the default rule that a hit is of."""
+    return _by_rule(hit, {name: F.lit(k) for name, k in _NUMBER.items()})
 
-    def token(hit: Column) -> Column:
-        chain = F.when(hit.rlike(rf"^(?:{_java(DEFAULT_RULES[0].pattern)})\z"), F.lit(DEFAULT_RULES[0].token))
-        for rule in DEFAULT_RULES[1:-1]:
-            chain = chain.when(hit.rlike(rf"^(?:{_java(rule.pattern)})\z"), F.lit(rule.token))
-        return chain.otherwise(F.lit(DEFAULT_RULES[-1].token))
 
+def mask_default(message: Column) -> Column:
+    """The default rules: pieces between matches are joined with the tokens of the matches."""
+    token = lambda hit: _by_rule(hit, {r.name: F.lit(r.token) for r in DEFAULT_RULES})
     # one pass of the expression sets marks around the matches; a message that has such marks itself takes two passes
-    marked = F.split(F.regexp_replace(message, f"({_ANY})", f"{_OPEN}$1{_CLOSE}"), _OPEN, -1)
-    piece = lambda p: F.concat(token(F.substring_index(p, _CLOSE, 1)), F.substring_index(p, _CLOSE, -1))
-    quick = F.concat(F.element_at(marked, 1), F.array_join(F.transform(F.slice(marked, 2, F.size(marked)), piece), ""))
-    hits = F.regexp_extract_all(message, F.lit(f"({_ANY})"), F.lit(1))
-    gaps = F.split(message, _ANY, -1)
+    marked = F.split(F.regexp_replace(message, f"({ANY_RULE})", f"{_OPEN}$1{_CLOSE}"), _OPEN, -1)
+    piece = lambda p, i: F.when(i == 0, p).otherwise(F.concat(token(F.substring_index(p, _CLOSE, 1)), F.substring_index(p, _CLOSE, -1)))
+    quick = F.array_join(F.transform(marked, piece), "")
+    hits = F.regexp_extract_all(message, F.lit(f"({ANY_RULE})"), F.lit(1))
+    gaps = F.split(message, ANY_RULE, -1)
     tokens = F.concat(F.transform(hits, token), F.array(F.lit("")))
     slow = F.array_join(F.zip_with(gaps, tokens, lambda a, b: F.concat(a, b)), "")
     none = ~message.rlike("[0-9/-]")  # no rule matches without one of these

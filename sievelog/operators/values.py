@@ -30,35 +30,32 @@ _MARKS, _SPARE = "\x01\x02\x03", "\ufdd0\ufdd1\ufdd2"
 def _default_parameters(assigned: DataFrame) -> DataFrame:
     """``parameters`` for the default rules and delimiters, without Python.
 
-    No hit of a default rule has a delimiter but the space of a time, so both
-    the masked tokens, with the number of a rule for each hit, and the original
-    tokens follow from splitting.
+    Every hit is put between marks, with the number of its rule and no space (only
+    times have one), so splitting gives the tokens with their hits inside.
     """
     has = F.col("message").rlike(f"[{_MARKS}]")
     message = F.when(has, F.translate("message", _MARKS, _SPARE)).otherwise(F.col("message"))
-    cut = F.split(F.regexp_replace(message, f"({ANY_RULE})", f"{_OPEN}$1{_CLOSE}"), _OPEN, -1)
-    marked = assigned.withColumn("_cut", cut).withColumn("_has", has)
+    pieces = F.split(F.regexp_replace(message, f"({ANY_RULE})", f"{_OPEN}$1{_CLOSE}"), _OPEN, -1)
     hit, gap = lambda p: F.substring_index(p, _CLOSE, 1), lambda p: F.substring_index(p, _CLOSE, -1)
-    pieces = F.slice("_cut", 2, F.greatest(F.size("_cut") - 1, F.lit(0)))
-    rebuilt = lambda f: F.concat(F.element_at("_cut", 1), F.array_join(F.transform(pieces, lambda p: F.concat(f(p), gap(p))), ""))
-    tokens = lambda text: F.filter(F.split(text, "[ \t\n\r]+"), lambda t: t != "")
-    split = marked.select(
-        "run", "ord", "text", "_has",
-        F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", " ", -1)).alias("_template"),
-        F.transform(pieces, hit).alias("_hits"),
-        tokens(rebuilt(lambda p: F.concat(F.lit(_OPEN), rule_number(hit(p)).cast("string")))).alias("_coded"),
-        tokens(rebuilt(lambda p: F.translate(hit(p), " ", _BLANK))).alias("_whole"),
-    ).where(F.size("_template") == F.size("_coded"))
-    places = F.flatten(F.transform("_coded", lambda t, i: F.array_repeat(i, F.size(F.split(t, _OPEN, -1)) - 1)))
-    codes = F.flatten(F.transform("_coded", lambda t: F.transform(F.slice(F.split(t, _OPEN, -1), 2, F.greatest(F.size(F.split(t, _OPEN, -1)) - 1, F.lit(0))), lambda s: F.substring(s, 1, 1))))
+    coded = lambda p: F.concat(F.lit(_OPEN), rule_number(hit(p)).cast("string"), F.translate(hit(p), " ", _BLANK), F.lit(_CLOSE), gap(p))
+    text = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(coded(p))), "")
+    split = assigned.select(
+        "run", "ord", "text", has.alias("has"),
+        F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", " ", -1)).alias("template"),
+        F.filter(F.split(text, "[ \t\n\r]+", -1), lambda t: t != "").alias("tokens"),
+    )
     names = F.array(*[F.lit(r.name) for r in DEFAULT_RULES])
-    of_hits = F.zip_with(F.arrays_zip(places.alias("p"), codes.alias("c")), "_hits", lambda x, h: F.struct(x["p"].alias("position"), F.element_at(names, x["c"].cast("int") + 1).alias("name"), h.alias("value")))
-    of_hits = F.filter(of_hits, lambda x: F.element_at("_template", x["position"] + 1) != "<*>")
-    of_wild = F.filter(
-        F.transform("_template", lambda t, i: F.when(t == "<*>", F.struct(i.alias("position"), F.lit("*").alias("name"), F.translate(F.element_at("_whole", i + 1), _BLANK, " ").alias("value")))), lambda x: x.isNotNull()
-    )
-    rows = split.select("run", "ord", "text", "_has", F.explode(F.concat(of_hits, of_wild)).alias("x"))
-    value = F.when(F.col("_has"), F.translate("x.value", _SPARE, _MARKS)).otherwise(F.col("x.value"))
+    inner = lambda x: F.translate(x, _BLANK, " ")
+
+    def of_token(token: Column, i: Column) -> Column:
+        whole = F.struct(i.alias("position"), F.lit("*").alias("name"), inner(F.regexp_replace(token, f"{_OPEN}.|{_CLOSE}", "")).alias("value"))
+        part = lambda s: F.struct(i.alias("position"), F.element_at(names, F.substring(s, 1, 1).cast("int") + 1).alias("name"), inner(hit(F.substring(s, 2, 1 << 30))).alias("value"))
+        hits = F.transform(F.filter(F.split(token, _OPEN, -1), lambda _, k: k > 0), part)
+        return F.when(F.element_at("template", i + 1) == "<*>", F.array(whole)).when(token.contains(_OPEN), hits)
+
+    found = F.when(F.size("template") == F.size("tokens"), F.flatten(F.filter(F.transform("tokens", of_token), lambda x: x.isNotNull())))
+    rows = split.select("run", "ord", "text", "has", F.explode(found).alias("x"))
+    value = F.when(F.col("has"), F.translate("x.value", _SPARE, _MARKS)).otherwise(F.col("x.value"))
     return rows.select("run", "ord", "text", "x.position", "x.name", value.alias("value"))
 
 

@@ -53,7 +53,7 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_templates(records: DataFrame) -> DataFrame:
     """Mining with ``sim_th = 1`` below the cap: records of the same masked tokens, by built-in expressions alone."""
     tokens = tokenise(mask_default(F.col("message")))
-    return stats.freeze(stats.per_template(records.withColumn("text", F.array_join(tokens, " ")), ["text", "run"]))
+    return stats.freeze(stats.per_template(spread(records).withColumn("text", F.array_join(tokens, " ")), ["text", "run"]))
 
 
 def analyze_events_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
