@@ -2,176 +2,229 @@
 
 Candidates and scores are DataFrame joins over the one-sided templates: word
 sets meet by an equi-join on a rare word of each set's prefix, which loses no
-pair above the threshold.  Taking the best pairs one after the other is
-sequential by nature and runs on the scored pairs on the driver.
+pair above the threshold.  Best pairs are taken in rounds: a pair that no better
+pair of either template is left for is one that taking them one after the other
+would take too.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import WILDCARD, SettingError
+from .train import settled
 
 EPSILON = 1e-9
 OVERLAP_WORDS = 3
 MAX_RULES_BYTES = 16 << 20
 #: White space of word sets: Unicode's, and U+001C to U+001F.
 SPACE = r"[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]+"
+#: A word of a set is rank * 2**31 + the number of sets that have it.
+SHIFT = 31
+#: Scored pairs that the driver takes the rest of at once.
+FEW = 200_000
 
 
 def numbered(templates: DataFrame) -> DataFrame:
-    """Templates in input order (count descending, text): adds ``i`` from 0.  One-sided templates are few (the cap bounds them)."""
-    return templates.select("text", (F.row_number().over(Window.orderBy(F.desc("count"), F.asc("text"))) - 1).alias("i"))
+    """Templates in input order (count descending, text): adds ``i`` from 0.
+
+    Ranges of that order are numbered apart and shifted by the sizes of the
+    ranges before, so no task sorts all.
+    """
+    order = [F.desc("count"), F.asc("text")]
+    tasks = int(templates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = templates.select("text", "count").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    rows = settled(dealt.select("text", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()  # a row per task
+    bases, total = {}, 0
+    for r in sorted(sizes, key=lambda r: r.part):
+        bases[r.part], total = total, total + r.n
+    base = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in (bases or {0: 0}).items() for x in kv]), part)
+    return rows.select("text", (base + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias("i"))
 
 
 def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, SPACE), lambda w: w != ""))
 
 
-def ranked_words(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(i, words as ranks in rising order, weights in the same order) of both sides; rare words come first."""
+def ranked_words(before: DataFrame, after: DataFrame, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(i, codes) of both sides: words in rising order, rare words first; ``weighted`` adds ``rests``, for each word the weight from it on.
+
+    A word weighs one over the number of templates that have it.
+    """
     sides = before.withColumn("side", F.lit(0)).unionByName(after.withColumn("side", F.lit(1)))
     each = sides.select("side", "i", F.explode(words(F.col("text"))).alias("word"))
     frequency = each.groupBy("word").agg(F.count("*").alias("n"))
-    rank = frequency.withColumn("rank", F.row_number().over(Window.orderBy("n", "word")))
-    sets = (
-        each.join(rank, "word")
-        .groupBy("side", "i")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "n"))).alias("w"))
-        .select("side", "i", F.transform("w", lambda x: x["rank"]).alias("ranks"), F.transform("w", lambda x: F.lit(1.0) / x["n"]).alias("weights"))
-    )
+    rank = frequency.select("word", "n", F.row_number().over(Window.orderBy("n", "word")).alias("rank"))  # as many rows as words; templates are bounded
+    named = each.join(rank, "word").select("side", "i", (F.col("rank").cast("long") * (1 << SHIFT) + F.col("n")).alias("code"))
+    sets = named.groupBy("side", "i").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    if weighted:
+        rising = Window.partitionBy("side", "i").orderBy(F.desc("code")).rowsBetween(Window.unboundedPreceding, 0)
+        each = named.withColumn("rest", F.sum(F.lit(1.0) / F.col("code").bitwiseAND((1 << SHIFT) - 1)).over(rising))
+        # the weight from a word on falls from word to word, so falling order is the order of the words
+        sets = each.groupBy("side", "i").agg(F.array_sort(F.collect_list("code")).alias("codes"), F.sort_array(F.collect_list("rest"), False).alias("rests"))
+    sets = settled(sets)
     return sets.where("side = 0").drop("side"), sets.where("side = 1").drop("side")
 
 
 def _probe(sets: DataFrame, side: str, keep: Column) -> DataFrame:
-    """A row per word of the prefix: the set's number, its size, the words after this one and the word.
+    """A row per word of the prefix: the set's number, size and weight, the word, and the words and weight from it on.
 
+    ``keep`` tells whether a word (place, rest, n, total) belongs to the prefix.
     Rows are dealt by word to as many tasks as a shuffle has: the join multiplies
     them, so their size before it says little about its work.
     """
-    size = F.size("ranks").alias(f"{side}_n")
-    prefix = F.slice("ranks", 1, F.greatest(F.col("keep"), F.lit(1)))
-    each = sets.withColumn("keep", keep).select(F.col("i").alias(side), size, F.posexplode(prefix).alias("place", "word"))
+    n, weighted = F.size("codes"), "rests" in sets.columns
+    each = sets.select(F.col("i").alias(side), n.alias("n"), *([F.element_at("rests", 1).alias("total"), "rests"] if weighted else []), F.posexplode("codes").alias("place", "word"))
+    if weighted:
+        each = each.withColumn("rest", F.element_at("rests", F.col("place") + 1))
+    kept = ["n", *(["total", "rest"] if weighted else [])]
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return each.withColumn(f"{side}_rest", F.col(f"{side}_n") - F.col("place") - 1).drop("place").repartition(tasks, "word")
+    return each.where(keep).select(side, "word", *[F.col(c).alias(f"{side}_{c}") for c in kept], (F.col("n") - F.col("place")).alias(f"{side}_left")).repartition(tasks, "word")
 
 
-def _pairs(
-    before: DataFrame, after: DataFrame, keep: Column | None, keep_after: Column | None = None, sizes: float = 0.0, needed: Column | None = None
-) -> DataFrame:
-    """Candidate pairs (b, a and their sets); ``keep`` None takes every pair of the one-sided templates.
+def _pairs(before: DataFrame, after: DataFrame, near: Column, keep: Column, keep_after: Column | None = None) -> DataFrame:
+    """Candidate pairs (b, a and their sets) whose rarest common word satisfies ``near``.
 
     The join sees numbers and sizes only; the sets are joined to the pairs that
-    it leaves.  ``sizes`` is the least share of the smaller set in the larger.
-    ``needed`` is the number of words that a pair of sizes b_n and a_n has to
-    share.  A pair meets first at its rarest common word, and all others come
-    after it in both sets, so a row with fewer words after it is not needed.
+    it leaves.  A pair meets first at its rarest common word, and all others
+    come after it in both sets.
     """
-    if keep is None:
-        left = before.select(F.col("i").alias("b"), F.col("ranks").alias("b_ranks"), F.col("weights").alias("b_weights"))
-        right = after.select(F.col("i").alias("a"), F.col("ranks").alias("a_ranks"), F.col("weights").alias("a_weights"))
-        return left.crossJoin(right)  # a threshold of 0 asks for every pair
     met = _probe(before, "b", keep).join(_probe(after, "a", keep if keep_after is None else keep_after), "word")
-    near = F.least("b_n", "a_n") >= F.greatest("b_n", "a_n") * (sizes - EPSILON)
-    if needed is not None:
-        near &= 1 + F.least("b_rest", "a_rest") >= needed
-    pairs = met.where(near).select("b", "a").distinct()
-    left = before.select(F.col("i").alias("b"), F.col("ranks").alias("b_ranks"), F.col("weights").alias("b_weights"))
-    right = after.select(F.col("i").alias("a"), F.col("ranks").alias("a_ranks"), F.col("weights").alias("a_weights"))
+    tasks = int(before.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = met.where(near).select("b", "a").distinct().repartition(tasks, "b")
+    left = before.select(F.col("i").alias("b"), F.col("codes").alias("b_codes"))
+    right = after.select(F.col("i").alias("a"), F.col("codes").alias("a_codes"))
     return pairs.join(left, "b").join(right, "a")
 
 
 def _shared() -> Column:
-    return F.size(F.array_intersect("b_ranks", "a_ranks"))
+    return F.size(F.array_intersect("b_codes", "a_codes"))
 
 
 def jaccard_scores(before: DataFrame, after: DataFrame, least: float = 0.6) -> DataFrame:
-    """(b, a, score) with |A and B| / |A or B| >= least."""
+    """(b, a, score) with a word in common and |A and B| / |A or B| >= least."""
     left, right = ranked_words(before, after)
-    n = F.size("ranks")
-    keep = None if least <= 0 else n - F.ceil(n * least - EPSILON) + 1
+    least = max(least, 0.0)
+    keep = F.col("n") - F.col("place") >= F.ceil(F.col("n") * least - EPSILON)
     needed = F.ceil((F.col("b_n") + F.col("a_n")) * (least / (1 + least)) - EPSILON)
-    pairs = _pairs(left, right, keep, sizes=max(least, 0.0), needed=needed).withColumn("shared", _shared())
-    union = F.size("b_ranks") + F.size("a_ranks") - F.col("shared")
-    return pairs.select("b", "a", F.when(union > 0, F.col("shared") / union).otherwise(0.0).alias("score")).where(F.col("score") >= least)
+    near = (F.least("b_n", "a_n") >= F.greatest("b_n", "a_n") * (least - EPSILON)) & (F.least("b_left", "a_left") >= needed)
+    pairs = _pairs(left, right, near, keep).withColumn("shared", _shared())
+    union = F.size("b_codes") + F.size("a_codes") - F.col("shared")
+    return pairs.select("b", "a", (F.col("shared") / union).alias("score")).where(F.col("score") >= least)
 
 
 def idf_scores(before: DataFrame, after: DataFrame, least: float = 0.5) -> DataFrame:
     """The same with words weighing one over the number of templates that have them."""
-    left, right = ranked_words(before, after)
-    if least <= 0:
-        pairs = _pairs(left, right, None)
-    else:
-        # leading words whose rest still weighs enough
-        total = F.aggregate("weights", F.lit(0.0), lambda s, x: s + x)
-        ahead = lambda i: F.aggregate(F.slice("weights", 1, i), F.lit(0.0), lambda s, x: s + x)
-        keep = F.size(F.filter(F.sequence(F.lit(0), F.size("weights") - 1), lambda i: F.when(i == 0, True).otherwise(total - ahead(F.greatest(i, F.lit(1))) >= total * least * (1 - EPSILON) - EPSILON)))
-        pairs = _pairs(left, right, keep)
-    both = F.array_sort(F.array_union("b_ranks", "a_ranks"))
-    weight = F.map_from_entries(F.array_distinct(F.concat(F.arrays_zip(F.col("b_ranks").alias("k"), F.col("b_weights").alias("v")), F.arrays_zip(F.col("a_ranks").alias("k"), F.col("a_weights").alias("v")))))
-    add = lambda s, x: s + F.element_at(F.col("weight"), x)
-    scored = pairs.withColumn("weight", weight).select(
-        "b", "a",
-        F.aggregate(F.array_sort(F.array_intersect("b_ranks", "a_ranks")), F.lit(0.0), add).alias("s"),
-        F.aggregate(both, F.lit(0.0), add).alias("u"),
-    )
-    return scored.select("b", "a", F.when(F.col("u") > 0, F.col("s") / F.col("u")).otherwise(0.0).alias("score")).where(F.col("score") >= least)
+    left, right = ranked_words(before, after, True)
+    least = max(least, 0.0)
+    slack = lambda x: x * (1 - EPSILON) - EPSILON  # noqa: E731  sums in another order differ in their last digits
+    keep = F.col("rest") >= slack(F.col("total") * least)
+    needed = slack((F.col("b_total") + F.col("a_total")) * (least / (1 + least)))
+    near = (F.least("b_total", "a_total") >= slack(F.greatest("b_total", "a_total") * least)) & (F.least("b_rest", "a_rest") >= needed)
+    pairs = _pairs(left, right, near, keep)
+    weigh = lambda codes: F.aggregate(codes, F.lit(0.0), lambda s, x: s + F.lit(1.0) / x.bitwiseAND((1 << SHIFT) - 1))
+    both, any_ = F.array_sort(F.array_intersect("b_codes", "a_codes")), F.array_sort(F.array_union("b_codes", "a_codes"))
+    return pairs.select("b", "a", (weigh(both) / weigh(any_)).alias("score")).where(F.col("score") >= least)
 
 
 def overlap_scores(before: DataFrame, after: DataFrame, least: float = 0.8) -> DataFrame:
     """Shared words over the smaller set; sets of fewer than 3 words are never paired."""
-    left, right = (s.where(F.size("ranks") >= OVERLAP_WORDS) for s in ranked_words(before, after))
-    if least <= 0:
-        pairs = _pairs(left, right, None)
-    else:
-        n = F.size("ranks")
-        prefix = n - F.ceil(n * least - EPSILON) + 1
-        needed = F.ceil(F.least("b_n", "a_n") * least - EPSILON)
-        # the smaller set's prefix meets any word of the other
-        pairs = _pairs(left, right, prefix, n, needed=needed).unionByName(_pairs(left, right, n, prefix, needed=needed)).dropDuplicates(["b", "a"])
-    score = _shared() / F.least(F.size("b_ranks"), F.size("a_ranks"))
-    return pairs.select("b", "a", score.alias("score")).where(F.col("score") >= least)
+    left, right = (s.where(F.size("codes") >= OVERLAP_WORDS) for s in ranked_words(before, after))
+    least = max(least, 0.0)
+    short = F.col("n") - F.col("place") >= F.ceil(F.col("n") * least - EPSILON)
+    near = F.least("b_left", "a_left") >= F.ceil(F.least("b_n", "a_n") * least - EPSILON)
+    # the smaller set's prefix meets any word of the other
+    first = _pairs(left, right, near & (F.col("b_n") <= F.col("a_n")), short, F.lit(True))
+    second = _pairs(left, right, near & (F.col("b_n") > F.col("a_n")), F.lit(True), short)
+    score = _shared() / F.least(F.size("b_codes"), F.size("a_codes"))
+    return first.unionByName(second).select("b", "a", score.alias("score")).where(F.col("score") >= least)
 
 
 def subset_candidates(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(b, a, gap): same number of tokens and one generalises the other; gap is the difference in wildcards."""
-    split = lambda df, side: df.select(F.col("i").alias(side), F.filter(F.split("text", " "), lambda t: F.lit(True)).alias(f"{side}_t")).withColumn("n", F.when(F.array_join(f"{side}_t", "") == "", 0).otherwise(F.size(f"{side}_t")))
-    met = split(before, "b").join(split(after, "a"), "n")
+    """(b, a, gap): same number of tokens and one generalises the other; gap is the difference in wildcards.
+
+    What a template covers has all its constants at their places, so templates
+    meet at the rarest of them; one without constants covers its whole length.
+    """
+
+    def split(df: DataFrame, side: str) -> DataFrame:
+        tokens = F.split("text", " ", -1)
+        n = F.when(F.col("text") == "", 0).otherwise(F.size(tokens))
+        return df.select(F.col("i").alias(side), tokens.alias(f"{side}_t"), n.alias(f"{side}_size"))
+
+    left, right = split(before, "b"), split(after, "a")
+
+    def keys(df: DataFrame, side: str) -> DataFrame:
+        places = F.transform(f"{side}_t", lambda t, i: F.when(t != WILDCARD, F.xxhash64(F.col(f"{side}_size"), i, t)))
+        every = F.array(F.xxhash64(F.col(f"{side}_size")))  # the key of templates without constants
+        return df.select(side, F.explode(F.concat(F.filter(places, lambda x: x.isNotNull()), every)).alias("key"), (F.size(F.filter(places, lambda x: x.isNotNull())) == 0).alias("bare"), (F.col("key") == every[0]).alias("whole"))
+
+    b_keys, a_keys = keys(left, "b"), keys(right, "a")
+    often = b_keys.select("key").unionByName(a_keys.select("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+    def rare(own: DataFrame, side: str) -> DataFrame:
+        return own.where(F.col("bare") | ~F.col("whole")).join(often, "key").groupBy(side).agg(F.min_by("key", F.struct("n", "key")).alias("key"))
+
+    met = rare(b_keys, "b").join(a_keys.select("a", "key"), "key").select("b", "a")
+    met = met.unionByName(rare(a_keys, "a").join(b_keys.select("b", "key"), "key").select("b", "a")).distinct()
     covers = lambda x, y: F.forall(F.zip_with(x, y, lambda p, q: (p == WILDCARD) | (p == q)), lambda ok: ok)
     wild = lambda x: F.size(F.filter(x, lambda t: t == WILDCARD))
-    fits = covers("b_t", "a_t") | covers("a_t", "b_t") | (F.col("n") == 0)
-    return met.where(fits).select("b", "a", F.abs(wild("b_t") - wild("a_t")).alias("gap"))
+    fits = (F.col("b_size") == F.col("a_size")) & (covers("b_t", "a_t") | covers("a_t", "b_t"))
+    return met.join(left, "b").join(right, "a").where(fits).select("b", "a", F.abs(wild("b_t") - wild("a_t")).alias("gap"))
 
 
-def take_best(scored: Iterable[tuple[int, int, float]]) -> list[tuple[int, int]]:
-    """One-to-one pairs, best score first, ties by index; sorted by the first index."""
+def _one_by_one(rows: Sequence[tuple]) -> list[tuple[int, int]]:
+    """Pairs (order..., b, a) whose templates are both free, in order."""
     used_b, used_a, out = set(), set(), []
-    for b, a, _ in sorted(scored, key=lambda x: (-x[2], x[0], x[1])):
+    for *_, b, a in sorted(rows):
         if b not in used_b and a not in used_a:
             used_b.add(b)
             used_a.add(a)
             out.append((b, a))
-    return sorted(out)
+    return out
+
+
+def take(pairs: DataFrame, order: Sequence[Column], few: int = FEW) -> DataFrame:
+    """One-to-one pairs (b, a), smallest ``order`` first.
+
+    Each round takes the pairs that come first for both their templates and
+    drops all others of these; the last ``few`` are ended on the driver.
+    """
+    spark = pairs.sparkSession
+    rank = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col("b").alias("rb"), F.col("a").alias("ra"))
+    left, taken = settled(pairs.select("b", "a", rank.alias("rank"))), None
+    while left.count() > few:
+        best = left.withColumn("for_b", F.min("rank").over(Window.partitionBy("b"))).withColumn("for_a", F.min("rank").over(Window.partitionBy("a")))
+        now = settled(best.where((F.col("rank") == F.col("for_b")) & (F.col("rank") == F.col("for_a"))).select("b", "a"))
+        taken = now if taken is None else taken.unionByName(now)
+        left = settled(left.join(now.select("b"), "b", "left_anti").join(now.select("a"), "a", "left_anti"))
+    rest = _one_by_one([(*r.rank[:-2], r.b, r.a) for r in left.collect()])
+    last = spark.createDataFrame(rest, "b int, a int")
+    return last if taken is None else taken.unionByName(last)
 
 
-def take_subset(candidates: Iterable[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def take_best(scored: DataFrame, few: int = FEW) -> DataFrame:
+    """Best score first, ties by index."""
+    return take(scored, [-F.col("score")], few)
+
+
+def take_subset(candidates: DataFrame, few: int = FEW) -> DataFrame:
     """Templates of the second run in order take the nearest unused one of the first."""
-    by_after: dict[int, list[tuple[int, int]]] = {}
-    for b, a, gap in candidates:
-        by_after.setdefault(a, []).append((gap, b))
-    used, out = set(), []
-    for a in sorted(by_after):
-        free = [(gap, b) for gap, b in by_after[a] if b not in used]
-        if free:
-            b = min(free)[1]
-            used.add(b)
-            out.append((b, a))
-    return out
+    return take(candidates, [F.col("a"), F.col("gap")], few)
+
+
+def _leftover(pairs: DataFrame, left: DataFrame, right: DataFrame, least_words: int) -> DataFrame:
+    """Templates without a pair, paired in their order: what a threshold of 0 asks for once all pairs with a common word are taken."""
+    free = lambda df, side: df.where(F.size(words(F.col("text"))) >= least_words).select(F.col("i").alias(side)).join(pairs.select(side), side, "left_anti")
+    nth = lambda df, side: df.withColumn("k", F.row_number().over(Window.orderBy(side)))  # noqa: E731  one number a row, templates are bounded
+    return pairs.unionByName(nth(free(left, "b"), "b").join(nth(free(right, "a"), "a"), "k").select("b", "a"))
 
 
 def load_rules(path: str | Path) -> list[tuple[str, str]]:
@@ -224,22 +277,26 @@ def match(spark: SparkSession, before: DataFrame, after: DataFrame, matcher: obj
     """
     if matcher == "exact":
         return None
-    left, right = numbered(before).cache(), numbered(after).cache()
+    left, right = settled(numbered(before)), settled(numbered(after))
     if matcher in SCORES:
         score, usual = SCORES[matcher]
         least = usual if threshold is None else threshold
-        nothing = math.isnan(least) or (least > 1)
-        chosen = [] if nothing else take_best((r.b, r.a, r.score) for r in score(left, right, least).collect())
+        if math.isnan(least) or least > 1:
+            pairs = spark.createDataFrame([], "b int, a int")
+        else:
+            pairs = take_best(score(left, right, least))
+            if least <= 0:
+                pairs = _leftover(pairs, left, right, OVERLAP_WORDS if matcher == "overlap" else 0)
     elif matcher == "token_subset":
-        chosen = take_subset((r.b, r.a, r.gap) for r in subset_candidates(left, right).collect())
+        pairs = take_subset(subset_candidates(left, right))
     else:
-        texts = [[r.text for r in side.orderBy("i").select("text").collect()] for side in (left, right)]
+        texts = [[r.text for r in side.orderBy("i").select("text").collect()] for side in (left, right)]  # a matcher of one's own gets lists
         if isinstance(matcher, str) and matcher.startswith("rules:"):
             chosen = pair_by_rules(*texts, load_rules(matcher.removeprefix("rules:")))
         elif hasattr(matcher, "match"):
             chosen = [(int(i), int(j)) for i, j in matcher.match(*texts)]
         else:
             raise SettingError(f"unknown matcher {matcher!r}; known: {', '.join(NAMES)}")
-    pairs = spark.createDataFrame(chosen, "b int, a int")
+        pairs = spark.createDataFrame(chosen, "b int, a int")
     named = pairs.join(left.select(F.col("i").alias("b"), F.col("text").alias("before_text")), "b")
     return named.join(right.select(F.col("i").alias("a"), F.col("text").alias("after_text")), "a").select("before_text", "after_text")

@@ -19,7 +19,7 @@ from ..functions.tokens import template_id, tokenise
 from ..operators import compare, matchers, stats, values
 from ..operators.assign import assign
 from ..operators.spread import spread
-from ..operators.train import prepare
+from ..operators.train import prepare, settled
 from ..operators.tree import Tree
 from ..sources import records as rec
 from ..sources.formats import FORMATS, JsonFormat
@@ -135,16 +135,17 @@ def baseline_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Line templates of even and of odd documents, each without the texts of the other."""
+    """Line templates of even and of odd documents, each without the texts of the other, numbered."""
     records = document_records(spark, sf_dir)
-    odd_document = F.pmod(F.shiftright("ord", 27), F.lit(2)) == 1
-    side = lambda rows: exact_templates(rows).select("text", "count")
-    even, odd = side(records.where(~odd_document)), side(records.where(odd_document))
-    return even.join(odd.select("text"), "text", "left_anti"), odd.join(even.select("text"), "text", "left_anti")
+    odd_document = F.pmod(F.shiftright("ord", 27), F.lit(2))
+    tokens = tokenise(mask_default(F.col("message")))
+    counts = records.groupBy(F.array_join(tokens, " ").alias("text")).agg(F.count("*").alias("count"), F.sum(odd_document).alias("odd"))
+    one_sided = settled(counts.where("odd = 0 OR odd = count"))
+    return matchers.numbered(one_sided.where("odd = 0")), matchers.numbered(one_sided.where("odd > 0"))
 
 
 def _scores(spark: SparkSession, sf_dir: str, score: Callable[..., DataFrame], least: float) -> DataFrame:
-    before, after = (matchers.numbered(s) for s in _two_sides(spark, sf_dir))
+    before, after = _two_sides(spark, sf_dir)
     found = score(before, after, least)
     named = found.join(before.select(F.col("i").alias("b"), F.col("text").alias("before_text")), "b")
     return named.join(after.select(F.col("i").alias("a"), F.col("text").alias("after_text")), "a").drop("a", "b")

@@ -67,9 +67,25 @@ def quadratic(kind, before, after, least):
 @pytest.mark.parametrize(("seed", "least"), [(1, 0.3), (2, 0.6), (3, 0.8), (4, 1.0), (5, 0.01)])
 def test_scores_equal_the_quadratic_definition(spark, kind, seed, least):
     before, after = sides(seed, (1, 7))
-    got = [(r.b, r.a, r.score) for r in matchers.SCORES[kind][0](indexed(spark, before), indexed(spark, after), least).collect()]
-    assert sorted(got) == sorted(quadratic(kind, before, after, least))
-    assert matchers.take_best(got) == greedy(quadratic(kind, before, after, least))
+    scored = matchers.SCORES[kind][0](indexed(spark, before), indexed(spark, after), least)
+    want = quadratic(kind, before, after, least)
+    assert sorted((r.b, r.a, r.score) for r in scored.collect()) == sorted(want)
+    for few in (0, 1000):
+        assert sorted((r.b, r.a) for r in matchers.take_best(scored, few).collect()) == greedy(want)
+
+
+@pytest.mark.parametrize("kind", ["jaccard", "jaccard-idf", "overlap"])
+def test_a_threshold_of_zero_takes_every_pair(spark, kind):
+    before, after = sides(8)
+    pairs = matchers.match(spark, templates(spark, [(t, 100 - i) for i, t in enumerate(before)]), templates(spark, [(t, 100 - i) for i, t in enumerate(after)]), kind, 0.0)
+    assert sorted((r.before_text, r.after_text) for r in pairs.collect()) == sorted((before[b], after[a]) for b, a in greedy(quadratic(kind, before, after, 0.0)))
+
+
+def test_rounds_take_what_one_by_one_would(spark):
+    pick = random.Random(2)
+    scored = [(b, a, pick.choice([0.5, 0.6, 0.7])) for b in range(25) for a in range(25) if pick.random() < 0.3]
+    frame = spark.createDataFrame(scored, "b int, a int, score double")
+    assert sorted((r.b, r.a) for r in matchers.take_best(frame, 0).collect()) == greedy(scored)
 
 
 def test_subset_matcher(spark):
@@ -82,7 +98,12 @@ def test_subset_matcher(spark):
         if near:
             used.add(min(near)[1])
             want.append((min(near)[1], a))
-    got = matchers.take_subset((r.b, r.a, r.gap) for r in matchers.subset_candidates(indexed(spark, before), indexed(spark, after)).collect())
+    candidates = matchers.subset_candidates(indexed(spark, before), indexed(spark, after))
+    every = {(b, a) for b, x in enumerate(map(split, before)) for a, y in enumerate(map(split, after)) if fits(x, y) or fits(y, x)}
+    assert {(r.b, r.a) for r in candidates.collect()} == every and every
+    got = [sorted((r.b, r.a) for r in matchers.take_subset(candidates, few).collect()) for few in (0, 1000)]
+    assert got[0] == got[1]
+    got = got[0]
     assert got == want
 
 
