@@ -68,9 +68,22 @@ _ISO = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2}
 _SYSLOG_ISO = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:[+-]\d{2}(?::?\d{2})?)?"
 _LEVELS = r"TRACE|DEBUG|INFO|NOTICE|WARN(?:ING)?|ERROR|ERR|FATAL|CRITICAL|CRIT"
 _ACCESS = r'^[^\[]*\[(?P<ts>\d{2}/[A-Za-z]{3}/\d{4}:[^\]]+)\] (?P<msg>"[^"]*" \d{3})'
-_PG_TIME = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?"
-_PG_LEVEL = r"LOG|STATEMENT|DETAIL|HINT|CONTEXT|QUERY|LOCATION|ERROR|FATAL|PANIC|WARNING|NOTICE|INFO|DEBUG[1-5]?"
-_CSV = r'(?:"(?:[^"]|"")*"|[^,"]*)'
+# The columns of PostgreSQL's csvlog up to the message, in the order of its documentation.
+_CSVLOG = (
+    "log_time user_name database_name process_id connection_from session_id session_line_num command_tag session_start_time "
+    "virtual_transaction_id transaction_id error_severity sql_state_code message"
+).split()
+
+
+def _csvlog() -> str:
+    """A csvlog line up to its message: columns that records have no field for are a quoted or a plain value."""
+    shapes = {
+        "log_time": r"(?P<ts>\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?)(?: [A-Z]{2,5})?", "error_severity": r"(?P<lvl>[A-Z]+[0-9]?)",
+        "sql_state_code": r'[^,"]*', "message": r'"(?P<msg>(?:[^"]|"")*)',
+    }
+    return "^" + ",".join(shapes.get(column, r'(?:"(?:[^"]|"")*"|[^,"]*)') for column in _CSVLOG)
+
+
 _BUILT_IN = (
     PlainFormat(),
     JsonFormat(),
@@ -92,14 +105,11 @@ _BUILT_IN = (
     ),
     RegexFormat(
         "postgresql",
-        rf"^(?P<ts>{_PG_TIME})(?: (?:[A-Z]{{2,5}}|[+-]\d{{2}}(?::?\d{{2}})?))?[ :].{{0,120}}?[ \t\]:](?P<lvl>{_PG_LEVEL}):  (?P<msg>.*)$",
-        "msg", "ts", "lvl", None, True,
-    ),
-    RegexFormat(
-        "postgresql-csv",
-        rf'^(?P<ts>{_PG_TIME})(?: [A-Z]{{2,5}})?,(?:{_CSV},){{10}}(?P<lvl>[A-Z]+[0-9]?),[^,"]*,"(?P<msg>(?:[^"]|"")*)',
+        r"^(?P<ts>\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?)(?: (?:[A-Z]{2,5}|[+-]\d{2}(?::?\d{2})?))?[ :].{0,120}?[ \t\]:]"
+        r"(?P<lvl>LOG|STATEMENT|DETAIL|HINT|CONTEXT|QUERY|LOCATION|ERROR|FATAL|PANIC|WARNING|NOTICE|INFO|DEBUG[1-5]?):  (?P<msg>.*)$",
         "msg", "ts", "lvl", None, True,
     ),
+    RegexFormat("postgresql-csv", _csvlog(), "msg", "ts", "lvl", None, True),
     RegexFormat(
         "github-actions",
         r"^\ufeff?(?P<ts>\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z) (?:##\[(?P<lvl>error|warning|notice|debug)\])?(?P<msg>.*)$",
