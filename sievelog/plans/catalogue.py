@@ -301,9 +301,22 @@ _QUERIES = (
 )
 
 
+def _more() -> list:
+    """Modules that hold registered queries with their twins beside them."""
+    from . import catalogue_formats, catalogue_mining
+
+    return [catalogue_formats, catalogue_mining]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    found = {f.__name__: f for f in _QUERIES}
+    for module in _more():
+        found |= module.QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: SQL[name] for name in queries() if name in SQL}
+    found = dict(SQL)
+    for module in _more():
+        found |= module.SQL
+    return {name: found[name] for name in queries() if name in found}

@@ -130,7 +130,7 @@ def _entries(lines: DataFrame, spec: JsonFormat) -> DataFrame:
     first = lambda c: F.min_by(c, "ord").alias(c)
     pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "raw"))), lambda x: x["raw"]), "")
     out = numbered.groupBy("run", "file", "group").agg(F.min("ord").alias("o"), F.count("*").alias("n_lines"), first("good"), first("ts"), first("zone"), first("level"), pieces.alias("message"))
-    return out.select("run", F.col("o").alias("ord"), "n_lines", "good", F.regexp_replace("message", "\r?\n\\z", "").alias("message"), F.col("ts").alias("ts_micros"), F.col("zone").alias("tz_aware"), "level")
+    return out.select("run", F.col("o").alias("ord"), "n_lines", "good", F.regexp_replace("message", "\r?\n\\z", "").alias("message"), F.col("ts").alias("ts_micros"), F.coalesce("zone", F.lit(False)).alias("tz_aware"), "level")
 
 
 def parse(lines: DataFrame, spec: Format) -> DataFrame:
