@@ -85,14 +85,14 @@ class _Runs:
         self.spec = detect.format_of(spark, format, paths[0], multiline)
         if any(not w.open for w in windows) and (isinstance(self.spec, PlainFormat) or (isinstance(self.spec, RegexFormat) and not self.spec.time_group)):
             raise SettingError("a time window needs a format with a time")
+        run_bit = 63 - max(1, (len(paths) - 1).bit_length())  # the order of all runs: the run comes first
         records, self.summaries = None, {}
         for k, (own, window) in enumerate(zip(paths, windows, strict=True)):
-            lines = read_lines(spark, own, 0).withColumn("run", F.lit(k))
+            lines = read_lines(spark, own, 0, run_bit).withColumn("run", F.lit(k))
             parsed = parse(lines, self.spec)
             row = counters(lines, parsed, window).first()
             self.summaries[k] = RunSummary(self.names[k], **({c: row[c] for c in ("lines", "records", "unparsed", "out_of_range", "untimed", "tz_aware")} if row else {}))
-            # the order of all runs: up to two keep their own bit, more share the bits of files
-            shifted = admitted(parsed, window).withColumn("ord", F.col("ord") + F.lit(k).cast("long") * (1 << (62 if len(paths) <= 2 else 55)))
+            shifted = admitted(parsed, window).withColumn("ord", F.col("ord") + F.lit(k).cast("long") * (1 << run_bit))
             records = shifted if records is None else records.unionByName(shifted)
         self.records: DataFrame = records
         self.warnings = [f"{s.unparsed:,} of {s.lines:,} lines of {s.name} were not parsed" for s in self.summaries.values() if s.lines and s.unparsed > FEW_PARSED * s.lines]

@@ -11,7 +11,7 @@ from .config import DiffConfig, SettingError
 from .functions.mask_sets import SETS, load_set
 from .reporters.documents import render, write
 from .sources.formats import FORMATS
-from .streaming.session import Session
+from .streaming.session import Backlog, Session
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -175,12 +175,18 @@ def _stream(args: argparse.Namespace, settings: dict) -> int:
     config = _mining(args, settings)
     start = api.models.load(args.load_state, config) if args.load_state else None
     live = Session(config, format="plain" if args.format == "auto" else args.format, multiline=args.multiline, start=start)
-    for number, line in enumerate(sys.stdin, 1):
-        live.add_lines([line])
+    read = saved = 0
+    for batch in Backlog(sys.stdin).batches():
+        if batch:
+            live.add_lines(batch)
+        else:
+            live.flush()  # nothing has come for a second
+        read += len(batch)
         for template in live.new_templates():
             print(f"{template.id}  {template.text}", flush=True)
-        if args.save_state and args.save_every and number % args.save_every == 0:
+        if args.save_state and args.save_every and read - saved >= args.save_every:
             live.save(args.save_state)
+            saved = read
     live.flush()
     for template in live.result()[: args.top or 20]:
         print(f"{template.count:>10,}  {template.level or '':<5}  {template.text}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from datetime import date
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -120,3 +122,59 @@ def json_time(text: Column, ts_format: str | None = None) -> tuple[Column, Colum
     other, zone = parse_format(text, ts_format) if ts_format else parse_iso(text)
     micros = F.when(whole, epoch_micros(text.try_cast("long"))).when(number, epoch_float_micros(text.try_cast("double"))).otherwise(other)
     return micros, F.when(whole | number, F.lit(True)).otherwise(zone)
+
+
+# The same for Python values, for records that are parsed one by one.
+
+
+def _python_micros(year: int, month: int, day: int, hour: int, minute: int, second: int, fraction: str, zone: str) -> int | None:
+    if hour > 23 or minute > 59 or second > 59:
+        return None
+    try:
+        days = date(year, month, day).toordinal() - date(1970, 1, 1).toordinal()
+    except ValueError:
+        return None
+    shift = 0
+    if zone not in ("", "Z"):
+        digits = zone[1:].replace(":", "")
+        hours, minutes = int(digits[:2]), int(digits[2:4] or 0)
+        if hours > 23 or minutes > 59:
+            return None
+        shift = (hours * 3600 + minutes * 60) * (-1 if zone[0] == "-" else 1)
+    return (days * 86400 + hour * 3600 + minute * 60 + second - shift) * SECOND + int(fraction[:6].ljust(6, "0"))
+
+
+def micros_of(text: str, ts_format: str | None = None) -> int | None:
+    """``parse_format`` or ``parse_iso`` of a Python string."""
+    text = text.strip(" ")
+    if ts_format:
+        pattern, fields = compile_format(ts_format)
+        if m := re.search(pattern, text, re.ASCII):
+            part = dict(zip(fields, m.groups(default=""), strict=True))
+            number = lambda kind, other: int(part[kind].strip()) if part.get(kind, "").strip() else other
+            year = number("Y", 1970)
+            if "y" in part:
+                year = number("y", 0) + (2000 if number("y", 0) < 69 else 1900)
+            month = number("m", 1)
+            for kind, names in (("b", MONTHS), ("B", FULL_MONTHS)):
+                if kind in part:
+                    month = names.index(part[kind].lower()) + 1
+            clock = (number("H", 0), number("M", 0), number("S", 0), part.get("f", ""), part.get("z", ""))
+            if "j" in part:
+                first = _python_micros(year, 1, 1, *clock)
+                own = None if first is None or not 1 <= number("j", 1) <= 366 else first + (number("j", 1) - 1) * 86400 * SECOND
+            else:
+                own = _python_micros(year, month, number("e" if "e" in part else "d", 1), *clock)
+            if own is not None:
+                return own
+    m = re.search(ISO, text, re.ASCII)
+    return _python_micros(*(int(x or 0) for x in m.groups()[:6]), m[7] or "", m[8] or "") if m else None
+
+
+def epoch_of(value: float) -> int:
+    """``epoch_micros`` of an int, ``epoch_float_micros`` of a float."""
+    size = abs(value)
+    if isinstance(value, int):
+        return value * SECOND if size < 10**11 else value * 1000 if size < 10**14 else value if size < 10**17 else value // 1000
+    scale = 1e6 if size < 1e11 else 1e3 if size < 1e14 else 1.0 if size < 1e17 else 1e-3
+    return math.floor(value * scale + 0.5)

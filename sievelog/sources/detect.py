@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import SettingError
 from .formats import DETECTION_ORDER, FORMATS, Format, JsonFormat, PlainFormat, RegexFormat, resolve
-from .lines import read_lines
+from .lines import sniffed
 from .records import BLANK, parse
 
 SAMPLE_LINES, SAMPLE_CHARS = 200, 8 << 20
@@ -26,15 +26,24 @@ class Detection:
     multiline: bool = False
 
 
+def head(spark: SparkSession, path: str, limit: int, *, blank: bool = False) -> list[str]:
+    """The first lines of the first file, read from its first split only; blank ones are left out unless asked for."""
+    read = sniffed(path, spark)
+    files = sorted(spark.read.text(read).inputFiles())
+    if not files:
+        return []
+    rows = spark.read.option("lineSep", "\n").text(files[0]).where("_metadata.file_block_start = 0").select(F.regexp_replace("value", "\\r\\z", "").alias("line"))
+    return [r.line for r in (rows if blank else rows.where(~F.col("line").rlike(BLANK))).limit(limit).collect()]
+
+
 def sample(spark: SparkSession, path: str, limit: int = SAMPLE_LINES) -> list[str]:
     """The first lines that are not blank."""
-    lines = read_lines(spark, path).where(~F.col("line").rlike(BLANK)).orderBy("ord").limit(limit)
     out, size = [], 0
-    for row in lines.select("line").collect():
-        size += len(row.line)
+    for line in head(spark, path, limit):
+        size += len(line)
         if size > SAMPLE_CHARS:
             break
-        out.append(row.line)
+        out.append(line)
     return out
 
 
@@ -88,9 +97,10 @@ def format_of(spark: SparkSession, name: str | Format, paths: Sequence[str], mul
 def inspect(spark: SparkSession, path: str, *, format: str | Format = "auto", multiline: bool | None = None, limit: int = 1000, sample_records: int = 5) -> dict:
     """Parse the first lines only: counts, levels, first and last time, and some records."""
     spec = format_of(spark, format, [path], multiline)
-    lines = read_lines(spark, path).orderBy("ord").limit(limit)
+    first = [(0, 0, k, line) for k, line in enumerate(head(spark, path, limit, blank=True))]
+    lines = spark.createDataFrame(first, "run int, file int, ord long, line string")
     parsed: DataFrame = parse(lines, spec).cache()
     total = parsed.agg(F.count(F.when(F.col("good"), 1)), F.sum(F.when(~F.col("good"), F.col("n_lines"))), F.min("ts_micros"), F.max("ts_micros")).first()
     levels = {r.level: r["count"] for r in parsed.where("good and level is not null").groupBy("level").count().collect()}
     some = [r.asDict() for r in parsed.where("good").orderBy("ord").limit(sample_records).select("message", "ts_micros", "level").collect()]
-    return {"format": spec.name, "multiline": spec.multiline, "lines": lines.count(), "records": total[0], "unparsed": total[1] or 0, "first": total[2], "last": total[3], "levels": levels, "sample": some}
+    return {"format": spec.name, "multiline": spec.multiline, "lines": len(first), "records": total[0], "unparsed": total[1] or 0, "first": total[2], "last": total[3], "levels": levels, "sample": some}

@@ -7,6 +7,7 @@ import re
 import shutil
 import subprocess
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -82,14 +83,24 @@ def fetch(source: str, *, tail: int | None = None, since: str | None = None, pre
     argv = [_program(command.argv[0]), *command.argv[1:]]
     with tempfile.TemporaryDirectory(prefix="fetch-") as folder:
         path = os.path.join(folder, "log")
-        with open(path, "wb") as out:
-            error = subprocess.STDOUT if command.merge_stderr else subprocess.PIPE
+        errors = os.path.join(folder, "errors")
+        with open(path, "wb") as out, open(errors, "wb") as err:
+            running = subprocess.Popen(argv, stdout=out, stderr=out if command.merge_stderr else err, stdin=subprocess.DEVNULL)
+            ends = time.monotonic() + timeout
             try:
-                done = subprocess.run(argv, stdout=out, stderr=error, stdin=subprocess.DEVNULL, timeout=timeout, check=False)
-            except subprocess.TimeoutExpired as late:
-                raise SettingError(f"{kind} took longer than {timeout:g} s") from late
-        if done.returncode:
-            raise SettingError(f"{kind} failed: {(done.stderr or b'').decode(errors='replace')[:ERROR_CHARS]}")
+                while running.poll() is None:  # the cap holds while the log arrives, not only at its end
+                    if time.monotonic() > ends:
+                        raise SettingError(f"{kind} took longer than {timeout:g} s")
+                    if os.path.getsize(path) > max_bytes:
+                        raise SettingError(f"the log of {source} is larger than {max_bytes} bytes")
+                    time.sleep(0.02)
+            finally:
+                if running.poll() is None:
+                    running.kill()
+                    running.wait()
+        if running.returncode:
+            with open(path if command.merge_stderr else errors, "rb") as said:
+                raise SettingError(f"{kind} failed: {said.read(4 * ERROR_CHARS).decode(errors='replace')[:ERROR_CHARS]}")
         if os.path.getsize(path) > max_bytes:
             raise SettingError(f"the log of {source} is larger than {max_bytes} bytes")
         yield path
