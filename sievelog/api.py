@@ -16,6 +16,7 @@ from .config import ALGO_VERSION, LEVELS, CheckConfig, DiffConfig, MiningConfig,
 from .functions.mask_sets import SETS, MaskSet, select
 from .functions.parameters import extract_parameters
 from .operators.matchers import NAMES as MATCHERS
+from .operators.matchers import OWN as OWN_MATCHERS
 from .operators.stats import LEVEL_COLUMNS
 from .plans import model as models
 from .plans import pipeline
@@ -197,6 +198,8 @@ def load_analysis(path: str | Path) -> Analysis:
     data = json.loads(head.decode("utf-8-sig"))
     if data.get("kind") != "analysis" or data.get("schema_version") != 1:
         raise SettingError(f"{path} is no saved result of this kind")
+    if data.get("algo_version", ALGO_VERSION) != ALGO_VERSION:
+        raise SettingError(f"{path} was mined by another version of the rules; its templates cannot be compared")
     micros = lambda x: time_bound(x) if x else None
     rows = [
         (x["id"], x["text"], x["count"], micros(x.get("first_seen")), micros(x.get("last_seen")), *(x["levels"].get(n, 0) for n in LEVELS), x.get("example"), x.get("level"))
@@ -218,5 +221,5 @@ def info() -> dict:
 
     return {
         "version": __version__, "algo_version": ALGO_VERSION, "spark": pyspark.__version__, "formats": [*FORMATS, "log4j"], "mask_sets": list(SETS),
-        "matchers": list(MATCHERS), "reports": list(REPORTERS), "sources": list(external.SOURCES),
+        "matchers": [*MATCHERS, *OWN_MATCHERS], "reports": list(REPORTERS), "sources": list(external.SOURCES),
     }

@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from . import __version__, api
+from . import __version__, api, plugins
 from .config import DiffConfig, SettingError
 from .functions.mask_sets import SETS, load_set
 from .reporters.documents import render, write
@@ -18,6 +18,7 @@ def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="sievelog", description="Log templates and run comparison on Spark.")
     parser.add_argument("--version", action="version", version=__version__)
     parser.add_argument("--config", help="TOML file with settings")
+    parser.add_argument("--plugins", action="append", default=[], help="folder with plugins; may be repeated")
     commands = parser.add_subparsers(dest="command", required=True)
 
     def command(name: str, text: str, *, files: str | None = None, mining: bool = True, report: bool = True) -> argparse.ArgumentParser:
@@ -114,8 +115,13 @@ def run(argv: list[str]) -> int:
     args = _parser().parse_args(argv)
     settings = api.load_config(args.config) if args.config else {}
     kind = args.command
-    if kind in ("info", "plugins"):
+    for folder in args.plugins:
+        plugins.folder(folder)
+    plugins.installed()
+    if kind == "info":
         print(json.dumps(api.info(), indent=2))
+    elif kind == "plugins":
+        print("\n".join(f"{p.kind:<10} {p.name:<20} {p.origin}" for p in plugins.catalogue()))
     elif kind == "formats":
         print("\n".join([*FORMATS, "log4j", "log4j:PATTERN", "regex:PATTERN", "auto"]))
     elif kind == "masks":

@@ -9,7 +9,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from re import _constants, _parser  # type: ignore[attr-defined]
 
 import pandas as pd
 from pyspark.sql import Column
@@ -92,6 +93,32 @@ def iban(text: str) -> bool:
 CHECKS = {"luhn": luhn, "iban": iban}
 
 
+def required_literal(pattern: str) -> str:
+    """The longest text that every match of a pattern has to contain; empty if none is known."""
+    best, run, parsed = "", "", _parser.parse(pattern)
+    if parsed.state.flags & re.IGNORECASE:
+        return ""
+    for kind, value in parsed:
+        if kind is _constants.LITERAL:
+            run += chr(value)
+        else:
+            inner = ""
+            if kind is _constants.SUBPATTERN and not value[1] & re.IGNORECASE:  # a group that always matches
+                inner = _longest(value[3])
+            elif kind is _constants.MAX_REPEAT and value[0] >= 1:
+                inner = _longest(value[2])
+            best, run = max(best, run, inner, key=len), ""
+    return max(best, run, key=len)
+
+
+def _longest(items: Iterable[tuple]) -> str:
+    best, run = "", ""
+    for kind, value in items:
+        run = run + chr(value) if kind is _constants.LITERAL else ""
+        best = max(best, run, key=len)
+    return best
+
+
 class Masker:
     """Rules compiled for Python; gives the masked text, or the matches and their places."""
 
@@ -99,6 +126,9 @@ class Masker:
         rules = tuple(rules)
         layered = len(rules) > len(DEFAULT_RULES) and rules[-len(DEFAULT_RULES) :] == DEFAULT_RULES
         self.layers = [self._compile(rules[: -len(DEFAULT_RULES)]), self._compile(DEFAULT_RULES)] if layered else [self._compile(rules)]
+        literals = [[required_literal(r.pattern) for r in own] for own, _ in self.layers]
+        #: Texts of which a match needs one, for layers all of whose rules have one.
+        self.gates = [tuple(dict.fromkeys(own)) if all(own) else () for own in literals]
         if layered:
             for rule in rules[: -len(DEFAULT_RULES)]:
                 if self._hits(rule.token, 1):
@@ -120,6 +150,8 @@ class Masker:
 
     def _hits(self, text: str, layer: int) -> list[tuple[int, int, MaskRule]]:
         rules, pattern = self.layers[layer]
+        if self.gates[layer] and not any(literal in text for literal in self.gates[layer]):
+            return []  # no rule can match
         found, at = [], 0
         while pattern is not None and (m := pattern.search(text, at)):
             rule = rules[next(i for i in range(len(rules)) if m.group(f"r{i}") is not None)]

@@ -267,6 +267,8 @@ SCORES: dict[str, tuple[Callable[[DataFrame, DataFrame, float], DataFrame], floa
     "jaccard-idf": (idf_scores, 0.5),
     "overlap": (overlap_scores, 0.8),
 }
+#: Matchers of plugins by name.
+OWN: dict[str, object] = {}
 NAMES = ("exact", "token_subset", *SCORES, "rules:FILE")
 
 
@@ -277,8 +279,10 @@ def match(spark: SparkSession, before: DataFrame, after: DataFrame, matcher: obj
     """
     if matcher == "exact":
         return None
+    if isinstance(matcher, str):
+        matcher = OWN.get(matcher, matcher)
     left, right = settled(numbered(before)), settled(numbered(after))
-    if matcher in SCORES:
+    if isinstance(matcher, str) and matcher in SCORES:
         score, usual = SCORES[matcher]
         least = usual if threshold is None else threshold
         if math.isnan(least) or least > 1:

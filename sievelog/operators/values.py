@@ -15,7 +15,8 @@ from ..functions.parameters import extract
 from ..functions.tokens import DELIMITERS, cut_bytes
 
 TRACKED, DISTINCT, VALUE_BYTES, TOP, GROWTH = 200, 1000, 64, 10, 1.05
-PRESENCE_LIMIT = 1_000_000
+#: Different values of a position and of a run that are kept apart.
+PRESENCE_LIMIT, RUN_LIMIT = 1_000_000, 4_000_000
 TINY, HUGE = 1e-9, 1e15
 NUMBER = r"^-?[0-9]+(\.[0-9]+)?\z"
 NAMES = frozenset({"*", *(r.name for r in DEFAULT_RULES)})
@@ -164,10 +165,12 @@ def numeric_summary(values: DataFrame, quantiles: Sequence[float] = (0.5, 0.9, 0
     return out.select(*keys, "count", "min", "max", "mean", *[clamp(F.col(f"q{i}")).alias(f"p{q * 100:g}".replace(".", "_")) for i, q in enumerate(quantiles)])
 
 
-def value_changes(values: DataFrame, top: int = TOP, limit: int = PRESENCE_LIMIT) -> DataFrame:
+def value_changes(values: DataFrame, top: int = TOP, limit: int = PRESENCE_LIMIT, run_limit: int = RUN_LIMIT) -> DataFrame:
     """Per position of templates that both runs (0 and 1) have: values new in run 1, gone since run 0, and shared ones.
 
-    A position with more than ``limit`` values in a run is ``capped`` and has no lists.
+    A position with more than ``limit`` values in a run is ``capped`` and has no
+    lists; so are the largest positions of a run, until its others have at most
+    ``run_limit`` values in all.
     """
     counts = values.groupBy(*KEYS, "value").agg(F.count(F.when(F.col("run") == 0, 1)).alias("b"), F.count(F.when(F.col("run") == 1, 1)).alias("a"))
     new, gone = (F.col("b") == 0), (F.col("a") == 0)
@@ -187,6 +190,11 @@ def value_changes(values: DataFrame, top: int = TOP, limit: int = PRESENCE_LIMIT
     template = Window.partitionBy("text")  # of a row per position
     both = (F.max("in_b").over(template) > 0) & (F.max("in_a").over(template) > 0)
     out = out.withColumn("both", both).where("both").drop("both", "in_b", "in_a")
-    capped = (F.col("n_new") + F.col("n_shared") > limit) | (F.col("n_gone") + F.col("n_shared") > limit)
+    own = {"after": F.col("n_new") + F.col("n_shared"), "before": F.col("n_gone") + F.col("n_shared")}
+    capped = (own["after"] > limit) | (own["before"] > limit)
+    for side, n in own.items():  # smallest first: what goes beyond the limit of the run are the largest
+        rising = Window.orderBy(f"_{side}", *KEYS).rowsBetween(Window.unboundedPreceding, 0)  # a row per position of at most 200 templates
+        out = out.withColumn(f"_{side}", F.when(n <= limit, n).otherwise(0)).withColumn(f"_{side}_sum", F.sum(f"_{side}").over(rising))
+        capped |= F.col(f"_{side}_sum") > run_limit
     none = F.expr("cast(array() as array<struct<value:string,count:bigint>>)")
-    return out.where("n_new > 0 or n_gone > 0").withColumn("capped", capped).withColumn("new", F.when(capped, none).otherwise(F.col("new"))).withColumn("gone", F.when(capped, none).otherwise(F.col("gone")))
+    return out.where("n_new > 0 or n_gone > 0").withColumn("capped", capped).withColumn("new", F.when(F.col("capped"), none).otherwise(F.col("new"))).withColumn("gone", F.when(F.col("capped"), none).otherwise(F.col("gone"))).drop("_after", "_before", "_after_sum", "_before_sum")

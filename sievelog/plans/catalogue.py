@@ -303,9 +303,9 @@ _QUERIES = (
 
 def _more() -> list:
     """Modules that hold registered queries with their twins beside them."""
-    from . import catalogue_formats, catalogue_mining
+    from . import catalogue_formats, catalogue_io, catalogue_mining
 
-    return [catalogue_formats, catalogue_mining]
+    return [catalogue_formats, catalogue_mining, catalogue_io]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

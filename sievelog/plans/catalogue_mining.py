@@ -221,7 +221,7 @@ def model_goes_on_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT 'a state that evicts cannot be checked against' AS refusal")
 def check_refuses_evicting_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = grouped(spark, sf_dir).drop("g", "half")
-    model = _model(records.limit(50), MiningConfig(on_full="evict", max_templates=10))
+    model = _model(records, MiningConfig(on_full="evict", max_templates=10))
     try:
         pipeline.check(records, model)
         said = ""

@@ -7,14 +7,19 @@ import hashlib
 import io
 import json
 import os
+import struct
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import numpy as np
+
 from ..config import ALGO_VERSION, LEVELS, MiningConfig, SettingError
 from ..functions.masking import mask_fingerprint
 from ..operators.tree import Tree
 
 KIND, SCHEMA = "template-state", 2
+#: First bytes of the binary form.
+MAGIC = b"\x93template-state\x00"
 MAX_BYTES, MAX_TEMPLATES, MAX_NODES, MAX_TOKEN_BYTES = 1 << 30, 1_000_000, 4_000_000, 64 << 10
 
 
@@ -62,6 +67,48 @@ def dumps(model: Model) -> bytes:
     return lines + json.dumps({"sha256": hashlib.sha256(lines).hexdigest()}, separators=(",", ":")).encode() + b"\n"
 
 
+def to_binary(text: bytes) -> bytes:
+    """The binary form of a state: the header, then numbers as arrays and each different token once.
+
+    Layout: ``MAGIC``; header and body frame as blocks (8 bytes of length, then
+    the bytes); the SHA-256 of all before.  The body frame has blocks of the
+    tokens (joined by NUL), and of whole numbers of 8 bytes: token numbers and
+    lengths of the clusters, and the rest of the body as JSON.
+    """
+    header, body, _ = text.split(b"\n", 2)
+    data = json.loads(body)
+    number: dict[str, int] = {}
+    flat = [number.setdefault(t, len(number)) for c in data["clusters"] for t in c]
+    sizes = [len(c) for c in data.pop("clusters")]
+    pack = lambda values: np.array(values, dtype="<i8").tobytes()
+    blocks = [header, "\0".join(number).encode(), pack(flat), pack(sizes), json.dumps(data, separators=(",", ":"), ensure_ascii=False).encode()]
+    out = MAGIC + b"".join(struct.pack("<Q", len(b)) + b for b in blocks)
+    return out + hashlib.sha256(out).digest()
+
+
+def from_binary(raw: bytes) -> bytes:
+    """The text form of a binary state; sizes are checked before anything is taken."""
+    if len(raw) < len(MAGIC) + 32 or hashlib.sha256(raw[:-32]).digest() != raw[-32:]:
+        raise SettingError("the state is damaged: its checksum differs")
+    blocks, at, end = [], len(MAGIC), len(raw) - 32
+    while at < end:
+        if end - at < 8 or (size := struct.unpack_from("<Q", raw, at)[0]) > end - at - 8:
+            raise SettingError("the state is cut off")
+        blocks.append(raw[at + 8 : at + 8 + size])
+        at += 8 + size
+    if len(blocks) != 5:
+        raise SettingError("the state has other parts than a state of this form")
+    header, words, flat, sizes, rest = blocks
+    tokens = words.decode().split("\0") if words else []
+    flat, sizes = np.frombuffer(flat, dtype="<i8"), np.frombuffer(sizes, dtype="<i8")
+    if len(sizes) > MAX_TEMPLATES or (len(sizes) and sizes.min() < 0) or sizes.sum() != len(flat) or (len(flat) and not 0 <= flat.min() <= flat.max() < len(tokens)):
+        raise SettingError("the state names tokens that it does not have")
+    data, ends = json.loads(rest), np.cumsum(sizes)
+    data["clusters"] = [[tokens[k] for k in flat[a:b]] for a, b in zip(ends - sizes, ends, strict=True)]
+    lines = header + b"\n" + json.dumps(data, separators=(",", ":"), ensure_ascii=False).encode() + b"\n"
+    return lines + json.dumps({"sha256": hashlib.sha256(lines).hexdigest()}).encode() + b"\n"
+
+
 def loads(raw: bytes, config: MiningConfig) -> Model:
     """Read and check a model; the file is not trusted."""
     if raw[:2] == b"\x1f\x8b":
@@ -69,6 +116,11 @@ def loads(raw: bytes, config: MiningConfig) -> Model:
             raw = packed.read(MAX_BYTES + 1)
     if len(raw) > MAX_BYTES:
         raise SettingError("the state is larger than 1 GiB")
+    if raw.startswith(MAGIC):
+        try:
+            raw = from_binary(raw)
+        except (ValueError, KeyError, TypeError) as error:
+            raise SettingError(f"the state cannot be read: {error}") from error
     try:
         first, second, third = raw.split(b"\n")[:3]
         header, check = json.loads(first), json.loads(third)
@@ -104,8 +156,10 @@ def loads(raw: bytes, config: MiningConfig) -> Model:
 
 
 def save(model: Model, path: str | Path) -> None:
-    """Write beside the target and move into place; ``.gz`` is compressed."""
+    """Write beside the target and move into place; ``.gz`` is compressed, ``.bin`` (before it) is the binary form."""
     raw = dumps(model)
+    if ".bin" in Path(path).suffixes[-2:]:
+        raw = to_binary(raw)
     if str(path).endswith(".gz"):
         raw = gzip.compress(raw, mtime=0)
     staged = Path(f"{path}.{os.getpid()}.new")

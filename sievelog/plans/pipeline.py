@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import EXAMPLE_BYTES, WILDCARD, CheckConfig, DiffConfig, MiningConfig, SettingError
+from ..functions.masking import mask
 from ..functions.tokens import cut_bytes
 from ..operators import compare, matchers, stats, values
 from ..operators.assign import UNMATCHED, assign
@@ -44,6 +45,13 @@ def _shown(prepared: DataFrame, mode: str) -> DataFrame:
     return prepared.withColumn("message", F.col("masked")) if mode == "masked" else prepared
 
 
+def _values_shown(found: DataFrame, config: MiningConfig, mode: str) -> DataFrame:
+    """Values as the examples' mode allows: as they are, masked (and then summed by what they have become), or none."""
+    if mode == "none":
+        return found.where(F.lit(False))
+    return found.withColumn("value", mask(F.col("value"), config.masks)) if mode == "masked" else found
+
+
 def _text(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 
@@ -72,9 +80,9 @@ def counted(
     left out of the templates.  Records are summed by cluster in one pass whose
     result, at most a row per template, run and unmatched length, is kept.
     """
-    named = assign(_shown(prepared, examples), tree, exact=exact)
+    named = assign(prepared, tree, exact=exact)
     alone = F.when(F.col("cluster") == UNMATCHED, F.col("n_tokens"))
-    grouped = settled(stats.per_template(named.withColumn("wild", alone), ["cluster", "wild", "run"]))
+    grouped = settled(stats.per_template(_shown(named, examples).withColumn("wild", alone), ["cluster", "wild", "run"]))
     unmatched: dict[int, tuple[tuple[int, int], ...]] = {}
     for r in grouped.where("wild is not null").orderBy("run", "wild").select("run", "wild", "count").collect():
         unmatched[r.run] = (*unmatched.get(r.run, ()), (r.wild, r["count"]))
@@ -135,7 +143,7 @@ def analyze(
         frozen, named, _ = counted(prepared, tree, examples=examples)
         first = values.tracked(templates, value_templates).select("text")
         found = values.parameters(named.join(F.broadcast(first), "text", "left_semi"), config.masks, config.delimiters)  # at most value_templates rows
-        result.templates, result.values, result.numbers = frozen.drop("run", "first_ord"), values.distribution(found), values.numeric_summary(found)
+        result.templates, result.values, result.numbers = frozen.drop("run", "first_ord"), values.distribution(_values_shown(found, config, examples)), values.numeric_summary(found)
     return result
 
 
@@ -166,7 +174,8 @@ def diff(
         if last != 1:
             raise SettingError("new values need exactly two runs")
         first = values.tracked(templates.groupBy("text").agg(F.sum("count").alias("count")), value_templates).select("text")
-        result.value_changes = values.value_changes(values.parameters(named.join(F.broadcast(first), "text", "left_semi"), config.masks, config.delimiters))
+        found = values.parameters(named.join(F.broadcast(first), "text", "left_semi"), config.masks, config.delimiters)
+        result.value_changes = values.value_changes(_values_shown(found, config, examples))
     return result
 
 

@@ -18,7 +18,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-from ..config import ALERTS, LEVELS, SettingError
+from ..config import ALERTS, ALGO_VERSION, LEVELS, SettingError
 from ..operators.stats import LEVEL_COLUMNS
 from ..plans.results import Analysis, Check, Diff, RunSummary
 from . import text as t
@@ -114,7 +114,7 @@ def as_json(v: View, top: int | None = None, **_: object) -> str:
     keys = ("id", "text", "count", "category", "before_count", "after_count", "before_share", "after_share", "ratio", "factor", "score", "p", "level", "levels", "example", "first_seen", "last_seen")
     pick = lambda rows: [{k: r[k] for k in keys if k in r} for r in rows[:top]]
     names = {"new": "new_templates"}
-    data: dict = {"schema_version": 1, "kind": v.kind, "runs": [asdict(r) for r in v.runs], "warnings": v.warnings}
+    data: dict = {"schema_version": 1, "algo_version": ALGO_VERSION, "kind": v.kind, "runs": [asdict(r) for r in v.runs], "warnings": v.warnings}
     if v.kind != "analysis":
         data["summary"] = {n: len(rows) for n, rows in v.sections.items()} | {"new_alerts": sum(map(_alert, v.sections["new"])), "unchanged": v.unchanged}
     data |= {names.get(n, n): pick(rows) for n, rows in v.sections.items()} | v.extra
