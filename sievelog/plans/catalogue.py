@@ -178,7 +178,7 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def value_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = values.distribution(_values(spark, sf_dir))
     top = F.array_join(F.transform("top", lambda x: F.concat_ws("=", x["value"], x["count"].cast("string"))), ";")
-    return found.where("not capped").select("text", "position", "name", top.alias("top"), F.col("distinct").cast("long").alias("n_distinct"), "other")
+    return found.select("text", "position", "name", top.alias("top"), F.col("distinct").cast("long").alias("n_distinct"), "capped", "other")
 
 
 def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

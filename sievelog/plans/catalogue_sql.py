@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from ..config import DEFAULT_RULES, LEVELS
+from ..config import LEVELS
 from ..functions.levels import ALIASES
-from ..functions.mask_sets import PII
 
 #: 16 January 2024, and a week, in microseconds.
 CUT_MICROS, WEEK_MICROS = 1_705_363_200_000_000, 7 * 86_400_000_000
 
-_ALL = "|".join(f"(?:{r.pattern})" for r in DEFAULT_RULES)
-_TOKEN = "CASE " + " ".join(f"WHEN regexp_full_match(h, '{r.pattern}') THEN '{r.token}'" for r in DEFAULT_RULES[:-1]) + f" WHEN h IS NOT NULL THEN '{DEFAULT_RULES[-1].token}' ELSE '' END"
+# The default rules and the rules of personal data, written out here apart from the library's.
+_RULES = (
+    (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<UUID>"),
+    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?", "<TS>"),
+    (r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?\b", "<IP>"),
+    (r"\b0[xX][0-9a-fA-F]+\b", "<HEX>"),
+    (r"(?:/[A-Za-z0-9_.-]+){2,}", "<PATH>"),
+    (r"\b[0-9]+(?:\.[0-9]+)?\b", "<NUM>"),
+)
+_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"
+_PHONE = r"\+(?:[1-9][0-9]{0,2}(?:[ .-]|[ .-]?\()(?:[ .()-]{0,2}[0-9]){6,13}|[1-9][0-9]{9,14})\b"
+_ALL = "|".join(f"(?:{pattern})" for pattern, _ in _RULES)
+_TOKEN = "CASE " + " ".join(f"WHEN regexp_full_match(h, '{pattern}') THEN '{token}'" for pattern, token in _RULES[:-1]) + f" WHEN h IS NOT NULL THEN '{_RULES[-1][1]}' ELSE '' END"
 
 
 def masked(text: str) -> str:
@@ -83,13 +93,13 @@ SQL = {
     "overlap_pairs": f"WITH {_SIDED}, {_PAIRS} SELECT before_text, after_text, c / least(nb, na) AS score FROM p WHERE least(nb, na) >= 3 AND c / least(nb, na) >= 0.8",
     "idf_pairs": f"WITH {_SIDED}, {_PAIRS}, n AS (SELECT x, 1.0::DOUBLE / count(*) AS v FROM (SELECT * FROM be UNION ALL SELECT * FROM ae) GROUP BY x), i AS (SELECT be.text AS before_text, ae.text AS after_text, sum(v) AS s FROM be JOIN ae USING (x) JOIN n USING (x) GROUP BY 1, 2), bt AS (SELECT text, sum(v) AS v FROM be JOIN n USING (x) GROUP BY 1), av AS (SELECT text, sum(v) AS v FROM ae JOIN n USING (x) GROUP BY 1) SELECT before_text, after_text, round(s / (bt.v + av.v - s), 9) AS score FROM i JOIN bt ON bt.text = before_text JOIN av ON av.text = after_text WHERE s / (bt.v + av.v - s) >= 0.5",
     "subset_pairs": f"WITH {_EVENTS}, {_TEMPLATES}, c AS (SELECT text, count(*) AS n FROM t GROUP BY text), b AS (SELECT t AS text, row_number() OVER (ORDER BY n DESC, t) - 1 AS b FROM (SELECT regexp_replace(text, '^(click|view) ', '<*> ') AS t, n FROM c)), a AS (SELECT t AS text, row_number() OVER (ORDER BY n DESC, t) - 1 AS a FROM (SELECT replace(text, ' value <NUM>', ' value <*>') AS t, n FROM c)), z AS (SELECT b, a, string_split(b.text, ' ') AS x, string_split(a.text, ' ') AS y FROM b, a WHERE len(string_split(b.text, ' ')) = len(string_split(a.text, ' '))) SELECT b, a, abs(len(list_filter(x, lambda t: t = '<*>')) - len(list_filter(y, lambda t: t = '<*>'))) AS gap FROM z WHERE len(list_filter(list_zip(x, y), lambda p: p[1] <> '<*>' AND p[1] <> p[2])) = 0 OR len(list_filter(list_zip(x, y), lambda p: p[2] <> '<*>' AND p[1] <> p[2])) = 0",
-    "value_distribution": f"WITH {_EVENTS}, {_TEMPLATES}, {_VALUES}, c AS (SELECT text, position, name, value, count(*) AS n FROM w GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY text, position ORDER BY n DESC, value) AS r FROM c) SELECT text, position, name, string_agg(value || '=' || n, ';' ORDER BY r) FILTER (r <= 10) AS top, count(*) AS n_distinct, 0 AS other FROM k GROUP BY text, position, name HAVING count(*) <= 1000",
+    "value_distribution": f"WITH {_EVENTS}, {_TEMPLATES}, {_VALUES}, c AS (SELECT text, position, name, value, count(*) AS n, min(ord) AS o FROM w GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY text, position ORDER BY o, value) AS place FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY text, position ORDER BY place > 1000, n DESC, value) AS nth FROM k) SELECT text, position, name, string_agg(value || '=' || n, ';' ORDER BY nth) FILTER (nth <= 10 AND place <= 1000) AS top, least(count(*), 1000) AS n_distinct, count(*) > 1000 AS capped, coalesce(sum(n) FILTER (place > 1000), 0)::BIGINT AS other FROM r GROUP BY text, position, name",
     "numeric_summary": f"WITH {_EVENTS}, {_TEMPLATES}, {_VALUES}, {_NUMBERS} SELECT text, position, name, count(*) AS count, min(x) AS min, max(x) AS max, round(avg(x), 6) AS mean FROM z GROUP BY text, position, name",
     "numeric_quantiles": f"WITH {_EVENTS}, {_TEMPLATES}, {_VALUES}, {_NUMBERS}, y AS (SELECT *, row_number() OVER (PARTITION BY text, position ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY text, position) AS n, min(x) OVER (PARTITION BY text, position) AS low, max(x) OVER (PARTITION BY text, position) AS high, CASE WHEN x <= 1e-9 THEN 0.0 ELSE (pow(1.05, {_UP}) + pow(1.05, {_UP} - 1)) / 2 END AS mid FROM z) SELECT text, position, name, round(max(least(greatest(mid, low), high)) FILTER (k = floor(0.5 * (n - 1))), 6) AS p50, round(max(least(greatest(mid, low), high)) FILTER (k = floor(0.9 * (n - 1))), 6) AS p90, round(max(least(greatest(mid, low), high)) FILTER (k = floor(0.99 * (n - 1))), 6) AS p99 FROM y GROUP BY text, position, name",
     "new_gone_values": f"WITH {_EVENTS}, {_TEMPLATES}, {_VALUES}, both_runs AS (SELECT text FROM w GROUP BY text HAVING count(DISTINCT run) = 2), c AS (SELECT text, position, name, value, count(*) FILTER (run = 0) AS b, count(*) FILTER (run = 1) AS a FROM w WHERE text IN (SELECT text FROM both_runs) GROUP BY ALL), k AS (SELECT *, CASE WHEN b = 0 THEN 'new' WHEN a = 0 THEN 'gone' ELSE 'shared' END AS kind FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY text, position, kind ORDER BY a + b DESC, value) AS r FROM k) SELECT text, position, name, count(*) FILTER (kind = 'new') AS n_new, count(*) FILTER (kind = 'gone') AS n_gone, count(*) FILTER (kind = 'shared') AS n_shared, coalesce(string_agg(value || '=' || (a + b), ';' ORDER BY r) FILTER (kind = 'new' AND r <= 10), '') AS new, coalesce(string_agg(value || '=' || (a + b), ';' ORDER BY r) FILTER (kind = 'gone' AND r <= 10), '') AS gone FROM o GROUP BY text, position, name HAVING count(*) FILTER (kind <> 'shared') > 0",
     "check_model": f"WITH {_EVENTS}, {_SHAPED}, {_BUSY}, {_RUNS}, x AS (SELECT text, count(*) FILTER (run = 0) > 0 AS known, count(*) FILTER (run = 1) AS n FROM r GROUP BY text) SELECT known, count(*) AS templates, sum(n)::BIGINT AS records FROM x WHERE n > 0 GROUP BY known",
     "match_exact_rule": f"WITH {_EVENTS}, {_TEMPLATES}, m AS (SELECT ord, CASE WHEN text = 'click user <NUM> value <NUM> props {{\"k\": <NUM>}}' THEN 1 WHEN regexp_full_match(text, '[^ ]+ user <NUM> value <NUM> props \\{{\"k\": <NUM>\\}}') THEN 0 WHEN regexp_full_match(text, 'view user <NUM> value [^ ]+ props \\{{\"k\": <NUM>\\}}') THEN 2 ELSE -1 END AS cluster FROM t) SELECT cluster, count(*) AS records, min(ord) AS first_ord FROM m GROUP BY cluster",
-    "pii_mask_documents": f"WITH {_LINES}, p AS (SELECT ord, len(list_filter(regexp_extract_all(line, '{PII.rules[0].pattern}|{PII.rules[1].pattern}'), lambda h: h LIKE '%@%')) AS emails, len(list_filter(regexp_extract_all(line, '{PII.rules[0].pattern}|{PII.rules[1].pattern}'), lambda h: h NOT LIKE '%@%')) AS phones FROM l) SELECT * FROM p WHERE emails > 0 OR phones > 0",
+    "pii_mask_documents": f"WITH {_LINES}, p AS (SELECT ord, len(list_filter(regexp_extract_all(line, '{_EMAIL}|{_PHONE}'), lambda h: h LIKE '%@%')) AS emails, len(list_filter(regexp_extract_all(line, '{_EMAIL}|{_PHONE}'), lambda h: h NOT LIKE '%@%')) AS phones FROM l) SELECT * FROM p WHERE emails > 0 OR phones > 0",
     "json_parse": f"SELECT event_id AS ord, true AS good, event_type AS message, (epoch_us(ts) // 1000000) * 1000000 AS ts_micros, true AS tz_aware, {_LEVEL} AS level FROM events",
     "parse_app_lines": f"SELECT event_id AS ord, true AS good, {_MESSAGE} AS message, (epoch_us(ts) // 1000000) * 1000000 AS ts_micros, true AS tz_aware, {_LEVEL} AS level FROM events",
     "parse_access_lines": "SELECT event_id AS ord, true AS good, '\"GET /u/' || user_id || ' HTTP/1.1\" 200' AS message, (epoch_us(ts) // 1000000) * 1000000 - 7200000000 AS ts_micros, true AS tz_aware FROM events",

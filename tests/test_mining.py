@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sievelog.config import LEVELS, WILDCARD, CheckConfig, DiffConfig, MiningConfig, SettingError
 from sievelog.functions.masking import Masker
 from sievelog.functions.tokens import tokens_of
+from sievelog.operators.train import train
 from sievelog.operators.tree import Tree, has_digit, key_of
 from sievelog.plans import model as models
 from sievelog.plans import pipeline
@@ -259,6 +260,86 @@ def test_stream_query_survives_a_restart(spark, tmp_path):
     assert [t.text if t else None for t in miner.session.match_many(["job 9 done", "x"])] == ["job <NUM> done", None]
 
 
+@pytest.mark.parametrize("every", [2, 3])
+def test_no_batch_is_lost_between_saves(spark, tmp_path, every):
+    """Files one by one, a restart after each: whatever was not saved is mined again from its journal."""
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(5):
+        (source / f"{k}.txt").write_text("".join(f"job {k}{i} done\n" for i in range(3)))
+        miner = StreamMiner(tmp_path / "state", save_every=every)
+        assert sum(h[0] for h in miner.session.model().history) == 3 * k
+        miner.start(spark.readStream.text(str(source)), str(tmp_path / "check"), availableNow=True).awaitTermination(60)
+        assert sum(h[0] for h in miner.session.model().history) == 3 * (k + 1)
+    rows = spark.createDataFrame([("a 1", 5, "ERROR"), (None, 1, None), ("a 2", 3, None)], "m string, t long, l string")
+    miner = StreamMiner(tmp_path / "other", message="m", ts="t", level="l", order="t")
+    miner._take(rows, 0)
+    (found,) = miner.session.result()
+    assert (found.count, found.first, found.last, found.level) == (2, 3, 5, "ERROR")
+
+
+def test_live_times_are_those_of_a_batch(spark, tmp_path):
+    from sievelog.sources import records as rec
+    from sievelog.sources.formats import FORMATS
+
+    stamps = ["2024-01-02T03:04:05Z", "2024-02-30T00:00:00Z", "2024-01-02 03:04:05,678+02:00", "2024-12-31 23:59:59.9", "2024-01-02T25:04:05Z", "2024-01-02T03:04:60Z"]
+    cases = {"app": [f"{s} ERROR boom {i}" for i, s in enumerate(stamps)], "nginx": ['1 - - [02/Jan/2024:03:04:05 +0300] "GET /" 200', '1 - - [32/Jan/2024:03:04:05 +0300] "GET /" 200']}
+    cases["syslog"] = ["Jan  2 03:04:05 h a", "Feb 30 03:04:05 h a", "2024-01-02T03:04:05 h a"]
+    cases["jsonl"] = ['{"msg": "a", "ts": 1704164645}', '{"msg": "a", "ts": 1704164645.25}', '{"msg": "a", "ts": "1704164645000"}', '{"msg": "a", "ts": true}', '{"msg": "a", "time": "2024-01-02T03:04:05Z"}', '{"msg": "a", "ts": -5}']
+    for name, lines in cases.items():
+        frame = spark.createDataFrame([(0, 0, k, x) for k, x in enumerate(lines)], "run int, file int, ord long, line string")
+        want = [r.ts_micros for r in rec.parse(frame, FORMATS[name]).orderBy("ord").collect()]
+        live = Session(format=name)
+        assert [live.parse([x])[1] for x in lines] == want, name
+
+
+def test_chunk_trees_are_merged_in_order(spark):
+    """The merge read word by word: clusters of each stretch, in order, are messages of one more tree."""
+    rows, config = corpus(21, n=240), MiningConfig(sim_th=0.5)
+    frame = spark.createDataFrame(rows, RECORDS).repartition(5)
+    clusters, tree = train(pipeline.prepare(frame, config), config, chunks=3)
+    masker, merged = Masker(), Plain(config)
+    bounds = sorted({r.chunk_start for r in pipeline.prepare(frame, config).select("ord").repartitionByRange(3, "ord").groupBy(F.spark_partition_id()).agg(F.min("ord").alias("chunk_start")).collect()})
+    for a, b in zip(bounds, [*bounds[1:], len(rows)], strict=True):
+        part = Plain(config)
+        for row in rows[a:b]:
+            part.add(tokens_of(masker.mask(row[2])), row)
+        for tokens, records in part.clusters:
+            merged.add(tokens, records)
+    want = {}
+    for tokens, parts in merged.clusters:
+        want.setdefault(" ".join(tokens), []).extend(r for records in parts for r in records)
+    got = clusters.groupBy(F.array_join("tokens", " ").alias("text")).agg(F.sum("count").alias("n"), F.min_by("example", "first_ord").alias("e")).collect()
+    assert {r.text: (r.n, r.e) for r in got} == {t: (len(r), min(r, key=lambda x: x[1])[2]) for t, r in want.items()}
+    assert sorted(tree.clusters) == sorted(t for t, _ in merged.clusters)
+
+
+def test_mining_of_documents_equals_one_plain_tree(spark, sf):
+    from sievelog.plans import catalogue
+
+    rows = [(0, r.ord, r.message, None, False, None) for r in catalogue.document_records(spark, sf).orderBy("ord").collect()]
+    want, _ = plain_result(rows, MiningConfig())
+    got = {r.text: r["count"] for r in catalogue.drain_documents(spark, sf).collect()}
+    assert got == {t: len(r) for t, r in want.items() if r} and any(WILDCARD in t for t in got)
+
+
+def test_binary_states(tmp_path):
+    config = MiningConfig()
+    tree = Tree(config)
+    for k, tokens in enumerate((["a", "<*>", "é"], ["b"], [], ["a", "b", "c"])):
+        tree.create(tokens, k)
+    model = models.Model(config, tree, [[k, None, k, [0] * 6] for k in range(4)], {3: models.empty_history()})
+    for name in ("m.bin", "m.bin.gz", "m.json"):
+        models.save(model, tmp_path / name)
+        again = models.load(tmp_path / name, config)
+        assert (again.tree.clusters, again.history, again.overflow) == (tree.clusters, model.history, model.overflow)
+    raw = models.to_binary(models.dumps(model))
+    assert raw.startswith(models.MAGIC)
+    for bad in (raw[:-1], raw[:40] + b"x" + raw[41:], raw[: len(models.MAGIC)], models.MAGIC):
+        with pytest.raises(SettingError):
+            models.loads(bad, config)
+
+
 def test_lines_and_open_records():
     live = Session(format="app", multiline=True)
     live.add_lines(["lost\n", "2024-01-02T03:04:05Z ERROR boom\r\n", "  at x\n", "\n"])
