@@ -36,9 +36,9 @@ def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame
     return rows.join(gone, rows[ORD] == gone["_gone"], "left_anti").select(*docs.columns)
 
 
-#: (letters, score): texts of fewer than 20 letters are too short to tell from chance and stay; longer ones score
+#: (letters, score): texts of fewer than 40 letters are too short to tell from chance and stay; longer ones score
 #: above the chance matches of 1024 dimensions, and from 80 letters on above random letters too.
-LEAST = ((0, -1.0), (20, 0.1), (80, 0.18))
+LEAST = ((0, -1.0), (40, 0.1), (80, 0.18))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
