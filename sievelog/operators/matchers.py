@@ -30,23 +30,26 @@ SHIFT = 31
 FEW = 200_000
 
 
-def numbered(templates: DataFrame) -> DataFrame:
-    """Templates in input order (count descending, text): adds ``i`` from 0.
+def in_order(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add ``name``: the place of each row from 0.
 
-    Ranges of that order are numbered apart and shifted by the sizes of the
+    Ranges of the order are numbered apart and shifted by the sizes of the
     ranges before, so no task sorts all.
     """
-    order = [F.desc("count"), F.asc("text")]
-    tasks = int(templates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = templates.select("text", "count").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    rows = settled(dealt.select("text", F.monotonically_increasing_id().alias("at")))
-    part = F.shiftright("at", 33)
-    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()  # a row per task
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()  # a row per task
     bases, total = {}, 0
     for r in sorted(sizes, key=lambda r: r.part):
         bases[r.part], total = total, total + r.n
     base = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in (bases or {0: 0}).items() for x in kv]), part)
-    return rows.select("text", (base + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias("i"))
+    return dealt.withColumn(name, (base + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("int")).drop("_at")
+
+
+def numbered(templates: DataFrame) -> DataFrame:
+    """Templates in input order (count descending, text): adds ``i`` from 0."""
+    return in_order(templates.select("text", "count"), [F.desc("count"), F.asc("text")], "i").drop("count")
 
 
 def words(text: Column) -> Column:
@@ -61,7 +64,7 @@ def ranked_words(before: DataFrame, after: DataFrame, weighted: bool = False) ->
     sides = before.withColumn("side", F.lit(0)).unionByName(after.withColumn("side", F.lit(1)))
     each = sides.select("side", "i", F.explode(words(F.col("text"))).alias("word"))
     frequency = each.groupBy("word").agg(F.count("*").alias("n"))
-    rank = frequency.select("word", "n", F.row_number().over(Window.orderBy("n", "word")).alias("rank"))  # as many rows as words; templates are bounded
+    rank = in_order(frequency, [F.col("n"), F.col("word")], "rank")
     named = each.join(rank, "word").select("side", "i", (F.col("rank").cast("long") * (1 << SHIFT) + F.col("n")).alias("code"))
     sets = named.groupBy("side", "i").agg(F.array_sort(F.collect_list("code")).alias("codes"))
     if weighted:
@@ -223,7 +226,7 @@ def take_subset(candidates: DataFrame, few: int = FEW) -> DataFrame:
 def _leftover(pairs: DataFrame, left: DataFrame, right: DataFrame, least_words: int) -> DataFrame:
     """Templates without a pair, paired in their order: what a threshold of 0 asks for once all pairs with a common word are taken."""
     free = lambda df, side: df.where(F.size(words(F.col("text"))) >= least_words).select(F.col("i").alias(side)).join(pairs.select(side), side, "left_anti")
-    nth = lambda df, side: df.withColumn("k", F.row_number().over(Window.orderBy(side)))  # noqa: E731  one number a row, templates are bounded
+    nth = lambda df, side: in_order(df, [F.col(side)], "k")
     return pairs.unionByName(nth(free(left, "b"), "b").join(nth(free(right, "a"), "a"), "k").select("b", "a"))
 
 

@@ -98,22 +98,33 @@ def tracked(templates: DataFrame, k: int = TRACKED) -> DataFrame:
     return templates.orderBy(F.desc("count"), F.asc("text")).limit(k)
 
 
+#: Parts that the values of a position are ranked in before they meet.
+SALTS = 64
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("value"), F.lit(SALTS))
+
+
 def distribution(values: DataFrame, top: int = TOP) -> DataFrame:
     """Per position: the most frequent values, the number of counted values, capped, and records beyond them.
 
-    Counts are exact; of more than 1000 values the ones seen first are the counted ones.
+    Counts are exact; of more than 1000 values the ones seen first are the
+    counted ones.  A position's values are ranked in parts that keep their first
+    1000 each, so no task holds more than these.
     """
-    counts = values.withColumn("value", cut_value(F.col("value"))).groupBy(*KEYS, "value").agg(F.count("*").alias("n"), F.min("ord").alias("o"))
-    seen = counts.withColumn("place", F.row_number().over(Window.partitionBy(*KEYS).orderBy("o", "value")))
-    inside = F.col("place") <= DISTINCT
-    ranked = seen.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc(inside), F.desc("n"), F.asc("value"))))
-    best = F.transform(F.array_sort(F.collect_list(F.when((F.col("rank") <= top) & inside, F.struct("rank", "value", "n")))), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count")))
-    return ranked.groupBy(*KEYS).agg(
-        best.alias("top"),
-        F.least(F.count("*"), F.lit(DISTINCT)).alias("distinct"),
-        (F.count("*") > DISTINCT).alias("capped"),
-        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("other"),
+    counts = values.withColumn("value", cut_value(F.col("value"))).groupBy(*KEYS, "value").agg(F.count("*").alias("n"), F.min("ord").alias("o")).withColumn("salt", _salt())
+    seen = counts.withColumn("place", F.row_number().over(Window.partitionBy(*KEYS, "salt").orderBy("o", "value")))
+    parts = seen.groupBy(*KEYS, "salt").agg(
+        F.collect_list(F.when(F.col("place") <= DISTINCT, F.struct("o", "value", "n"))).alias("firsts"), F.count("*").alias("d"), F.sum("n").alias("t")
     )
+    whole = parts.groupBy(*KEYS).agg(F.slice(F.array_sort(F.flatten(F.collect_list("firsts"))), 1, DISTINCT).alias("firsts"), F.sum("d").alias("d"), F.sum("t").alias("t"))
+    best = F.slice(F.array_sort(F.transform("firsts", lambda x: F.struct((-x["n"]).alias("k"), x["value"].alias("value")))), 1, top)
+    inside = F.aggregate("firsts", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return whole.select(
+        *KEYS, F.transform(best, lambda x: F.struct(x["value"].alias("value"), (-x["k"]).alias("count"))).alias("top"),
+        F.least("d", F.lit(DISTINCT)).alias("distinct"), (F.col("d") > DISTINCT).alias("capped"), (F.col("t") - inside).alias("other"),
+    )
 
 
 def bucket_limits() -> tuple[list[float], list[float]]:
@@ -176,17 +187,18 @@ def value_changes(values: DataFrame, top: int = TOP, limit: int = PRESENCE_LIMIT
     new, gone = (F.col("b") == 0), (F.col("a") == 0)
     kind = F.when(new, "new").when(gone, "gone").otherwise("shared")
     marked = counts.withColumn("kind", kind).withColumn("n", F.col("a") + F.col("b"))
-    ranked = marked.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS, "kind").orderBy(F.desc("n"), F.asc("value"))))
+    # ranked in parts first, of which each keeps its ``top``
+    ranked = marked.withColumn("salt", _salt()).withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS, "kind", "salt").orderBy(F.desc("n"), F.asc("value"))))
+    best = lambda which: F.collect_list(F.when((F.col("kind") == which) & (F.col("rank") <= top), F.struct((-F.col("n")).alias("k"), "value"))).alias(which)
+    number = lambda which: F.count(F.when(F.col("kind") == which, 1)).alias(f"n_{which}")
+    parts = ranked.groupBy(*KEYS, "salt").agg(best("new"), best("gone"), number("new"), number("gone"), number("shared"), F.sum("b").alias("in_b"), F.sum("a").alias("in_a"))
 
     def listed(which: str) -> Column:
-        best = F.array_sort(F.collect_list(F.when((F.col("kind") == which) & (F.col("rank") <= top), F.struct("rank", "value", "n"))))
-        return F.transform(best, lambda x: F.struct(F.substring(x["value"], 1, VALUE_BYTES).alias("value"), x["n"].alias("count")))
+        first = F.slice(F.array_sort(F.flatten(F.collect_list(which))), 1, top)
+        return F.transform(first, lambda x: F.struct(F.substring(x["value"], 1, VALUE_BYTES).alias("value"), (-x["k"]).alias("count"))).alias(which)
 
-    number = lambda which: F.count(F.when(F.col("kind") == which, 1))
-    out = ranked.groupBy(*KEYS).agg(
-        listed("new").alias("new"), listed("gone").alias("gone"), number("new").alias("n_new"), number("gone").alias("n_gone"), number("shared").alias("n_shared"),
-        F.sum("b").alias("in_b"), F.sum("a").alias("in_a"),
-    )
+    sums = [F.sum(c).alias(c) for c in ("n_new", "n_gone", "n_shared", "in_b", "in_a")]
+    out = parts.groupBy(*KEYS).agg(listed("new"), listed("gone"), *sums)
     template = Window.partitionBy("text")  # of a row per position
     both = (F.max("in_b").over(template) > 0) & (F.max("in_a").over(template) > 0)
     out = out.withColumn("both", both).where("both").drop("both", "in_b", "in_a")

@@ -104,18 +104,31 @@ def starts_record(line: Column, spec: Format) -> Column:
     return line.rlike(spec.record_start)
 
 
+#: Lines in order are cut into parts of so many places (a power of two), which are framed apart.
+PART_BITS = 18
+
+
 def _joined(lines: DataFrame, spec: Format) -> DataFrame:
-    """Records of several lines: a line that starts none is appended to the one before."""
-    whole = Window.partitionBy("run", "file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("start", starts_record(F.col("line"), spec))
-    marked = marked.withColumn("record", F.sum(F.col("start").cast("long")).over(whole))
+    """Records of several lines: a line that starts none is appended to the one before.
+
+    A record is named by the place of its first line.  Parts of a file are looked
+    at apart; lines before the first start of a part belong to the last start of
+    the parts before, a table of a row per part.
+    """
+    keys = ["run", "file", "part"]
+    marked = lines.withColumn("part", F.shiftright("ord", PART_BITS)).withColumn("start", F.when(starts_record(F.col("line"), spec), F.col("ord")))
+    within = marked.withColumn("own", F.max("start").over(Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)))
+    lasts = marked.groupBy(*keys).agg(F.max("start").alias("last"))
+    before = Window.partitionBy("run", "file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(*keys, F.max("last").over(before).alias("carried"))
+    named = within.join(carried, keys).withColumn("record", F.coalesce("own", "carried"))
     inside = Window.partitionBy("run", "file", "record").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     size = F.coalesce(F.sum(F.octet_length("line") + 1).over(inside), F.lit(0)) - 1
-    kept = marked.withColumn("fits", size < MAX_RECORD_BYTES)
+    kept = named.where("record IS NOT NULL").withColumn("fits", size < MAX_RECORD_BYTES)
     parts = F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("ord", "line"))))
-    grouped = kept.where("record > 0").groupBy("run", "file", "record").agg(F.min("ord").alias("ord"), parts.alias("parts"), F.count("*").alias("n_lines"))
-    joined = grouped.select("run", "file", "ord", "n_lines", F.col("parts")[0]["line"].alias("head"), F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"))
-    early = kept.where("record = 0").select("run", "file", "ord", F.lit(1).cast("long").alias("n_lines"), F.lit(None).cast("string").alias("head"), "line")
+    grouped = kept.groupBy("run", "file", "record").agg(parts.alias("parts"), F.count("*").alias("n_lines"))
+    joined = grouped.select("run", "file", F.col("record").alias("ord"), "n_lines", F.col("parts")[0]["line"].alias("head"), F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"))
+    early = named.where("record IS NULL").select("run", "file", "ord", F.lit(1).cast("long").alias("n_lines"), F.lit(None).cast("string").alias("head"), "line")
     return joined.unionByName(early)
 
 
