@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ORD, with_order
-from .textscan import U64, Words, id_array, ids_of, mix, pieces, text_arrays
+from .textscan import U64, Words, id_array, ids_of, mix, pieces, text_arrays, trimmed
 
 #: Price of a mismatch or gap in an excerpt: chance matches of common words don't add up.
 STRICT = 4
@@ -232,7 +232,7 @@ def find_leaks(
         known = np.union1d(known, block(k)[1])
     counts, total = np.zeros(len(known), dtype=np.int64), 0
     for low in range(0, len(known), vocabulary):
-        counted = base.select("text").mapInArrow(_counter(known[low : low + vocabulary]), "word long, n long")
+        counted = base.select("text").mapInArrow(trimmed(_counter(known[low : low + vocabulary])), "word long, n long")
         for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect():  # a row per word of the benchmark
             if r.word < 0:
                 total = r.n
@@ -242,7 +242,7 @@ def find_leaks(
     for k in range(blocks):
         ids, _, words = first or block(k)
         seeds, places, weights, sizes = _rare_seeds(words, share, known, seed, alone, together)
-        hits = base.mapInArrow(_finder(Items(ids, words, seeds, places, weights, sizes), least, excerpt, margin), HITS)
+        hits = base.mapInArrow(trimmed(_finder(Items(ids, words, seeds, places, weights, sizes), least, excerpt, margin)), HITS)
         found = hits if found is None else found.unionByName(hits)
     return found if found is not None else spark.createDataFrame([], HITS)
 

@@ -25,14 +25,15 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import U64, mix
+from .textscan import U64, mix, trimmed
 
 PLACES = 3
 #: Characters worked on at once.
-CHARS = 1 << 21
+CHARS = 1 << 20
 #: n-gram vectors held at once.
 VECTORS = 1 << 15
 
@@ -104,14 +105,13 @@ def bundles(texts: list[str], dims: int, seed: int) -> tuple[np.ndarray, np.ndar
     return out, has
 
 
-def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """Stretches of about ``CHARS`` characters, or of one longer text: (from, to, texts, nulls as empty ones)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (size < CHARS or to == at):
-            size += len(texts[to] or "")
-            to += 1
-        yield at, to
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARS, side="right")))
+        yield at, to, [t or "" for t in texts.slice(at, to - at).to_pylist()]
         at = to
 
 
@@ -119,9 +119,9 @@ def _learner(dims: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, to in _groups(texts):
-                found, has = bundles([t or "" for t in texts[at:to]], dims, seed)
+            langs = batch.column(0).to_pylist()
+            for at, to, texts in _groups(batch.column(1)):
+                found, has = bundles(texts, dims, seed)
                 for lang, vector in zip(np.array(langs[at:to], dtype=object)[has], found[has], strict=True):
                     norm = float(np.linalg.norm(vector))
                     if norm:
@@ -140,7 +140,7 @@ def learn_prototypes(
     base = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"))
     share = base.groupBy("lang").agg(F.ceil(F.lit(1_000_000.0 * sample) / F.count("*")).alias("share"))  # a row per language
     base = base.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share")).select("lang", "text", "h")
-    partial = base.repartition(parts, "h").select("lang", "text").mapInArrow(_learner(dims, seed), "lang string, bundle binary")
+    partial = base.repartition(parts, "h").select("lang", "text").mapInArrow(trimmed(_learner(dims, seed)), "lang string, bundle binary")
     sums: dict[str, np.ndarray] = {}
     for row in sorted(partial.collect(), key=lambda r: (r.lang, bytes(r.bundle))):  # ``parts`` rows for each language
         sums[row.lang] = sums.get(row.lang, 0) + np.frombuffer(row.bundle)
@@ -153,10 +153,9 @@ def _predictor(prototypes: dict[str, np.ndarray], dims: int, seed: int) -> Calla
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            langs, scores = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
-            for at, to in _groups(texts):
-                found, has = bundles([t or "" for t in texts[at:to]], dims, seed)
+            langs, scores = np.full(batch.num_rows, "und", dtype=object), np.zeros(batch.num_rows)
+            for at, to, texts in _groups(batch.column(batch.num_columns - 1)):
+                found, has = bundles(texts, dims, seed)
                 norms = np.linalg.norm(found, axis=1)
                 if len(matrix):
                     cosines = found @ matrix.T / np.maximum(norms, 1e-9)[:, None]
@@ -173,7 +172,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, dims: int =
     """Per row: doc_id, lang_pred, score.  ``keep`` names a boolean column that is carried along."""
     columns = [F.col(id_col).alias("doc_id"), *([F.col(keep)] if keep else []), F.col(text_col).alias("_text")]
     schema = "doc_id long, " + (f"{keep} boolean, " if keep else "") + "lang_pred string, score double"
-    return docs.select(*columns).mapInArrow(_predictor(prototypes, dims, seed), schema)
+    return docs.select(*columns).mapInArrow(trimmed(_predictor(prototypes, dims, seed)), schema)
 
 
 def identified(
@@ -189,24 +188,25 @@ def identified(
     text = docs.columns.index(text_col)
     steps, scores = [n for n, _ in least], np.array([score for _, score in least])
 
-    def above(texts: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    def above(texts: list[str], bounds: np.ndarray) -> np.ndarray:
         if not prototypes:  # nothing to compare with
-            return np.array([any(map(str.isalpha, t or "")) for t in texts.to_pylist()], dtype=bool)
-        found = next(predict(iter([pa.RecordBatch.from_arrays([texts], names=[text_col])])))
+            return np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
+        found = next(predict(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=[text_col])])))
         return (np.array(found.column(1)) > bounds) & np.array([lang != "und" for lang in found.column(0).to_pylist()], dtype=bool)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            once = [" ".join(dict.fromkeys((t or "").lower().split())) for t in batch.column(text).to_pylist()]
-            letters = [sum(1 for _ in islice(filter(str.isalpha, t), steps[-1])) for t in once]
-            bounds = scores[np.searchsorted(steps, letters, side="right") - 1]
-            good = above(batch.column(text), bounds)
-            failed = np.flatnonzero(~good)
-            if len(failed):
-                good[failed] = above(pa.array([once[i] for i in failed], pa.string()), bounds[failed])
-            yield batch.filter(pa.array(good))
-
-    return docs.mapInArrow(keep, docs.schema)
+            for at, to, texts in _groups(batch.column(text)):
+                once = [" ".join(dict.fromkeys(t.lower().split())) for t in texts]
+                letters = [sum(1 for _ in islice(filter(str.isalpha, t), steps[-1])) for t in once]
+                bounds = scores[np.searchsorted(steps, letters, side="right") - 1]
+                good = above(texts, bounds)
+                failed = np.flatnonzero(~good)
+                if len(failed):
+                    good[failed] = above([once[i] for i in failed], bounds[failed])
+                yield batch.slice(at, to - at).filter(pa.array(good))
+
+    return docs.mapInArrow(trimmed(keep), docs.schema)
 
 
 def held_out(id_column: Column, parts: int, rest: int) -> Column:

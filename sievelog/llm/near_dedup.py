@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ORD, checkpoint, with_order
-from .textscan import U64, Words, mix, pieces, text_arrays
+from .textscan import U64, Words, mix, pieces, text_arrays, trimmed
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -223,7 +223,7 @@ def near_dedup(
     """Per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     above, below = similarity
     base, same_id = with_order(docs, id_col, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = checkpoint(base.select(ORD, "text").mapInArrow(_sketcher(words, bands, rows), f"{ORD} long, n_shingles long, digest binary, bands array<long>"))
+    sketched = checkpoint(base.select(ORD, "text").mapInArrow(trimmed(_sketcher(words, bands, rows)), f"{ORD} long, n_shingles long, digest binary, bands array<long>"))
 
     # classes of equal sets; small sides are checkpoints, so that each join deals both sides itself and Spark can split a hot key
     full = sketched.where("n_shingles > 0")
@@ -248,7 +248,7 @@ def near_dedup(
     meets = F.expr("CASE WHEN blocks <= 2 THEN array(0) ELSE transform(filter(sequence(0, blocks - 1), j -> j <> own), j -> least(own, j) * blocks + greatest(own, j)) END")
     dealt = dealt.select(F.col("node").alias(ORD), F.struct("root", meets.alias("meets")).alias("part"))
 
-    sets = base.select(ORD, "text").join(dealt, ORD).select(ORD, "part", "text").mapInArrow(_setter(words), f"{ORD} long, part struct<root: long, meets: array<int>>, shingles binary")
+    sets = base.select(ORD, "text").join(dealt, ORD).select(ORD, "part", "text").mapInArrow(trimmed(_setter(words)), f"{ORD} long, part struct<root: long, meets: array<int>>, shingles binary")
     spread = sets.select(ORD, F.col("part.root").alias("root"), F.explode("part.meets").alias("meet"), "shingles")
     links = spread.groupBy("root", "meet").applyInArrow(_verifier(above, below), "a long, b long").where("a <> b")
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import checkpoint, salted_rank, salts_for
+from .textscan import trimmed
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 #: Bytes of known words and their ids that a worker keeps in each of two generations.
@@ -264,7 +265,7 @@ def pack(
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = PIECES + (", ids binary" if with_ids else "")
-    cut = checkpoint(source.mapInArrow(_cutter(tokenizer, end_id, capacity, with_ids), schema))
+    cut = checkpoint(source.mapInArrow(trimmed(_cutter(tokenizer, end_id, capacity, with_ids)), schema))
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     plan = plan_windows(counts, capacity)
     ranked = salted_rank(cut, ["length"], ["doc_id", "start", "ids_crc32"], "rank", salts_for(sum(counts.values())))

@@ -191,3 +191,35 @@ def test_words_and_hashes():
     assert ngrams(h, 2)[0] != ngrams(h, 2)[1] and len(ngrams(h, 9)) == 0
     grams, begins = shingle_sets(np.frombuffer(b"A a A a", dtype=np.uint8), np.array([0, 7]), 2)
     assert len(grams) == 1 and begins.tolist() == [0, 1]
+
+
+def test_very_long_texts_and_words(spark):
+    """Texts of a megabyte, near copies of them, and single words of two megabytes."""
+    rng = np.random.default_rng(4)
+    body = [f"w{x}" for x in rng.integers(0, 10**9, 90_000)]
+    other = [*body[:45_000], "changed", *body[45_001:]]
+    rows = [(0, " ".join(body), None, None, None), (1, " ".join(other), None, None, None), (2, " ".join(body), None, None, None), (3, "x" * 2_000_000, None, None, None), (4, "x" * 2_000_000, None, None, None), (5, "short", None, None, None)]
+    docs = frame(spark, rows)
+    assert {r.doc_id: r.keep_id for r in exact_dedup(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3, 5: 5}
+    found = {r.doc_id: (r.n_words, r.n_removed) for r in dedup_substrings(docs).collect()}
+    assert found == {0: (90_000, 0), 1: (90_000, 89_999), 2: (90_000, 90_000), 3: (1, 0), 4: (1, 0), 5: (1, 0)}
+    assert {r.doc_id: r.component_id for r in near_dedup(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5}
+    assert {r.doc_id: r.n_removed for r in dedup_lines(docs).collect()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
+@pytest.mark.parametrize("edits", [1, 3, 6])
+def test_near_dedup_recall_of_edited_copies(spark, edits):
+    """All links of the brute force are found for copies just above and below the threshold."""
+    rng = np.random.default_rng(edits)
+    rows = []
+    for k in range(60):
+        words_ = [f"v{x}" for x in rng.integers(0, 5000, 90)]
+        rows.append((2 * k, " ".join(words_), None, None, None))
+        for i in rng.integers(0, 90, edits):
+            words_[i] = f"e{rng.integers(0, 10**6)}"
+        rows.append((2 * k + 1, " ".join(words_), None, None, None))
+    want = components(rows, 3, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(frame(spark, rows), words=3).collect()}
+    linked = [d for d, (_, root) in want.items() if d != root]
+    assert sum(got[d] == want[d] for d in linked) >= 0.99 * len(linked) and all(got[d][1] in (d, want[d][1]) for d in got)
+    assert linked or edits > 3
