@@ -6,8 +6,10 @@ run in an Arrow-batched function over Python's ``re`` in ASCII mode.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import operator
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from re import _constants, _parser  # type: ignore[attr-defined]
@@ -190,7 +192,7 @@ def mask(message: Column, rules: Sequence[MaskRule] = DEFAULT_RULES) -> Column:
         return message
     if rules == DEFAULT_RULES:
         return mask_default(message)
-    Masker(rules)  # refuse bad rules on the driver
+    checked = Masker(rules)  # refuses bad rules on the driver
 
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -199,7 +201,11 @@ def mask(message: Column, rules: Sequence[MaskRule] = DEFAULT_RULES) -> Column:
             known: dict[str, str] = {}
             yield batch.map(lambda m: known.setdefault(m, masker.mask(m)) if m is not None else None)
 
-    return run(message)
+    if not checked.gates[0]:
+        return run(message)
+    # messages without any text that the rules of the first layer need never leave the JVM
+    gate = functools.reduce(operator.or_, (message.contains(literal) for literal in checked.gates[0]))
+    return F.when(gate, run(F.when(gate, message))).otherwise(mask_default(message) if len(checked.layers) == 2 else message)
 
 
 def mask_fingerprint(rules: Sequence[MaskRule]) -> str:

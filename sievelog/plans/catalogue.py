@@ -33,7 +33,7 @@ EXACT = MiningConfig(sim_th=1.0)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     micros = F.expr("unix_micros(cast(ts AS timestamp))")
     return table.select(
         F.lit(0).alias("run"), F.col("event_id").alias("ord"), F.expr(MESSAGE).alias("message"), micros.alias("ts_micros"),
@@ -43,7 +43,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents, in the order of the documents."""
-    return lines_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", ["doc_id"])
+    return lines_of(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id"), "text", ["doc_id"])
 
 
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +170,7 @@ def subset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spread(_split_events(spark, sf_dir))
+    own = _split_events(spark, sf_dir)
     named = own.withColumn("text", F.array_join(tokenise(mask_default(F.col("message"))), " "))
     return values.parameters(named)
 
@@ -231,20 +231,20 @@ def payment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     lines = table.select(F.lit(0).alias("run"), F.lit(0).alias("file"), F.col("event_id").alias("ord"), F.to_json(F.struct(F.col("event_type").alias("msg"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"), F.expr(LEVEL).alias("severity"))).alias("line"))
     return rec.parse(lines, JsonFormat()).select("ord", "good", "message", "ts_micros", "tz_aware", "level")
 
 
 def parse_app_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     text = F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" "), F.upper(F.expr(LEVEL)), F.lit(" "), F.expr(MESSAGE))
     lines = table.select(F.lit(0).alias("run"), F.lit(0).alias("file"), F.col("event_id").alias("ord"), text.alias("line"))
     return rec.parse(lines, FORMATS["app"]).select("ord", "good", "message", "ts_micros", "tz_aware", "level")
 
 
 def parse_access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     stamp = F.date_format(F.col("ts").cast("timestamp"), "dd/MMM/yyyy:HH:mm:ss")
     text = F.concat(F.lit("10.0.0.1 - - ["), stamp, F.lit(' +0200] "GET /u/'), F.col("user_id"), F.lit(' HTTP/1.1" 200 512'))
     lines = table.select(F.lit(0).alias("run"), F.lit(0).alias("file"), F.col("event_id").alias("ord"), text.alias("line"))
@@ -266,7 +266,7 @@ def parse_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     scaled: list[tuple[str, Column]] = [("s", seconds), ("ms", seconds * 1000 + 7), ("us", seconds * 1_000_000 + 7), ("ns", seconds * 1_000_000_000 + 7001)]
     return table.select("event_id", *[timestamps.epoch_micros(v).alias(n) for n, v in scaled])

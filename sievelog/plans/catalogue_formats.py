@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_RULES, MaskRule, MiningConfig
 from ..functions import masking, timestamps, tokens
 from ..functions.mask_sets import load_set, select
+from ..operators.spread import spread
 from ..sources import records as rec
 from ..sources.formats import FORMATS, Format, resolve
 
@@ -46,7 +47,7 @@ SECONDS = "(epoch_us(ts) // 1000000) * 1000000"
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("ts").cast("timestamp")
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     return table.select("event_id", F.expr(TEXT).alias("text"), F.expr(LEVEL).alias("level"), F.unix_seconds(at).alias("seconds"), F.timestamp_seconds(F.unix_seconds(at)).alias("at"), "event_type", "user_id")
 
 

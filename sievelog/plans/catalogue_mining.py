@@ -46,7 +46,7 @@ _SQL_LETTERS = "translate(({})::VARCHAR, '0123456789', 'abcdefghij')"
 
 def grouped(spark: SparkSession, sf_dir: str, group: str = f"event_id % {GROUPS}", head: str = "''") -> DataFrame:
     """Records "kaL kbL vW kcL [kdL ...]": L names the group, W the event; groups have four lengths."""
-    table = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("g", F.expr(group).cast("long")).withColumn("l", F.expr(_LETTERS.format("g")))
+    table = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id").withColumn("g", F.expr(group).cast("long")).withColumn("l", F.expr(_LETTERS.format("g")))
     text = f"concat({head}, 'ka', l, ' kb', l, ' v', {_LETTERS.format('event_id')}, ' kc', l, repeat(concat(' kd', l), cast(g % 4 AS int)))"
     level = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END"
     return table.select(
