@@ -30,10 +30,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows of ``docs`` that ``judge`` keeps; it gets them with a number of their own as the id."""
-    rows, _ = with_order(docs, "doc_id", *[docs[c] for c in docs.columns if c != ORD])
-    gone = judge(rows).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return rows.join(gone, rows[ORD] == gone["_gone"], "left_anti").select(*docs.columns)
+    """Rows of ``docs`` that ``judge`` keeps; it gets texts with a number of the row's own as the id."""
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")  # whatever the columns are called
+    rows, _ = with_order(docs, "doc_id", docs["text"].alias("text"), whole)
+    gone = judge(rows.select(ORD, "text")).where("not kept").select(F.col("doc_id").alias("_gone"))
+    return rows.join(gone, rows[ORD] == gone["_gone"], "left_anti").select("_doc.*")
 
 
 #: (letters, score): texts of fewer than 40 letters are too short to tell from chance and stay; longer ones score
