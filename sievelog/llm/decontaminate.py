@@ -247,8 +247,9 @@ def find_leaks(
     return found if found is not None else spark.createDataFrame([], HITS)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` without a leaked passage, all columns kept."""
-    rows, _ = with_order(docs, id_col, *[docs[c] for c in docs.columns if c != ORD])
-    leaked = find_leaks(rows, benchmark, id_col=ORD, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return rows.join(leaked, rows[ORD] == leaked["_leaked"], "left_anti").select(*docs.columns)
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")  # whatever the columns are called
+    rows, _ = with_order(docs, id_col, docs[text_col].alias("text"), whole)
+    leaked = find_leaks(rows.select(ORD, "text"), benchmark, id_col=ORD, **options).select(F.col("doc_id").alias("_leaked")).distinct()
+    return rows.join(leaked, rows[ORD] == leaked["_leaked"], "left_anti").select("_doc.*")
