@@ -13,9 +13,11 @@ are one class from the start.  Each band's bucket proposes a star to its
 smallest class, not all pairs.  The connected parts of the proposals are
 verified apart from each other, in memory, on full shingle sets: a text joins a
 cluster when it is similar enough to any member, and members are tested against
-the texts that have no cluster yet.  A part of more than ``block`` classes or
-``block_shingles`` shingles is dealt in blocks, every two of which meet in one
-task, so no group has to fit a task; the links found are then connected.
+the texts that have no cluster yet.  A large part is dealt in blocks, every two
+of which meet in one task, so no group has to fit a task: blocks of
+``small_block`` classes while that takes no more than ``copies`` of them, larger
+ones beyond, but never of more than ``block`` classes or ``block_shingles``
+shingles.  The links found are then connected.
 
 Defined cases: null, empty and wordless texts have no shingles and link with
 nothing; texts of fewer than ``words`` words are one shingle; rows that repeat
@@ -217,7 +219,7 @@ def connected(links: DataFrame, fits: int = 400_000) -> DataFrame:
 
 
 def near_dedup(
-    docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (85, 100), bands: int = 24, rows: int = 6, block: int = 4000, block_shingles: int = 2_000_000,
+    docs: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (85, 100), bands: int = 24, rows: int = 6, block: int = 4000, block_shingles: int = 2_000_000, small_block: int = 250, copies: int = 24,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
@@ -242,8 +244,9 @@ def near_dedup(
 
     # blocks of large parts: every two blocks meet once
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("s") / block_shingles)).cast("int")
-    sizes = checkpoint(sizes.select("root", blocks.alias("blocks")))
+    must = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("s") / block_shingles))
+    blocks = F.greatest(must, F.least(F.ceil(F.col("n") / small_block), F.lit(copies)))  # a set is sent to as many tasks, less one
+    sizes = checkpoint(sizes.select("root", blocks.cast("int").alias("blocks")))
     dealt = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meets = F.expr("CASE WHEN blocks <= 2 THEN array(0) ELSE transform(filter(sequence(0, blocks - 1), j -> j <> own), j -> least(own, j) * blocks + greatest(own, j)) END")
     dealt = dealt.select(F.col("node").alias(ORD), F.struct("root", meets.alias("meets")).alias("part"))

@@ -120,6 +120,8 @@ def test_near_dedup_in_blocks(spark):
     want = components(rows, 1, 90)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(frame(spark, rows), words=1, similarity=(90, 100), block=8).collect()}
     assert got == want
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(frame(spark, rows), words=1, similarity=(90, 100), small_block=7, copies=5).collect()}
+    assert got == want
 
 
 def test_near_dedup_of_repeated_rows_and_nothing(spark):
