@@ -18,6 +18,7 @@ from .functions.parameters import extract_parameters
 from .operators.matchers import NAMES as MATCHERS
 from .operators.matchers import OWN as OWN_MATCHERS
 from .operators.stats import LEVEL_COLUMNS
+from .operators.values import DISTINCT
 from .plans import model as models
 from .plans import pipeline
 from .plans.results import Analysis, Check, Diff, RunSummary
@@ -103,17 +104,17 @@ class _Runs:
 
 def analyze(
     path: Paths, *, format: str | Format = "auto", multiline: bool | None = None, config: MiningConfig | None = None, masks: Sequence[str] | str | None = None,
-    since=None, until=None, examples: str = "raw", values: bool = False, value_templates: int = 200, load_state: str | Path | None = None,
-    save_state: str | Path | None = None, source: dict | None = None, **mining,
+    since=None, until=None, examples: str = "raw", values: bool = False, value_templates: int = 200, value_limit: int | None = DISTINCT,
+    load_state: str | Path | None = None, save_state: str | Path | None = None, source: dict | None = None, **mining,
 ) -> Analysis:
-    """Templates of the log in one or more files."""
+    """Templates of the log in one or more files; of a variable position the first ``value_limit`` values are counted, or all (None)."""
     config = config or mining_config(masks, **mining)
     with ExitStack() as stack:
         runs = _Runs(stack, [path], format, multiline, [TimeWindow(time_bound(since), time_bound(until))], source)
         start = models.load(load_state, config) if load_state else None
         out = pipeline.analyze(
             runs.records, config, run=runs.summaries[0], format=runs.spec.name, examples=examples, start=start,
-            keep_model=save_state is not None, with_values=values, value_templates=value_templates,
+            keep_model=save_state is not None, with_values=values, value_templates=value_templates, value_limit=value_limit,
         )
         out.templates = out.templates.cache()
         out.templates.count()  # before a fetched log goes

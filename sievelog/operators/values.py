@@ -106,24 +106,32 @@ def _salt() -> Column:
     return F.pmod(F.xxhash64("value"), F.lit(SALTS))
 
 
-def distribution(values: DataFrame, top: int = TOP) -> DataFrame:
+def distribution(values: DataFrame, top: int = TOP, limit: int | None = DISTINCT) -> DataFrame:
     """Per position: the most frequent values, the number of counted values, capped, and records beyond them.
 
-    Counts are exact; of more than 1000 values the ones seen first are the
-    counted ones.  A position's values are ranked in parts that keep their first
-    1000 each, so no task holds more than these.
+    Counts are exact; of more than ``limit`` values the ones seen first are the
+    counted ones, and all count where it is None.  A position's values are ranked
+    in parts that keep their first ``limit`` (or their ``top``) each, so no task
+    holds more than these.
     """
     counts = values.withColumn("value", cut_value(F.col("value"))).groupBy(*KEYS, "value").agg(F.count("*").alias("n"), F.min("ord").alias("o")).withColumn("salt", _salt())
+    ranks = F.struct((-F.col("n")).alias("k"), "value")
+    listed = lambda best: F.transform(best, lambda x: F.struct(x["value"].alias("value"), (-x["k"]).alias("count"))).alias("top")
+    if limit is None:
+        ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS, "salt").orderBy(F.desc("n"), "value")))
+        parts = ranked.groupBy(*KEYS, "salt").agg(F.collect_list(F.when(F.col("rank") <= top, ranks)).alias("best"), F.count("*").alias("d"))
+        whole = parts.groupBy(*KEYS).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, top).alias("best"), F.sum("d").alias("distinct"))
+        return whole.select(*KEYS, listed(F.col("best")), "distinct", F.lit(False).alias("capped"), F.lit(0).cast("long").alias("other"))
     seen = counts.withColumn("place", F.row_number().over(Window.partitionBy(*KEYS, "salt").orderBy("o", "value")))
     parts = seen.groupBy(*KEYS, "salt").agg(
-        F.collect_list(F.when(F.col("place") <= DISTINCT, F.struct("o", "value", "n"))).alias("firsts"), F.count("*").alias("d"), F.sum("n").alias("t")
+        F.collect_list(F.when(F.col("place") <= limit, F.struct("o", "value", "n"))).alias("firsts"), F.count("*").alias("d"), F.sum("n").alias("t")
     )
-    whole = parts.groupBy(*KEYS).agg(F.slice(F.array_sort(F.flatten(F.collect_list("firsts"))), 1, DISTINCT).alias("firsts"), F.sum("d").alias("d"), F.sum("t").alias("t"))
+    whole = parts.groupBy(*KEYS).agg(F.slice(F.array_sort(F.flatten(F.collect_list("firsts"))), 1, limit).alias("firsts"), F.sum("d").alias("d"), F.sum("t").alias("t"))
     best = F.slice(F.array_sort(F.transform("firsts", lambda x: F.struct((-x["n"]).alias("k"), x["value"].alias("value")))), 1, top)
     inside = F.aggregate("firsts", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     return whole.select(
-        *KEYS, F.transform(best, lambda x: F.struct(x["value"].alias("value"), (-x["k"]).alias("count"))).alias("top"),
-        F.least("d", F.lit(DISTINCT)).alias("distinct"), (F.col("d") > DISTINCT).alias("capped"), (F.col("t") - inside).alias("other"),
+        *KEYS, listed(best),
+        F.least("d", F.lit(limit)).alias("distinct"), (F.col("d") > limit).alias("capped"), (F.col("t") - inside).alias("other"),
     )
 
 

@@ -126,9 +126,12 @@ def _model(clusters: DataFrame, tree: Tree, config: MiningConfig, start: Model |
 
 def analyze(
     records: DataFrame, config: MiningConfig | None = None, *, run: RunSummary | None = None, format: str = "plain", examples: str = "raw",
-    start: Model | None = None, keep_model: bool = False, with_values: bool = False, value_templates: int = values.TRACKED, chunks: int | None = None,
+    start: Model | None = None, keep_model: bool = False, with_values: bool = False, value_templates: int = values.TRACKED, value_limit: int | None = values.DISTINCT, chunks: int | None = None,
 ) -> Analysis:
-    """Templates of one run; ``chunks`` trains so many stretches apart and merges their trees."""
+    """Templates of one run; ``chunks`` trains so many stretches apart and merges their trees.
+
+    Of a position ``value_limit`` values are counted, the ones seen first, or all (None).
+    """
     if examples not in ("raw", "masked", "none"):
         raise SettingError("examples are 'raw', 'masked' or 'none'")
     config = config or MiningConfig()
@@ -143,7 +146,7 @@ def analyze(
         frozen, named, _ = counted(prepared, tree, examples=examples)
         first = values.tracked(templates, value_templates).select("text")
         found = values.parameters(named.join(F.broadcast(first), "text", "left_semi"), config.masks, config.delimiters)  # at most value_templates rows
-        result.templates, result.values, result.numbers = frozen.drop("run", "first_ord"), values.distribution(_values_shown(found, config, examples)), values.numeric_summary(found)
+        result.templates, result.values, result.numbers = frozen.drop("run", "first_ord"), values.distribution(_values_shown(found, config, examples), limit=value_limit), values.numeric_summary(found)
     return result
 
 

@@ -209,3 +209,10 @@ def test_many_values_are_capped(spark):
     row = values.distribution(frame).first()
     assert (row["distinct"], row["capped"], row["other"], len(row["top"])) == (1000, True, 1000, 10)
     assert row["top"][0]["count"] == 2
+
+
+def test_all_values_count_without_a_limit(spark):
+    rows = [(k, "t", 0, "num", str(k % 1500)) for k in range(3000)] + [(3000 + k, "t", 0, "num", "1499") for k in range(3)]
+    row = values.distribution(spark.createDataFrame(rows, "ord long, text string, position int, name string, value string"), limit=None).first()
+    assert (row["distinct"], row["capped"], row["other"], len(row["top"])) == (1500, False, 0, 10)
+    assert [tuple(x) for x in row["top"][:3]] == [("1499", 5), ("0", 2), ("1", 2)]
