@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -282,6 +283,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True) if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``settled`` for much text: packed files in the shared folder instead of a checkpoint, which is as large as the rows are in memory."""
+    base = df.sparkSession.sparkContext.getCheckpointDir()
+    if not base:
+        return df.persist()
+    folder = f"{base}/rows-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _shown(prepared: DataFrame, examples: str) -> Column:
     """What an example shows; null stands for the masked message."""
     if examples != "raw":

@@ -19,7 +19,7 @@ from ..functions.tokens import template_id, tokenise
 from ..operators import compare, matchers, stats, values
 from ..operators.assign import assign
 from ..operators.spread import spread
-from ..operators.train import prepare, settled
+from ..operators.train import prepare, settled, stored
 from ..operators.tree import Tree
 from ..sources import records as rec
 from ..sources.formats import FORMATS, JsonFormat
@@ -134,13 +134,18 @@ def baseline_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stable.unionByName(unstable.select("text", F.lit(None).cast("long").alias("count"), F.lit(False).alias("stable")))
 
 
-def _two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Line templates of even and of odd documents, each without the texts of the other, numbered."""
+def _one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line templates (text, count, odd) that are in even documents (``odd`` is 0) or in odd ones only."""
     records = document_records(spark, sf_dir)
     odd_document = F.pmod(F.shiftright("ord", 27), F.lit(2))
     tokens = tokenise(mask_default(F.col("message")))
     counts = records.groupBy(F.array_join(tokens, " ").alias("text")).agg(F.count("*").alias("count"), F.sum(odd_document).alias("odd"))
-    one_sided = settled(counts.where("odd = 0 OR odd = count"))
+    return counts.where("odd = 0 OR odd = count")
+
+
+def _two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Line templates of even and of odd documents, each without the texts of the other, numbered."""
+    one_sided = settled(_one_sided(spark, sf_dir))
     return matchers.numbered(one_sided.where("odd = 0")), matchers.numbered(one_sided.where("odd > 0"))
 
 
@@ -152,7 +157,9 @@ def _scores(spark: SparkSession, sf_dir: str, score: Callable[..., DataFrame], l
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, matchers.jaccard_scores, 0.6)
+    one_sided = _one_sided(spark, sf_dir)
+    rows = stored(one_sided.select("text", (F.col("odd") > 0).alias("after"), F.monotonically_increasing_id().alias("i")))
+    return matchers.jaccard_texts(rows.where("not after"), rows.where("after"), 0.6).drop("a", "b")
 
 
 def idf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,3 +216,28 @@ def test_all_values_count_without_a_limit(spark):
     row = values.distribution(spark.createDataFrame(rows, "ord long, text string, position int, name string, value string"), limit=None).first()
     assert (row["distinct"], row["capped"], row["other"], len(row["top"])) == (1500, False, 0, 10)
     assert [tuple(x) for x in row["top"][:3]] == [("1499", 5), ("0", 2), ("1", 2)]
+
+
+@pytest.mark.parametrize("least", [0.6, 0.8])
+def test_word_sets_of_all_sizes_meet(spark, least):
+    """Small sets meet by words, larger ones by pairs of words: the same pairs as all against all."""
+    from sievelog.operators import matchers, wordsets
+
+    pick, sides = random.Random(4), ([], [])
+    for n in [*range(1, 60), *range(60, 150, 5)]:
+        base = [f"w{pick.randrange(60 if n < 20 else 900)}" for _ in range(n)]
+        for side in sides:
+            for change in (0.0, 0.1, 0.2, 0.3):
+                own = [f"x{pick.randrange(500)}" if pick.random() < change else w for w in base]
+                pick.shuffle(own)
+                side.append(pick.choice([" ", "\xa0", "  "]).join(own))
+    before, after = (spark.createDataFrame(list(enumerate(side)), "i int, text string") for side in sides)
+    want, sets = {}, [[set(t.split()) for t in side] for side in sides]
+    for b, x in enumerate(sets[0]):
+        for a, y in enumerate(sets[1]):
+            if x & y and len(x & y) / len(x | y) >= least:
+                want[b, a] = len(x & y) / len(x | y)
+    got = {(r.b, r.a): r.score for r in matchers.jaccard_scores(before, after, least).collect()}
+    assert got == want and len(want) > 200
+    # so few candidates that not all pairs with a rare word in common travel
+    assert wordsets.jaccard_candidates(before, after, least).count() < 3 * len(want)
