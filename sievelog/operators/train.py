@@ -82,6 +82,17 @@ class Sums:
             else:
                 row[:9] = [row[0] + c, min(row[1], a), max(row[2], b), *(x + y for x, y in zip(row[3:9], own, strict=True))]
 
+    def one(self, cluster: int, run: int, ts: int, level: int, ord_: int, example: Callable[[], str | None]) -> None:
+        """``add`` for a single record."""
+        row = self.rows.get((cluster, run))
+        if row is None:
+            row = self.rows[cluster, run] = [0, LATE, NONE, 0, 0, 0, 0, 0, 0, ord_, example()]
+        row[0] += 1
+        if ts != NONE:
+            row[1], row[2] = min(row[1], ts), max(row[2], ts)
+        if level >= 0:
+            row[3 + level] += 1
+
     def move(self, cluster: int, to: int) -> None:
         for (c, run), row in list(self.rows.items()):
             if c == cluster:
@@ -223,10 +234,9 @@ def _trainer(
                     return cut_bytes(masked[a + i].as_py() if text is None else text, EXAMPLE_BYTES) if examples else None
 
                 if whole and config.on_full == "evict":  # eviction renumbers, so statistics are added record by record
-                    texts = masked.slice(a, b - a).to_pylist()
-                    for i in range(a, b):
-                        c = miner.cluster(texts[i - a], int(ord_[i]), int(run[i]))
-                        miner.sums.add(np.array([c]), run[i : i + 1], ts[i : i + 1], level[i : i + 1], ord_[i : i + 1], lambda _, i=i, a=a: example(i - a))  # noqa: B023
+                    columns = (x[a:b].tolist() for x in (run, ts, level, ord_))
+                    for i, (text, r, t, rank, o) in enumerate(zip(masked.slice(a, b - a).to_pylist(), *columns, strict=True)):
+                        miner.sums.one(miner.cluster(text, o, r), r, t, rank, o, lambda i=i: example(i))  # noqa: B023
                     continue
                 chosen = miner.stretch(masked.slice(a, b - a), ord_[a:b], run[a:b])
                 miner.sums.add(chosen, run[a:b], ts[a:b], level[a:b], ord_[a:b], example)

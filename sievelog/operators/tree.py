@@ -214,8 +214,16 @@ class Tree:
         kept = [c for c in range(len(self.clusters)) if c not in gone]
         number = {old: new for new, old in enumerate(kept)}
         for leaf in {id(n): n for n in self.leaf_of}.values():
+            if gone.isdisjoint(leaf.clusters):
+                leaf.clusters = [number[c] for c in leaf.clusters]
+                leaf.version += 1
+                continue
             rows = [row for row, c in enumerate(leaf.clusters) if c in number]
             leaf.clusters = [number[leaf.clusters[row]] for row in rows]
+            if not rows:  # the next cluster makes columns of its own
+                leaf.wild = np.zeros(4, dtype=np.int32)
+                leaf.version += 1
+                continue
             room = max(4, len(rows))
             leaf.columns, leaf.wild = [np.resize(x[rows], room) for x in leaf.columns], np.resize(leaf.wild[rows], room)
             leaf.version += 1

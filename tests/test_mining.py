@@ -351,3 +351,15 @@ def test_lines_and_open_records():
 
 def test_has_digit():
     assert has_digit("a1") and not has_digit("a") and key_of("x9") == WILDCARD
+
+
+def test_eviction_leaves_other_leaves_alone():
+    """Dropping a cluster rebuilds its own leaf only; the others are renumbered."""
+    tree = Tree(MiningConfig(max_templates=10, on_full="evict"))
+    for k, first in enumerate("abcab"):
+        tree.create([first, "x", str(k), "y", "z"], k)
+    leaves = [tree.leaf_of[c] for c in range(5)]
+    untouched = leaves[1].wild
+    assert tree.drop({0, 2}) == {1: 0, 3: 1, 4: 2} and leaves[1].wild is untouched
+    assert [tree.find([f, "x", k, "y", "z"]) for f, k in (("b", "1"), ("a", "3"), ("b", "4"), ("c", "2"))] == [0, 1, 2, None]
+    assert tree.create(["c", "x", "9", "y", "z"], 9) == 3 and tree.find(["c", "x", "9", "y", "z"]) == 3
