@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ORD, with_order
-from .textscan import U64, Words, id_array, ids_of, mix, pieces, text_arrays, trimmed
+from .textscan import CHUNK, U64, Words, id_array, ids_of, mix, pieces, text_arrays, trimmed
 
 #: Price of a mismatch or gap in an excerpt: chance matches of common words don't add up.
 STRICT = 4
@@ -75,7 +75,7 @@ def _counter(vocabulary: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Ite
         total, found = 0, np.zeros(len(vocabulary), dtype=np.int64)
         for batch in batches:
             data, offsets = text_arrays(batch.column(0))
-            for _, _, some, some_offsets in pieces(data, offsets):
+            for _, _, some, some_offsets in pieces(data, offsets, CHUNK // 2):
                 hashes = Words(some, some_offsets, lower=True).hashes()
                 total += len(hashes)
                 at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
@@ -168,7 +168,7 @@ def _finder(items: Items, least: float, excerpt: int, margin: float) -> Callable
         for batch in batches:
             ids = ids_of(batch.column(0))
             data, offsets = text_arrays(batch.column(1))
-            for at, _, some, some_offsets in pieces(data, offsets):
+            for at, _, some, some_offsets in pieces(data, offsets, CHUNK // 2):
                 words = Words(some, some_offsets, lower=True)
                 hashes, docs = words.hashes(), words.docs()
                 if not len(items.seeds) or not len(hashes):

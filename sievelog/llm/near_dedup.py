@@ -215,7 +215,7 @@ def connected(links: DataFrame, fits: int = 400_000) -> DataFrame:
         if tuple(new) == tuple(old):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         old = new
-    return checkpoint(edges.repartition(1).mapInArrow(_union, "node long, root long"))
+    return checkpoint(edges.repartition(1).mapInArrow(trimmed(_union), "node long, root long"))
 
 
 def near_dedup(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -138,6 +139,8 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        _powers.clear()  # up to 16 MiB for each base
+        gc.collect()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
             ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from sievelog.llm import decontaminate as leaks
 from sievelog.llm import language_id as lid
-from sievelog.llm import packing, quality, sharding, warc
+from sievelog.llm import packing, quality, sharding, textscan, warc
 from sievelog.llm.queries import tokenizer_path
+from sievelog.llm.textscan import trimmed
 
 ROWS = documents(2)
 
@@ -36,6 +37,27 @@ def test_packing_round_trip(spark):
     assert packing.pack(frame(spark, []), tokenizer_path()).count() == 0
 
 
+def test_packing_worker_stays_small():
+    """What a worker holds of 4 MB of words that never repeat: known words and one stretch of text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    letters = np.random.default_rng(5).integers(97, 123, (1000, 500, 8), dtype=np.uint8)
+    texts = [" ".join(bytes(w).decode() for w in t) for t in letters]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], names=["doc_id", "text"])
+    cut = trimmed(packing._cutter(tokenizer_path(), 2, 4096, False))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in cut(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1000 and peak < 90e6, peak
+
+
+def test_powers_go_with_the_task():
+    assert list(trimmed(lambda batches: iter([len(textscan.powers(3, 10)[0])]))(iter([]))) == [10] and not textscan._powers
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_word_encoder_equals_the_tokenizer(seed, monkeypatch):
     import random
