@@ -1,4 +1,4 @@
-"""Candidate pairs of word sets by their Jaccard similarity, from packed keys.
+"""Candidate pairs of word sets by their Jaccard similarity or overlap, from packed keys.
 
 Words are put in one order for both sides: rare ones first, by counts of hash
 buckets (which only steer the order), then by hash.  Two sets that are similar
@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,8 +126,30 @@ def _twos(row: np.ndarray, hashes: np.ndarray, groups: int) -> tuple[np.ndarray,
     return cell[one] // groups, hashes[one] + hashes[other]
 
 
-def jaccard_candidates(before: DataFrame, after: DataFrame, least: float) -> DataFrame:
-    """Distinct (b, a), long, that hold every pair with a word in common and a similarity of ``least``; frames have i and text."""
+def _dealt(parts: int, kind: int, key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """Packed rows (part, kind, keys, columns...) of one side."""
+    key = key * _MIX
+    part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    low = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    order = np.argsort((part << 32) | low)
+    part, low = part[order], low[order]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = order[a:b]
+        yield int(part[a]), kind, _pack(np.diff(low[a:b], prepend=0).astype(np.uint32)), [_pack(c[own]) for c in columns]
+
+
+def _flushed(parts: int, kept: dict[tuple[int, int], list]) -> Iterator[pa.RecordBatch]:
+    for (kind, side), some in kept.items():
+        columns = [np.concatenate(c) for c in zip(*some, strict=True)]
+        rows = list(_dealt(parts, kind, *columns))
+        if rows:
+            part, kinds, keys, blobs = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kinds, pa.int32()), pa.array([side] * len(rows), pa.int32()), pa.array(keys, pa.binary()), pa.array(blobs, pa.list_(pa.binary()))], names=["part", "kind", "side", "keys", "columns"])
+
+
+def _prepared(before: DataFrame, after: DataFrame) -> tuple[DataFrame, Broadcast, Broadcast | None, int]:
+    """Both sides (side, i, text), the counts of buckets, ids, sizes and signatures of each side unless there are too many sets, and the parts that keys are dealt to."""
     spark = before.sparkSession
     column = F.col("i").cast("long").alias("i")
     sides = before.select(F.lit(0).alias("side"), column, "text").unionByName(after.select(F.lit(1).alias("side"), column, "text"))
@@ -145,29 +168,15 @@ def jaccard_candidates(before: DataFrame, after: DataFrame, least: float) -> Dat
             ordered = [own[np.argsort(ids[own])] for own in (np.flatnonzero(of == 0), np.flatnonzero(of == 1))]
             known = spark.sparkContext.broadcast([(ids[own], [c[own] for c in signs]) for own in ordered])
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sides, shared, known, parts
+
+
+def jaccard_candidates(before: DataFrame, after: DataFrame, least: float) -> DataFrame:
+    """Distinct (b, a), long, that hold every pair with a word in common and a similarity of ``least``; frames have i and text."""
+    sides, shared, known, parts = _prepared(before, after)
     classes = CLASSES if least >= LEAST_FOR_TWO else ()
     small = classes[0][0] if classes else np.inf
 
-    def dealt(kind: int, key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-        """Packed rows (part, kind, keys, columns...) of one side."""
-        key = key * _MIX
-        part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        low = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        order = np.argsort((part << 32) | low)
-        part, low = part[order], low[order]
-        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = order[a:b]
-            yield int(part[a]), kind, _pack(np.diff(low[a:b], prepend=0).astype(np.uint32)), [_pack(c[own]) for c in columns]
-
-    def flushed(kept: dict[tuple[int, int], list]) -> Iterator[pa.RecordBatch]:
-        for (kind, side), some in kept.items():
-            columns = [np.concatenate(c) for c in zip(*some, strict=True)]
-            rows = list(dealt(kind, *columns))
-            if rows:
-                part, kinds, keys, blobs = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kinds, pa.int32()), pa.array([side] * len(rows), pa.int32()), pa.array(keys, pa.binary()), pa.array(blobs, pa.list_(pa.binary()))], names=["part", "kind", "side", "keys", "columns"])
-
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[int, int], list] = {}
         total = 0
@@ -197,9 +206,9 @@ def jaccard_candidates(before: DataFrame, after: DataFrame, least: float) -> Dat
                     kept.setdefault((1, s), []).append((code[own], ids[row[own]], n[own].astype(np.uint32), (n - at)[own].astype(np.uint32)))
                     total += int(own.sum())
             if total > AT_ONCE:
-                yield from flushed(kept)
+                yield from _flushed(parts, kept)
                 kept, total = {}, 0
-        yield from flushed(kept)
+        yield from _flushed(parts, kept)
 
     def likely(b: np.ndarray, a: np.ndarray) -> np.ndarray:
         """Whether so few words as the signatures tell may be in one set only."""
@@ -246,3 +255,79 @@ def jaccard_candidates(before: DataFrame, after: DataFrame, least: float) -> Dat
 
     packed = sides.mapInArrow(probes, "part int, kind int, side int, keys binary, columns array<binary>")
     return packed.groupBy("part").applyInArrow(met, "b long, a long").distinct()
+
+
+def overlap_candidates(before: DataFrame, after: DataFrame, least: float, fewest: int) -> DataFrame:
+    """Distinct (b, a), long, that hold every pair of sets of ``fewest`` words or more that shares ``least`` of the smaller set, and a word.
+
+    One of the first words of the smaller set is in the other set, at any place
+    there, so every word travels, once, but those that only one set has.
+    """
+    sides, shared, known, parts = _prepared(before, after)
+    needed = lambda n: np.ceil(n * least - EPSILON)
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[int, int], list] = {}
+        total = 0
+        for batch in batches:
+            side, ids = batch.column("side").to_numpy(), batch.column("i").to_numpy()
+            row, word, hashes = _words(batch.column("text"))
+            if not len(row):
+                continue
+            often = shared.value[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
+            order = np.lexsort((hashes, often))
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            row, place = _distinct(row, rank[word])
+            code, often = hashes[order][place], often[order][place]
+            n, at = _places(row)
+            for s in (0, 1):
+                if (own := (often > 1) & (n >= fewest) & (side[row] == s)).any():
+                    sizes = () if known else (n[own].astype(np.uint32),)
+                    kept.setdefault((1, s), []).append((code[own], ids[row[own]], (n - at)[own].astype(np.uint32), *sizes))
+                    total += int(own.sum())
+            if total > AT_ONCE // 2:
+                yield from _flushed(parts, kept)
+                kept, total = {}, 0
+        yield from _flushed(parts, kept)
+
+    def met(table: pa.Table) -> pa.Table:
+        sides = []
+        for s in (0, 1):
+            own = table.filter(pc.equal(table["side"], s))
+            blobs = own["columns"].to_pylist()
+            key = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_unpack(k.as_py(), np.uint32).astype(np.int64)) for k in own["keys"])])
+            kinds = (np.int64, np.uint32) if known else (np.int64, np.uint32, np.uint32)
+            ids, left, *sizes = (np.concatenate([np.zeros(0, t), *(_unpack(x[c], t) for x in blobs)]) for c, t in enumerate(kinds))
+            order = np.argsort(key, kind="stable")
+            key, ids, left = key[order], ids[order], left[order].astype(np.int64)
+            at = np.searchsorted(known.value[s][0], ids) if known else None
+            n = (known.value[s][1][0][at] if known else sizes[0][order]).astype(np.int64)
+            sides.append((key, ids, left, n, at))
+        pairs = []
+        for s in (0, 1):  # the side of the smaller set
+            (key, ids, left, n, at), (other, o_ids, o_left, o_n, o_at) = sides[s], sides[1 - s]
+            need = needed(n)
+            low, high = np.searchsorted(other, key, "left"), np.searchsorted(other, key, "right")
+            some = np.flatnonzero((left >= need) & (high > low))
+            low, many = low[some], (high - low)[some]
+            ends, begin = np.cumsum(many), 0
+            while begin < len(some):
+                to = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS_AT_ONCE // 5, "right")))
+                own = many[begin:to]
+                x = np.repeat(some[begin:to], own)
+                y = np.repeat(low[begin:to], own) + np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own)
+                near = (n[x] < o_n[y] + (s == 0)) & (o_left[y] >= need[x])
+                x, y = x[near], y[near]
+                if known:
+                    apart = np.zeros(len(x), dtype=np.int64)
+                    for mine, others in zip(known.value[s][1][1:], known.value[1 - s][1][1:], strict=True):
+                        apart += np.bitwise_count(mine[at[x]] & ~others[o_at[y]])
+                    x, y = x[apart <= n[x] - need[x]], y[apart <= n[x] - need[x]]
+                pairs.append(pd.DataFrame({"b": (ids[x], o_ids[y])[s], "a": (o_ids[y], ids[x])[s]}).drop_duplicates())
+                begin = to
+        every = pd.concat(pairs).drop_duplicates() if pairs else pd.DataFrame({"b": [], "a": []}, dtype="int64")
+        return pa.table({"b": pa.array(every["b"], pa.int64()), "a": pa.array(every["a"], pa.int64())})
+
+    packed = sides.mapInArrow(probes, "part int, kind int, side int, keys binary, columns array<binary>")
+    return packed.groupBy("part").applyInArrow(met, "b long, a long").distinct()

@@ -156,10 +156,14 @@ def _scores(spark: SparkSession, sf_dir: str, score: Callable[..., DataFrame], l
     return named.join(after.select(F.col("i").alias("a"), F.col("text").alias("after_text")), "a").drop("a", "b")
 
 
-def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _text_pairs(spark: SparkSession, sf_dir: str, pairs: Callable[..., DataFrame], least: float) -> DataFrame:
     one_sided = _one_sided(spark, sf_dir)
     rows = stored(one_sided.select("text", (F.col("odd") > 0).alias("after"), F.monotonically_increasing_id().alias("i")))
-    return matchers.jaccard_texts(rows.where("not after"), rows.where("after"), 0.6).drop("a", "b")
+    return pairs(rows.where("not after"), rows.where("after"), least).drop("a", "b")
+
+
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_pairs(spark, sf_dir, matchers.jaccard_texts, 0.6)
 
 
 def idf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +171,7 @@ def idf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, matchers.overlap_scores, 0.8)
+    return _text_pairs(spark, sf_dir, matchers.overlap_texts, 0.8)
 
 
 def subset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

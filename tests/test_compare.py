@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelog.config import WILDCARD, DiffConfig, SettingError
-from sievelog.operators import compare, matchers, values
+from sievelog.operators import compare, matchers, values, wordsets
 from sievelog.operators.stats import LEVEL_COLUMNS
 
 WORDS = ["a", "b", "c", "d", "e", "<*>", "fail", "user"]
@@ -241,3 +241,23 @@ def test_word_sets_of_all_sizes_meet(spark, least):
     assert got == want and len(want) > 200
     # so few candidates that not all pairs with a rare word in common travel
     assert wordsets.jaccard_candidates(before, after, least).count() < 3 * len(want)
+
+
+@pytest.mark.parametrize("signed", [True, False])
+def test_overlap_candidates_lose_nothing_and_are_few(spark, monkeypatch, signed):
+    """Small sets among large ones of common words: a rare word alone makes many times more pairs than overlap."""
+    if not signed:
+        monkeypatch.setattr(wordsets, "SIGNED", 0)
+    monkeypatch.setattr(wordsets, "PAIRS_AT_ONCE", 500)
+    rng = random.Random(11)
+    pool = [f"w{k}" for k in range(150)]
+    make = lambda n: list(dict.fromkeys(" ".join(rng.sample(pool, rng.choice((1, 2, 3, 4, 5, 6, 9, 30, 60)))) for _ in range(n)))
+    left, right = make(300), make(300)
+    left += [" ".join(t.split()[:5]) + " x" for t in right[:40]]
+    right += [t.replace(" ", "\t", 1) + " y" for t in left[40:80]]
+    sides = [spark.createDataFrame(list(enumerate(x)), "i int, text string") for x in (left, right)]
+    sets = [[set(t.split()) for t in x] for x in (left, right)]
+    want = {(b, a) for b, x in enumerate(sets[0]) for a, y in enumerate(sets[1]) if min(len(x), len(y)) >= 3 and len(x & y) / min(len(x), len(y)) >= 0.8}
+    assert {(r.b, r.a) for r in matchers.overlap_scores(*sides).collect()} == want and len(want) > 80
+    found = {(r.b, r.a) for r in wordsets.overlap_candidates(*sides, 0.8, 3).collect()}
+    assert want <= found and (not signed or len(found) < 8 * len(want)), (len(found), len(want))
