@@ -6,6 +6,9 @@ have a word in common among the first words of either, and larger ones so many
 there that two of them fall into one of a few groups of words: small sets meet
 by words, larger ones by such pairs of words, which seldom meet by chance.  Keys travel sorted and packed.  Keys that collide add candidates and
 lose none; callers confirm pairs on the words themselves.
+
+For overlap, where a small set may be in much larger ones, sets are packed in
+blocks instead, and blocks of both sides meet each other.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .train import settled
+from .train import settled, stored
 
 EPSILON = 1e-9
 BUCKETS = 1 << 20
@@ -35,18 +38,25 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 SIGNED = 5_000_000
 #: Keys that a task packs, and pairs that it looks at, at once.
 AT_ONCE, PAIRS_AT_ONCE = 3_000_000, 5_000_000
+#: Bytes of text of a block of both sides, bits of a set's signature there, and pairs whose texts leave a task at once.
+BLOCK, SIGN, TEXTS_AT_ONCE = 24 << 20, 512, 2000
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and number of every word that is not empty, and the hashes of the different words."""
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and number of every word that is not empty, and the different words."""
     texts = texts.cast(pa.string()).fill_null("")
     split = pc.split_pattern(pc.replace_substring_regex(texts, _OTHER_SPACE, " ") if pc.any(pc.match_substring_regex(texts, _OTHER_SPACE)).as_py() else texts, " ")
     row = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
     flat = split.flatten()
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     coded = flat.dictionary_encode()
-    hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
-    return row[full], coded.indices.to_numpy(zero_copy_only=False)[full], hashes
+    return row[full], coded.indices.to_numpy(zero_copy_only=False)[full], coded.dictionary
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and number of every word that is not empty, and the hashes of the different words."""
+    row, word, every = _coded(texts)
+    return row, word, pd.util.hash_array(every.to_numpy(zero_copy_only=False).astype(object), categorize=False)
 
 
 def _distinct(row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,77 +267,173 @@ def jaccard_candidates(before: DataFrame, after: DataFrame, least: float) -> Dat
     return packed.groupBy("part").applyInArrow(met, "b long, a long").distinct()
 
 
-def overlap_candidates(before: DataFrame, after: DataFrame, least: float, fewest: int) -> DataFrame:
-    """Distinct (b, a), long, that hold every pair of sets of ``fewest`` words or more that shares ``least`` of the smaller set, and a word.
-
-    One of the first words of the smaller set is in the other set, at any place
-    there, so every word travels, once, but those that only one set has.
+def _block(ids: list[np.ndarray], texts: list[pa.Array], rows: list[np.ndarray], codes: list[np.ndarray]) -> list[bytes]:
+    """One side of a block, packed: ids, codes of its words and how many sets have each, the places of these, sizes of the sets, and the texts."""
+    joined = lambda some, kind: np.concatenate([np.zeros(0, kind), *some])
+    row, code = joined(rows, np.uint32), joined(codes, np.uint32)
+    both = np.sort((code.astype(np.uint64) << np.uint64(32)) | row)
+    code, row = both >> np.uint64(32), both.astype(np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    own = joined(ids, np.int64)
+    size = np.bincount(row, minlength=len(own)).astype(np.uint32)
+    steps = np.diff(code[first].astype(np.int64), prepend=0).astype(np.uint32)
+    text = pa.concat_arrays([pa.array([], pa.binary()), *texts])
+    raw = b"".join(text.to_pylist())
+    lengths = pc.binary_length(text).to_numpy().astype(np.uint32)
+    return [_pack(own), _pack(steps), _pack(np.diff(np.append(first, len(code))).astype(np.uint32)), _pack(row), _pack(size), _pack(lengths), _pack(np.frombuffer(raw, np.uint8))]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (k, b, a) of both sides of as many sets as have ``most`` bytes of text, with 8 more for each."""
+    from pyspark import TaskContext
+
+    def fresh() -> list[tuple[list, list, list, list]]:
+        return [([], [], [], []), ([], [], [], [])]
+
+    def packed(k: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([_block(*x)], pa.list_(pa.binary())) for x in kept)], names=["k", "b", "a"])
+
+    kept, counts, total, k = fresh(), [0, 0], 0, TaskContext.get().partitionId() << 32
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text").cast(pa.binary()).fill_null(b"")).to_numpy().astype(np.int64) + 8)
+        cuts = [0, *(np.flatnonzero(np.diff((total + ends) // most)) + 1), batch.num_rows]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(low, high - low)
+            for s in (0, 1):
+                own = part.filter(pc.equal(part.column("side"), s))
+                if not own.num_rows:
+                    continue
+                row, word, hashes = _words(own.column("text"))
+                row, word = _distinct(row, word)
+                columns = own.column("i").to_numpy(), own.column("text").cast(pa.binary()).fill_null(b""), (row + counts[s]).astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)[word]
+                for some, column in zip(kept[s], columns, strict=True):
+                    some.append(column)
+                counts[s] += own.num_rows
+            total += int(ends[high - 1] - (ends[low - 1] if low else 0)) if high else 0
+            if high < batch.num_rows or total >= most:
+                yield packed(k)
+                kept, counts, total, k = fresh(), [0, 0], 0, k + 1
+    if sum(counts):
+        yield packed(k)
+
+
+class _Side:
+    """One side of a block, unpacked."""
+
+    def __init__(self, blobs: list[bytes]) -> None:
+        self.blobs = blobs
+        self.codes, self.often = np.cumsum(_unpack(blobs[1], np.uint32).astype(np.int64)), _unpack(blobs[2], np.uint32).astype(np.int64)
+        self.rows, self.n = _unpack(blobs[3], np.uint32).view(np.int32), _unpack(blobs[4], np.uint32).astype(np.int64)
+        self.first = np.cumsum(self.often) - self.often
+        bit = np.repeat((self.codes * 0x9E3779B1 >> 12) % SIGN, self.often)
+        self.signs = np.zeros((SIGN // 64, len(self.n)), dtype=np.uint64)
+        np.bitwise_or.at(self.signs.reshape(-1), (bit >> 6) * len(self.n) + self.rows, np.uint64(1) << (bit & 63).astype(np.uint64))
+
+    def texts(self, of: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Ids and texts of these sets."""
+        if not hasattr(self, "ids"):
+            raw = _unpack(self.blobs[6], np.uint8)
+            offsets = np.concatenate([[0], np.cumsum(_unpack(self.blobs[5], np.uint32).astype(np.int64))])
+            self.text = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            self.ids = _unpack(self.blobs[0], np.int64)
+        return pa.array(self.ids[of]), self.text.take(pa.array(of)).cast(pa.string())
+
+
+def _within(own: _Side, other: _Side, least: float, fewest: int, ties: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sets of ``own`` and larger ones (as large ones, with ``ties``) of ``other`` that may have ``least`` of them.
+
+    Of a set's words, those that no set of ``other`` has are missing in all of
+    them.  Of the rest as many as may be missing besides, and one more, have one
+    in any set that has enough: the words that the fewest sets of ``other`` have.
     """
-    sides, shared, known, parts = _prepared(before, after)
-    needed = lambda n: np.ceil(n * least - EPSILON)
+    if not len(own.codes) or not len(other.codes):
+        return
+    need = np.maximum(np.ceil(own.n * least - EPSILON).astype(np.int64), 1)
+    at = np.minimum(np.searchsorted(other.codes, own.codes), len(other.codes) - 1)
+    often = np.where(other.codes[at] == own.codes, other.often[at], 0)
+    entry = np.flatnonzero(np.repeat(often > 0, own.often)).astype(np.int32)
+    present = np.bincount(own.rows[entry], minlength=len(own.n))
+    alive = (own.n >= fewest) & (present >= need)
+    entry = entry[alive[own.rows[entry]]]
+    word, row = np.repeat(np.arange(len(own.codes), dtype=np.int32), own.often)[entry], own.rows[entry]
+    del entry
+    order = np.argsort((row.astype(np.int64) << 32) | often[word])
+    word, row = word[order], row[order]
+    del order
+    if not len(row):
+        return
+    _, place = _places(np.cumsum(np.concatenate([[0], row[1:] != row[:-1]])))
+    some = place <= (present - need)[row]
+    word, row = word[some], row[some]
+    low, many = other.first[at[word]], often[word]
+    ends, begin = np.cumsum(many), 0
+    while begin < len(row):
+        to = int(np.searchsorted(ends, ends[begin] - many[begin] + PAIRS_AT_ONCE // 10, "right"))
+        to = int(np.searchsorted(row, row[min(max(to, begin + 1), len(row)) - 1], "right"))  # all words of a set, so that a pair comes once
+        x = np.repeat(np.arange(begin, to), many[begin:to])
+        y = other.rows[low[x] + np.arange(len(x)) + ends[begin] - many[begin] - (ends[x] - many[x])]
+        x = row[x]
+        near = own.n[x] < other.n[y] + ties
+        x, y = x[near], y[near]
+        apart = np.zeros(len(x), dtype=np.int64)
+        for c, (mine, others) in enumerate(zip(own.signs, other.signs, strict=True)):
+            apart += np.bitwise_count(mine[x] & ~others[y])
+            if c % 2:
+                near = apart <= (own.n - need)[x]
+                x, y, apart = x[near], y[near], apart[near]
+        pairs = np.unique((x.astype(np.int64) << 32) | y)
+        if len(pairs):
+            yield pairs >> 32, pairs & 0xFFFFFFFF
+        begin = to
+
+
+def _shares(before: pa.Array, after: pa.Array) -> np.ndarray:
+    """Shared words over the smaller set of words, of each two texts."""
+    row, word, _ = _coded(pa.concat_arrays([before, after]))
+    row, word = _distinct(row, word)
+    sizes = np.bincount(row, minlength=2 * len(before))
+    both = np.sort(((row % len(before)) << 32) | word)
+    shared = np.bincount(both[1:][both[1:] == both[:-1]] >> 32, minlength=len(before))
+    return shared / np.maximum(np.minimum(sizes[: len(before)], sizes[len(before) :]), 1)
+
+
+def overlap_pairs(sides: DataFrame, least: float, fewest: int) -> DataFrame:
+    """(b, a, score, before_text, after_text) of every pair of sets of ``fewest`` words or more that shares ``least`` of the smaller set, and a word.
+
+    ``sides`` has side (0: before, 1: after), i and text; it is read once.  Sets
+    are packed in blocks with their texts, and every block of one side meets every
+    block of the other: nothing but the blocks is written, and nothing travels.
+    """
+    tasks, most = 5 * sides.sparkSession.sparkContext.defaultParallelism, BLOCK
+    rows = sides.select("side", F.col("i").cast("long").alias("i"), "text").coalesce(tasks)
+    blocks = stored(rows.mapInArrow(lambda batches: _blocks(batches, most), "k long, b array<binary>, a array<binary>"))
+    parts = max(1, blocks.select("k").count())
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple[int, int], list] = {}
-        total = 0
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = before = None
         for batch in batches:
-            side, ids = batch.column("side").to_numpy(), batch.column("i").to_numpy()
-            row, word, hashes = _words(batch.column("text"))
-            if not len(row):
-                continue
-            often = shared.value[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
-            order = np.lexsort((hashes, often))
-            rank = np.empty(len(order), dtype=np.int64)
-            rank[order] = np.arange(len(order))
-            row, place = _distinct(row, rank[word])
-            code, often = hashes[order][place], often[order][place]
-            n, at = _places(row)
-            for s in (0, 1):
-                if (own := (often > 1) & (n >= fewest) & (side[row] == s)).any():
-                    sizes = () if known else (n[own].astype(np.uint32),)
-                    kept.setdefault((1, s), []).append((code[own], ids[row[own]], (n - at)[own].astype(np.uint32), *sizes))
-                    total += int(own.sum())
-            if total > AT_ONCE // 2:
-                yield from _flushed(parts, kept)
-                kept, total = {}, 0
-        yield from _flushed(parts, kept)
+            for at in range(batch.num_rows):
+                if key != (k := batch.column("k")[at].as_py()):
+                    key, before = k, _Side(batch.column("b")[at].as_py())
+                after = _Side(batch.column("a")[at].as_py())
+                for own, other, ties in ((before, after, True), (after, before, False)):
+                    for x, y in _within(own, other, least, fewest, ties):
+                        b, a = (x, y) if ties else (y, x)
+                        for begin in range(0, len(b), TEXTS_AT_ONCE):
+                            ids, texts = zip(*(side.texts(of[begin : begin + TEXTS_AT_ONCE]) for side, of in ((before, b), (after, a))), strict=True)
+                            score = _shares(*texts)
+                            found = pa.RecordBatch.from_arrays([*ids, pa.array(score), *texts], names=["b", "a", "score", "before_text", "after_text"])
+                            yield found.filter(pa.array((score > 0) & (score >= least)))
 
-    def met(table: pa.Table) -> pa.Table:
-        sides = []
-        for s in (0, 1):
-            own = table.filter(pc.equal(table["side"], s))
-            blobs = own["columns"].to_pylist()
-            key = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_unpack(k.as_py(), np.uint32).astype(np.int64)) for k in own["keys"])])
-            kinds = (np.int64, np.uint32) if known else (np.int64, np.uint32, np.uint32)
-            ids, left, *sizes = (np.concatenate([np.zeros(0, t), *(_unpack(x[c], t) for x in blobs)]) for c, t in enumerate(kinds))
-            order = np.argsort(key, kind="stable")
-            key, ids, left = key[order], ids[order], left[order].astype(np.int64)
-            at = np.searchsorted(known.value[s][0], ids) if known else None
-            n = (known.value[s][1][0][at] if known else sizes[0][order]).astype(np.int64)
-            sides.append((key, ids, left, n, at))
-        pairs = []
-        for s in (0, 1):  # the side of the smaller set
-            (key, ids, left, n, at), (other, o_ids, o_left, o_n, o_at) = sides[s], sides[1 - s]
-            need = needed(n)
-            low, high = np.searchsorted(other, key, "left"), np.searchsorted(other, key, "right")
-            some = np.flatnonzero((left >= need) & (high > low))
-            low, many = low[some], (high - low)[some]
-            ends, begin = np.cumsum(many), 0
-            while begin < len(some):
-                to = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS_AT_ONCE // 5, "right")))
-                own = many[begin:to]
-                x = np.repeat(some[begin:to], own)
-                y = np.repeat(low[begin:to], own) + np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own)
-                near = (n[x] < o_n[y] + (s == 0)) & (o_left[y] >= need[x])
-                x, y = x[near], y[near]
-                if known:
-                    apart = np.zeros(len(x), dtype=np.int64)
-                    for mine, others in zip(known.value[s][1][1:], known.value[1 - s][1][1:], strict=True):
-                        apart += np.bitwise_count(mine[at[x]] & ~others[o_at[y]])
-                    x, y = x[apart <= n[x] - need[x]], y[apart <= n[x] - need[x]]
-                pairs.append(pd.DataFrame({"b": (ids[x], o_ids[y])[s], "a": (o_ids[y], ids[x])[s]}).drop_duplicates())
-                begin = to
-        every = pd.concat(pairs).drop_duplicates() if pairs else pd.DataFrame({"b": [], "a": []}, dtype="int64")
-        return pa.table({"b": pa.array(every["b"], pa.int64()), "a": pa.array(every["a"], pa.int64())})
+    pairs = blocks.select("k", "b").coalesce(2 * parts).crossJoin(blocks.select("a").coalesce(2 * parts))
+    return pairs.mapInArrow(met, "b long, a long, score double, before_text string, after_text string")
 
-    packed = sides.mapInArrow(probes, "part int, kind int, side int, keys binary, columns array<binary>")
-    return packed.groupBy("part").applyInArrow(met, "b long, a long").distinct()
+
+def both_sides(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(side, i, text) of two frames with i and text."""
+    return before.select(F.lit(0).alias("side"), "i", "text").unionByName(after.select(F.lit(1).alias("side"), "i", "text"))
+
+
+def overlap_candidates(before: DataFrame, after: DataFrame, least: float, fewest: int) -> DataFrame:
+    """(b, a) of ``overlap_pairs``, long; frames have i and text."""
+    return overlap_pairs(both_sides(before, after), least, fewest).select("b", "a")

@@ -171,7 +171,8 @@ def idf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text_pairs(spark, sf_dir, matchers.overlap_texts, 0.8)
+    sides = _one_sided(spark, sf_dir).select("text", (F.col("odd") > 0).cast("int").alias("side"), F.monotonically_increasing_id().alias("i"))
+    return matchers.overlap_sided(sides, 0.8).drop("a", "b")
 
 
 def subset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

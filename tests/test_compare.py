@@ -261,3 +261,24 @@ def test_overlap_candidates_lose_nothing_and_are_few(spark, monkeypatch, signed)
     assert {(r.b, r.a) for r in matchers.overlap_scores(*sides).collect()} == want and len(want) > 80
     found = {(r.b, r.a) for r in wordsets.overlap_candidates(*sides, 0.8, 3).collect()}
     assert want <= found and (not signed or len(found) < 8 * len(want)), (len(found), len(want))
+
+
+def test_overlap_of_many_blocks_without_moving_texts(spark, monkeypatch):
+    """Blocks of both sides meet each other: every pair once, texts in no shuffle, and few candidates to large sets."""
+    monkeypatch.setattr(wordsets, "BLOCK", 20_000)
+    monkeypatch.setattr(wordsets, "PAIRS_AT_ONCE", 500)
+    rng = random.Random(5)
+    pool = [f"w{k}" for k in range(3000)]
+    make = lambda n: list(dict.fromkeys(" ".join(rng.sample(pool[: rng.choice((60, 3000))], rng.choice((1, 2, 3, 5, 8, 30)))) for _ in range(n)))
+    left, right = make(300), [*make(250), "", "a b"]
+    large = [rng.sample(pool, 250) for _ in range(60)]
+    left += [" ".join(rng.sample(x, 20)) + " \u00e4" for x in large[:40]] + [" ".join(x) for x in large[40:]]
+    right += [" ".join(x) for x in large[:40]] + ["\u2003".join(rng.sample(x, 30)) for x in large[40:]] + ["a b"]
+    before, after = (spark.createDataFrame(list(enumerate(x)), "i int, text string").repartition(3) for x in (left, right))
+    sets = [[set(t.split()) for t in x] for x in (left, right)]
+    score = lambda x, y: len(x & y) / min(len(x), len(y))
+    want = sorted((b, a, score(x, y), left[b], right[a]) for b, x in enumerate(sets[0]) for a, y in enumerate(sets[1]) if min(len(x), len(y)) >= 3 and score(x, y) >= 0.8)
+    found = matchers.overlap_texts(before, after)
+    assert sorted(map(tuple, found.select("b", "a", "score", "before_text", "after_text").collect())) == want and len(want) > 60
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert wordsets.overlap_candidates(before, after, 0.8, 3).count() < 3 * len(want)
